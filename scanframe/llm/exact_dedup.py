@@ -57,7 +57,9 @@ class DigestIndex:
         last). Returns ``batch`` with ``keep_id, group_size`` from the index.
         """
         order = F.struct((-F.col("points")).alias("p"), F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"))
-        groups = batch.groupBy("digest").agg(F.min(order).alias("best"), F.count("*").alias("group_size"))
+        # written first: the optimizer would push the anti-join below the aggregate, and every
+        # row of a large group of copies, not one a task, would be shuffled to the same place
+        groups = materialise(batch.groupBy("digest").agg(F.min(order).alias("best"), F.count("*").alias("group_size")), "groups")
         new = groups.select("digest", F.col("best.i").alias("keep_id"), "group_size").join(
             self.entries().select("digest").hint("merge"), "digest", "left_anti"
         )
