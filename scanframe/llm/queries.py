@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scanframe.llm import exact_dedup, mixing, packing, simhash, tokens, urls
+from scanframe.llm import exact_dedup, langid, mixing, packing, pii, simhash, tokens, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pii_spans": pii.op2_pii_spans,
     "op3_url_filter": urls.op3_url_filter,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_token_counts": tokens.op7_token_counts,
+    "op8_language_id": langid.op8_language_id,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_simhash_bk": simhash.op10_simhash_bk,
 }
