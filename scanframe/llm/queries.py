@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scanframe.llm import exact_dedup, langid, mixing, packing, pii, simhash, tokens, urls
+from scanframe.llm import exact_dedup, langid, mixing, packing, pii, simhash, substrings, tokens, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii_spans": pii.op2_pii_spans,
     "op3_url_filter": urls.op3_url_filter,
     "op4_mix_sources": mixing.op4_mix_sources,
+    "op5_substring_dedup": substrings.op5_substring_dedup,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_token_counts": tokens.op7_token_counts,
     "op8_language_id": langid.op8_language_id,
@@ -21,5 +22,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_url_filter": urls.SQL,
+    "op5_substring_dedup": substrings.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
 }
