@@ -183,15 +183,17 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     spark = docs.sparkSession
     sized = materialise(sizes(docs), "sizes")
     ranked = materialise(targets(sized), "targets")
-    placed = materialise(spans(sized, ranked), "spans").withColumn("row", F.struct("rank", "at", "doc_id", "size"))
+    placed = materialise(spans(sized, ranked), "spans")
+    # merge hints: the size of an Arrow function's output is estimated as that of its input, a
+    # few draws, and the planner would broadcast a row a block
     uses = slots(spark, ranked, block_words).groupBy("rank", "block").agg(F.count("*").alias("uses"))
     first, last = F.floor(F.col("at") / block_words), F.floor((F.col("at") + F.col("size") - 1) / block_words)
     parts = placed.filter("size > 0").select("rank", "at", "doc_id", "size", F.explode(F.sequence(first, last)).alias("block"))
     start = F.greatest(F.col("at"), F.col("block") * block_words)
     stop = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block_words)
-    taken = parts.join(uses, ["rank", "block"]).groupBy("rank", "at", "doc_id", "size").agg(F.sum((stop - start) * F.col("uses")).alias("taken"))
+    taken = parts.join(uses.hint("merge"), ["rank", "block"]).groupBy("rank", "at", "doc_id", "size").agg(F.sum((stop - start) * F.col("uses")).alias("taken"))
     empty = placed.filter("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
-    full = placed.filter("size > 0").join(taken.withColumnRenamed("doc_id", "_id").drop("size"), ["rank", "at"], "left")
+    full = placed.filter("size > 0").join(taken.withColumnRenamed("doc_id", "_id").drop("size").hint("merge"), ["rank", "at"], "left")
     return full.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")).unionByName(empty)
 
 
@@ -200,7 +202,7 @@ def resample(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     whole number (0, 1 or 2), with all columns. Documents without words stay once."""
     copies = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
     taken = mix(docs, block_words).groupBy(F.col("doc_id").alias("_id")).agg(F.max(copies).alias("_copies"))
-    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"])).filter("_copies > 0")
+    joined = docs.join(taken.hint("merge"), docs["doc_id"].eqNullSafe(taken["_id"])).filter("_copies > 0")
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copy", "_copies", "_id")
 
 
