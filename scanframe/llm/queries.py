@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scanframe.llm import exact_dedup, langid, mixing, packing, pii, simhash, substrings, tokens, urls
+from scanframe.llm import ann, exact_dedup, langid, mixing, packing, pii, simhash, substrings, tokens, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_multi_index": ann.op1_multi_index,
     "op2_pii_spans": pii.op2_pii_spans,
     "op3_url_filter": urls.op3_url_filter,
     "op4_mix_sources": mixing.op4_mix_sources,
