@@ -18,14 +18,15 @@ from pyspark.sql import functions as F
 
 from scanframe.llm.common import table
 
-#: The bounds of the labelled sample: documents of a language by rising hash of doc_id, and of
-#: their distinct words the most frequent.
+#: The bounds of the labelled sample: documents of a language by hash of doc_id, and of their
+#: distinct words the most frequent.
 SAMPLE_DOCS = 500
-SAMPLE_WORDS = 6000
+SAMPLE_WORDS = 4000
 UNKNOWN = "und"
-#: Words whose phrase counts a task remembers; longer ones are parsed anew each time.
+#: Tokens whose phrase counts a task remembers before it starts anew, and bytes of text that
+#: it takes at a time.
 REMEMBERED = 300_000
-LONGEST_REMEMBERED = 64
+PART_BYTES = 4 << 20
 #: Below this mean phrase length no learned language explains a text: its letters or letter
 #: pairs hardly occur in any of them.
 LEAST_PHRASE = 1.5
@@ -66,19 +67,52 @@ def suffix_automaton(text: str) -> list[dict[str, int]]:
     return follow
 
 
-def phrases(follow: list[dict[str, int]], word: str) -> int:
-    """Phrases of the greedy cross-parsing of ``word``; an unseen letter is one of its own."""
-    count, state = 0, 0
-    start = follow[0]
-    for c in word:
-        further = follow[state].get(c)
-        if further:
-            state = further
-        else:
-            count += state > 0
-            state = start.get(c, 0)
-            count += not state
-    return count + (state > 0)
+class Automaton:
+    """A suffix automaton as arrays: transitions by (state, letter), 0 where there is none."""
+
+    def __init__(self, text: str):
+        follow = suffix_automaton(text)
+        self.letters = "".join(sorted(set(text)))
+        self.states = len(follow)
+        place = {c: k + 1 for k, c in enumerate(self.letters)}
+        steps = [(s, place[c], t) for s, row in enumerate(follow) for c, t in row.items()]
+        self.steps = np.array(steps, np.int32).reshape(-1, 3)
+
+    def dense(self) -> np.ndarray:
+        """The transitions in full; column 0 is for letters that the text lacks."""
+        out = np.zeros((self.states, len(self.letters) + 1), np.int32)
+        out[self.steps[:, 0], self.steps[:, 1]] = self.steps[:, 2]
+        return out
+
+    def codes(self) -> np.ndarray:
+        """The column of each code point."""
+        out = np.zeros(0x110000, np.uint8 if len(self.letters) < 256 else np.int32)
+        out[[ord(c) for c in self.letters]] = np.arange(1, len(self.letters) + 1)
+        return out
+
+
+def phrases(follow: np.ndarray, letters: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Phrases of the greedy cross-parsing of many words at once.
+
+    ``letters`` has the columns of all words' letters; word k is at ``starts[k]`` and has
+    ``sizes[k]`` letters. All words take a step together, longest first, so that those still
+    going are always the first ones. An unseen letter is a phrase of its own.
+    """
+    order = np.argsort(-sizes, kind="stable")
+    at, counts, state = starts[order], np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int32)
+    going = np.searchsorted(-sizes[order], -np.arange(int(sizes.max(initial=0))), side="left")
+    for step, n in enumerate(going.tolist()):
+        letter = letters[at[:n] + step]
+        now = state[:n]
+        further = follow[now, letter]
+        stopped = further == 0
+        fresh = follow[0, letter]
+        counts[:n] += (stopped & (now > 0)).astype(np.int64) + (stopped & (fresh == 0))
+        state[:n] = np.where(stopped, fresh, further)
+    counts += state > 0
+    out = np.empty_like(counts)
+    out[order] = counts
+    return out
 
 
 class Model:
@@ -87,52 +121,53 @@ class Model:
     def __init__(self, words: dict[str, list[str]]):
         self.langs = sorted(words)
         texts = [f" {' '.join(words[k])} " for k in self.langs]
-        self.automata = [suffix_automaton(t) for t in texts]
+        self.automata = [Automaton(t) for t in texts]
         self.cost = np.array([math.log2(len(t)) for t in texts])
 
-    def count(self, token: str) -> list[int]:
-        """Phrases of the token's words for each language, then its letters."""
-        import regex
-
-        runs = [f" {w.lower()} " for w in regex.findall(r"\p{L}+", token)]
-        return [sum(phrases(a, w) for w in runs) for a in self.automata] + [sum(map(len, runs))]
-
 
 class Predictor:
-    """Predicts texts, remembering the phrase counts of short words."""
+    """Predicts texts, remembering the phrase counts of the tokens it has met."""
 
     def __init__(self, model: Model):
-        self.model = model
-        self.rows = np.zeros((1 << 12, len(model.langs) + 1), np.int64)
-        predictor = self
-
-        class Seen(dict):
-            def __missing__(self, token: bytes) -> int:
-                k = len(self) + 1
-                if k == len(predictor.rows):
-                    predictor.rows = np.concatenate([predictor.rows, np.zeros_like(predictor.rows)])
-                predictor.rows[k] = model.count(token.decode())
-                self[token] = k
-                return k
-
-        self.seen = Seen()
+        import regex
 
-    def counts(self, text: bytes) -> np.ndarray:
+        self.model = model
+        self.tables = [(a.dense(), a.codes()) for a in model.automata]
+        self.others = regex.compile(r"[^\p{L}\n]+")
+        self.seen: dict[bytes, int] = {}
+        self.rows = np.zeros((0, len(model.langs) + 1), np.int64)
+
+    def learn(self, tokens: list[bytes]) -> None:
+        """Count the phrases of new tokens for each language, and their letters."""
+        lines = [line.lower().split() for line in self.others.sub(" ", b"\n".join(tokens).decode()).split("\n")]
+        runs = [f" {w} " for words in lines for w in words]
+        owner = np.repeat(np.arange(len(tokens)), np.fromiter(map(len, lines), np.int64, len(lines)))
+        sizes = np.fromiter(map(len, runs), np.int64, len(runs))
+        starts = np.cumsum(sizes) - sizes
+        points = np.frombuffer("".join(runs).encode("utf-32-le"), np.uint32)
+        columns = [phrases(follow, codes[points], starts, sizes) for follow, codes in self.tables]
+        counts = np.stack([np.bincount(owner, weights=c, minlength=len(tokens)) for c in (*columns, sizes)], axis=1)
+        first = len(self.rows)
+        self.rows = np.concatenate([self.rows, counts.astype(np.int64)])
+        self.seen.update(zip(tokens, range(first, first + len(tokens)), strict=True))
+
+    def predict(self, texts: list[bytes | None]) -> list[tuple[str, float, float]]:
+        """(language, score, mean phrase length) of each text."""
         if len(self.seen) > REMEMBERED:
             self.seen.clear()
-        tokens = text.split()
-        long = [t for t in tokens if len(t) > LONGEST_REMEMBERED]
-        short = [t for t in tokens if len(t) <= LONGEST_REMEMBERED] if long else tokens
-        index = np.fromiter(map(self.seen.__getitem__, short), np.int64, len(short))
-        total = self.rows[index].sum(axis=0)
-        for t in long:
-            total += self.model.count(t.decode())
-        return total
-
-    def predict(self, text: bytes | None) -> tuple[str, float, float]:
-        """(language, score, mean phrase length)."""
-        counts = self.counts(text or b"")
-        if not counts[-1] or not self.model.langs:
+            self.rows = self.rows[:0]
+        split = [(t or b"").split() for t in texts]
+        new = {t for tokens in split for t in tokens}.difference(self.seen)
+        if new and self.model.langs:
+            self.learn(list(new))
+        out = []
+        for tokens in split:
+            counts = self.rows[np.fromiter(map(self.seen.__getitem__, tokens), np.int64, len(tokens))].sum(axis=0) if self.model.langs else (0,)
+            out.append(self._choose(counts))
+        return out
+
+    def _choose(self, counts) -> tuple[str, float, float]:
+        if not counts[-1]:
             return UNKNOWN, 0.0, 0.0
         costs = counts[:-1] * self.model.cost
         best = int(costs.argmin())
@@ -141,19 +176,35 @@ class Predictor:
         return self.model.langs[best], score, float(counts[-1] / counts[best])
 
 
+def in_parts(texts: list[bytes | None]) -> Iterator[list[bytes | None]]:
+    """Runs of texts of about PART_BYTES bytes, so that what a part adds to memory is bounded."""
+    part, held = [], 0
+    for t in texts:
+        part.append(t)
+        held += len(t or b"")
+        if held > PART_BYTES:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> Model:
     """Learn from the labelled rows that are not held out.
 
-    At most ``sample_docs`` documents a language, read whole, and the ``sample_words`` most
-    frequent of their words; the driver gets no more than these words.
+    About ``sample_docs`` documents a language, chosen by a hash of doc_id and read whole, and
+    the ``sample_words`` most frequent of their words; the driver gets no more than these.
     """
     import regex
 
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).filter(
-        F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()
+        F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out()
     )
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = labelled.select("doc_id", "lang").withColumn("k", F.row_number().over(by_hash)).filter(F.col("k") <= sample_docs).select("doc_id").distinct()
+    shares = {r["lang"]: min(1.0, sample_docs / r["count"]) for r in labelled.groupBy("lang").count().collect()}
+    if not shares:
+        return Model({})
+    share = F.element_at(F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]), F.col("lang"))
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < share * (1 << 30)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -164,7 +215,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAM
                 langs, found = zip(*counted, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array(found), pa.array(list(counted.values()), pa.int64())], ["lang", "word", "n"])
 
-    sample = labelled.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "text")
+    sample = labelled.filter(drawn & F.col("text").isNotNull()).select("lang", "text")
     counts = sample.mapInArrow(words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     frequent = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     top = counts.withColumn("k", F.row_number().over(frequent)).filter(F.col("k") <= sample_words).select("lang", "word", "k")
@@ -188,7 +239,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predictor = Predictor(sent.value)
         for b in batches:
-            rows = [predictor.predict(t.as_py()) for t in b.column(2)]
+            rows = [r for part in in_parts(b.column(2).to_pylist()) for r in predictor.predict(part)]
             columns = zip(*rows, strict=True) if rows else [[]] * 3
             arrays = [pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.float64(), pa.float64()), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *arrays], names)
@@ -208,7 +259,7 @@ def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predictor = Predictor(sent.value)
         for b in batches:
-            found = [predictor.predict(None if (v := t.as_py()) is None else v.encode()) for t in b.column("text")]
+            found = [r for part in in_parts(b.column("text").cast(pa.binary()).to_pylist()) for r in predictor.predict(part)]
             yield b.filter(pa.array([lang != UNKNOWN and size >= LEAST_PHRASE for lang, _, size in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -3,6 +3,8 @@
 import binascii
 import re
 
+import numpy as np
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -10,7 +12,7 @@ from scanframe.llm import langid
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.text("abc ", max_size=40), st.text("abcd ", max_size=12))
+@given(st.text("abc ", max_size=40), st.text("abcd ", min_size=1, max_size=12))
 def test_automaton_holds_exactly_the_substrings(text, word):
     follow = langid.suffix_automaton(text)
     state = 0
@@ -19,13 +21,35 @@ def test_automaton_holds_exactly_the_substrings(text, word):
         if state < 0:
             break
     assert (state >= 0) == (word in text)
+    automaton = langid.Automaton(text)
+    words = [word, word[::-1], word[:1], "xé" + word]
+    sizes = np.array([len(w) for w in words])
+    letters = automaton.codes()[[ord(c) for c in "".join(words)]]
+    assert langid.phrases(automaton.dense(), letters, np.cumsum(sizes) - sizes, sizes).tolist() == [plain_phrases(text, w) for w in words]
+
+
+def plain_phrases(text, word):
     count, at = 0, 0
     while at < len(word):
         end = at + 1
         while end < len(word) and word[at : end + 1] in text:
             end += 1
         count, at = count + 1, end
-    assert langid.phrases(follow, word) == count
+    return count
+
+
+def test_predictor_against_plain_parsing():
+    model = langid.Model({"aa": ["banana", "band"], "bb": ["canal", "nab"]})
+    texts = [None, b"", b"12 \xc2\xbd", "Banana-band ban\u0130".encode(), b"canal canal x" * 3, b"nab"]
+    got = langid.Predictor(model).predict(texts)
+    for t, (lang, score, size) in zip(texts, got, strict=True):
+        words = [f" {w.lower()} " for w in regex.findall(r"\p{L}+", (t or b"").decode())]
+        costs = [c * sum(plain_phrases(f" {' '.join(ws)} ", w) for w in words) for c, ws in zip(model.cost, (["banana", "band"], ["canal", "nab"]), strict=True)]
+        if not words:
+            assert (lang, score, size) == ("und", 0.0, 0.0)
+        else:
+            assert lang == ("aa" if costs[0] <= costs[1] else "bb")
+            assert abs(score - max(costs) / sum(costs)) < 1e-12
 
 
 def test_predictions(spark):
