@@ -223,23 +223,61 @@ def phrases(block: Block, answers: pa.Table) -> dict[tuple[int, ...], int]:
     return out
 
 
+#: Letters that spell a word's number at each of its three places, at least.
+LETTERS = 64
+
+
+def spelling(numbers: np.ndarray, letters: int) -> np.ndarray:
+    """Three letters for each word number from 0; for negative ones a letter of their own.
+
+    A node of the automaton looks for a letter among its children one by one, and one with a
+    child for every first word would be slow; so words are spelled. Each place has letters of
+    its own, so that a match can only start where a word does.
+    """
+    places = [numbers // letters**2, numbers // letters % letters + letters, numbers % letters + 2 * letters]
+    spelled = np.stack(places, axis=1) + 0x100
+    spelled[numbers < 0] = 0x100 + 3 * letters
+    return spelled.astype("<u4")
+
+
+class Locator:
+    """An Aho-Corasick automaton over the phrases of one block."""
+
+    def __init__(self, found: dict[tuple[int, ...], int]):
+        import ahocorasick
+
+        used = np.unique(np.fromiter(chain.from_iterable(found), np.int64))
+        self.letters = max(LETTERS, int(len(used) ** (1 / 3)) + 1)
+        self.number = np.full(int(used[-1]) + 2, -1, np.int64)  # the last is for all later words
+        self.number[used] = np.arange(len(used))
+        self.automaton = ahocorasick.Automaton()
+        for words, first in found.items():
+            self.automaton.add_word(self.spelled(np.array(words)), first)
+        self.automaton.make_automaton()
+
+    def spelled(self, words: np.ndarray) -> str:
+        numbers = self.number[np.minimum(words, len(self.number) - 1)]
+        return spelling(numbers, self.letters).tobytes().decode("utf-32-le")
+
+    def matches(self, text: str) -> Iterator[tuple[int, int]]:
+        """(index of the last word, smallest doc_id) of every occurrence of a phrase."""
+        for end, first in self.automaton.iter(text):
+            yield end // 3, first
+
+
 def remove(docs: pa.Table, answers: pa.Table, window: int) -> pa.Table:
     """The block's documents without the words that its phrases cover."""
-    import ahocorasick
-
     block = Block(docs, window)
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
     found = phrases(block, answers)
-    for words, first in found.items():
-        automaton.add_word(words, first)
-    automaton.make_automaton()
+    locator = Locator(found) if found else None
+    text = locator.spelled(block.flat) if locator else ""
     removed, kept = [], []
     for k, words in enumerate(block.words):
         n = 0
-        if found and len(words) >= window:
+        if locator and len(words) >= window:
             keep = np.ones(len(words), bool)
             key, stop = int(block.keys[k]), int(block.stops[k])
-            for end, first in automaton.iter(tuple(block.flat[stop - len(words) : stop].tolist())):
+            for end, first in locator.matches(text[3 * (stop - len(words)) : 3 * stop]):
                 if first < key:
                     keep[end - window + 1 : end + 1] = False
             n = len(words) - int(keep.sum())

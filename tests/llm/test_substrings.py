@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from scanframe.llm import substrings
@@ -51,6 +52,17 @@ def test_against_plain(spark, block_bytes):
     assert sorted(map(tuple, got), key=str) == plain(data)
 
 
+def test_locator_spells_any_number_of_words(monkeypatch):
+    monkeypatch.setattr(substrings, "LETTERS", 2)
+    rng = np.random.default_rng(2)
+    words = rng.integers(0, 400, 3000)
+    found = {tuple(words[a : a + 3].tolist()): a for a in range(0, 2990, 7)}
+    locator = substrings.Locator(found)
+    got = set(locator.matches(locator.spelled(words)))
+    want = {(k + 2, found[g]) for k in range(2998) if (g := tuple(words[k : k + 3].tolist())) in found}
+    assert got == want and 4 < locator.letters < 10
+
+
 def test_empty_and_plan(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert substrings.drop_repeats(docs.limit(0)).count() == 0
