@@ -27,11 +27,13 @@ RECALL = 0.95
 NEIGHBOURS = 10
 QUERY_MODULUS = 100
 ITERATIONS = 12
-#: Queries that travel together, vectors of a cell in one block, and vectors of a cell that one
-#: task blocks: a larger cell is dealt to several.
+#: Queries that travel together, and vectors of a cell in one block.
 QUERY_BLOCK = 128
-VECTOR_BLOCK = 1024
-CELL_PART = 1 << 16
+VECTOR_BLOCK = 256
+#: A cell that holds more than one in PARTS of all vectors is dealt to several tasks; a part
+#: has a block at least and MOST_IN_PART vectors at most.
+PARTS = 1000
+MOST_IN_PART = 1 << 16
 #: Queries whose nearest a task holds before it passes them on.
 HELD = 50_000
 
@@ -75,6 +77,11 @@ class MultiIndex:
     def cells(self, x: np.ndarray) -> np.ndarray:
         return nearest_centroid(x[:, : self.half], self.first) * len(self.second) + nearest_centroid(x[:, self.half :], self.second)
 
+    def parts(self) -> np.ndarray:
+        """How many parts each cell is dealt to."""
+        size = min(MOST_IN_PART, max(VECTOR_BLOCK, -(-int(self.population.sum()) // PARTS)))
+        return np.maximum(1, -(-self.population.reshape(-1) // size))
+
     def probe(self, x: np.ndarray, wanted: float) -> list[int]:
         """Non-empty cells by rising summed distance until they hold ``wanted`` vectors."""
         d1 = ((self.first - x[: self.half]) ** 2).sum(axis=1)
@@ -202,7 +209,7 @@ def _blocks(placed: DataFrame, index: MultiIndex) -> DataFrame:
         if held:
             yield flush()
 
-    parts = np.maximum(1, -(-index.population.reshape(-1) // CELL_PART))
+    parts = index.parts()
     many = {int(c): int(parts[c]) for c in np.flatnonzero(parts > 1)}  # at most K * K cells
     part = F.lit(0)
     if many:
@@ -215,7 +222,7 @@ def _blocks(placed: DataFrame, index: MultiIndex) -> DataFrame:
 
 def _probes(queries: DataFrame, index: MultiIndex, total: int) -> DataFrame:
     """``cell, part, ids, vectors``: for each block of queries, those that visit a cell."""
-    parts = np.maximum(1, -(-index.population.reshape(-1) // CELL_PART)).tolist()
+    parts = index.parts().tolist()
     wanted = index.share * total
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

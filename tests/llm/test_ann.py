@@ -58,7 +58,7 @@ def test_odd_vectors(spark):
 
 
 def test_hot_cell_is_dealt(spark, monkeypatch):
-    monkeypatch.setattr(ann, "CELL_PART", 50)
+    monkeypatch.setattr(ann, "MOST_IN_PART", 50)
     monkeypatch.setattr(ann, "VECTOR_BLOCK", 16)
     rng = np.random.default_rng(1)
     rows = [(k, [1.0, 2.0, 3.0, 4.0] if k % 3 == 0 else rng.normal(size=4).tolist()) for k in range(900)]
