@@ -30,7 +30,7 @@ def snippet(line: Column) -> Column:
 
 def extension(name: Column) -> Column:
     """The lower-cased suffix of a file name; a leading or a last dot makes none."""
-    return F.lower(F.regexp_extract(name, r"[^.].*?(\.[^.]+)$", 1))
+    return F.lower(F.regexp_extract(name, r"(?s)^.+(\.[^.]+)$", 1))
 
 
 def base_name(path: Column) -> Column:

