@@ -106,13 +106,42 @@ def needle(pattern: str) -> str:
     return "".join(out).lower() if len(out) >= 3 and "".join(out).isascii() else ""
 
 
+def needles(pattern: str) -> tuple[str, ...]:
+    """Lower-case literals of which every match of ``pattern`` holds at least one, or none.
+
+    Of the parts that every match must have, the one with the longest literals is taken; an
+    alternation needs a literal from each of its branches.
+    """
+
+    def required(parts) -> set[str]:
+        found, run = [], ""
+        for op, value in [*parts, (None, None)]:
+            if op is _parser.LITERAL:
+                run += chr(value).lower()
+                continue
+            if run:
+                found.append({run})
+                run = ""
+            if op is _parser.SUBPATTERN:
+                found.append(required(value[-1]))
+            elif op in (_parser.MAX_REPEAT, _parser.MIN_REPEAT) and value[0] > 0:
+                found.append(required(value[2]))
+            elif op is _parser.BRANCH:
+                branches = [required(b) for b in value[1]]
+                found.append(set().union(*branches) if all(branches) else set())
+        return max(found, key=lambda f: min(map(len, f), default=0), default=set())
+
+    out = required(_parser.parse(pattern, re.IGNORECASE | re.MULTILINE))
+    return tuple(sorted(out)) if out and min(map(len, out)) >= 3 and all(map(str.isascii, out)) else ()
+
+
 class Rule(NamedTuple):
     name: str
     regex: re.Pattern
     severity: str
     category: str
     description: str
-    needle: str
+    needles: tuple[str, ...]
     credible: Callable[[str], bool] | None
 
 
@@ -129,7 +158,7 @@ def compile_rule(name: str, pattern: str, severity: str, category: str, descript
         regex = re.compile(pattern, re.IGNORECASE | re.MULTILINE)
     except re.error:
         return None
-    return Rule(name, regex, severity, category, description, needle(pattern), is_credible if name in VALIDATED else None)
+    return Rule(name, regex, severity, category, description, needles(pattern), is_credible if name in VALIDATED else None)
 
 
 def compile_rules(rows) -> tuple[Rule, ...]:
@@ -162,7 +191,7 @@ def scan_rules(text: str, rules: tuple[Rule, ...], analyzer: str = "pattern") ->
     low, starts = text.lower(), line_starts(text)
     lines = text.split("\n")
     for rule in rules:
-        if rule.needle and rule.needle not in low:
+        if rule.needles and not any(n in low for n in rule.needles):
             continue
         for m in rule.regex.finditer(text):
             if rule.credible is None or rule.credible(m[0]):
@@ -453,11 +482,19 @@ def python_tree(text: str) -> list[TreeNode]:
         root = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return []
+    lines = [line.encode() for line in text.split("\n")]
+
+    def segment(n: ast.AST) -> str:
+        own = lines[n.lineno - 1 : n.end_lineno]
+        own[-1] = own[-1][: n.end_col_offset]
+        own[0] = own[0][n.col_offset :]
+        return b"\n".join(own).decode(errors="ignore")
+
     rows, queue = [], [(root, -1)]
     for node, parent in queue:
         k = len(rows)
         kind = _TREE_TYPES.get(type(node).__name__, type(node).__name__)
-        shown = (ast.get_source_segment(text, node) or "") if isinstance(node, (ast.expr, ast.stmt)) else ""
+        shown = segment(node) if isinstance(node, (ast.expr, ast.stmt)) else ""
         rows.append(TreeNode(k, parent, kind, getattr(node, "lineno", 0), shown[:1000]))
         queue += [(child, k) for child in ast.iter_child_nodes(node)]
     return rows

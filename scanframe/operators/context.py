@@ -63,7 +63,7 @@ def detectors(raw: Column, clean: Column, ext: Column, path: Column) -> list[Col
     arguments = lambda s: F.substring(s, F.instr(s, "(") + 1, F.length(s))
     severity = F.when(test, "MEDIUM").otherwise("CRITICAL")
     out.append(
-        _where(ext.isin(*SQL_EXTS), clean_lines, lambda s: s["s"].rlike(sink) & arguments(s["s"]).rlike(dynamic), lambda s: _hit(s, F.lit("SQL built from dynamic string"), severity, plain(s), F.lit(SQL_TEXT), "INJECTION"))
+        _where(ext.isin(*SQL_EXTS) & clean.rlike(sink), clean_lines, lambda s: s["s"].rlike(sink) & arguments(s["s"]).rlike(dynamic), lambda s: _hit(s, F.lit("SQL built from dynamic string"), severity, plain(s), F.lit(SQL_TEXT), "INJECTION"))
     )
     for pattern, any_case, kind, level, told in CONFIG_CHECKS:
         p = ("(?idU)" if any_case else C.TEXT_FLAGS) + pattern
@@ -76,7 +76,8 @@ def detectors(raw: Column, clean: Column, ext: Column, path: Column) -> list[Col
     masked = lambda s: F.left(F.replace(C.strip(s["s"]), part(s["s"], 3), F.repeat(F.lit("*"), F.least(F.length(C.strip(part(s["s"], 3))), F.lit(12)))), F.lit(C.SNIPPET))
     told = lambda s: F.concat(F.lit("Credential '"), part(s["s"], 1), F.lit("' hardcoded in "), ext, F.lit(" source. Move to environment variables or a secrets manager."))
     level = F.when(test, "HIGH").otherwise("CRITICAL")
-    out.append(_where(raw.rlike(secret), lines, keep, lambda s: _hit(s, F.lit("hardcoded credential"), level, masked(s), told(s), "AUTH")))
+    named = F.lower(raw).rlike("pass|pwd|secret|key|token")
+    out.append(_where(named & raw.rlike(secret), lines, keep, lambda s: _hit(s, F.lit("hardcoded credential"), level, masked(s), told(s), "AUTH")))
     return out
 
 

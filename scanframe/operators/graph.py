@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from scanframe import tables
 from scanframe.functions import columns as C
-from scanframe.schema import STAGE
+from scanframe.schema import RANKED, STAGE
 
 #: The languages whose files get a graph.
 LANGUAGES = ("python", "javascript", "java", "php")
@@ -52,26 +54,32 @@ def nodes(files: DataFrame) -> DataFrame:
     kept whatever the node has become, as uses are looked up by them. Ids count a file's nodes.
     """
     code = files.filter(F.col("language").isin(*LANGUAGES) & (F.col("content") != "")).select("path", "language", "content")
-    lines = code.select("path", "language", F.posexplode(F.split("content", "\n")).alias("k", "raw")).select("path", "language", (F.col("k") + 1).alias("line"), C.strip(F.col("raw")).alias("s"))
-    s, lang = F.col("s"), F.col("language")
-    parsed = lines.filter(s != "").select(
-        "path",
-        "language",
-        "line",
-        "s",
-        C.is_comment_line(s, lang).alias("is_comment"),
-        _by_language(lang, lambda k: _group(s, tables.FUNCTION_PATTERNS[k], *_function_groups(k))).alias("function"),
-        _by_language(lang, lambda k: _group(s, _assignment(k), 1)).alias("variable"),
-        _by_language(lang, lambda k: _group(s, _assignment(k), 2)).alias("value"),
-        _by_language(lang, lambda k: _first_in(s, tables.GRAPH_SINKS[k], "(")).alias("sink"),
-        _by_language(lang, lambda k: _first_in(s, tables.GRAPH_SOURCES[k], "([")).alias("source"),
-        F.when(lang == "python", s.rlike("f[\"']|%|\\.format\\("))
-        .when(lang == "javascript", s.rlike("[`+]"))
-        .when(lang == "java", F.contains(s, F.lit("+")) & (F.contains(s, F.lit('"')) | F.contains(s, F.lit("String"))))
-        .when(lang == "php", F.contains(s, F.lit(".")) & F.contains(s, F.lit('"')))
-        .otherwise(F.lit(False))
-        .alias("joined"),
-    )
+    lang = F.col("language")
+
+    def read(raw: Column, k: Column) -> Column:
+        s = C.strip(raw)
+        joined = (
+            F.when(lang == "python", s.rlike("f[\"']|%|\\.format\\("))
+            .when(lang == "javascript", s.rlike("[`+]"))
+            .when(lang == "java", F.contains(s, F.lit("+")) & (F.contains(s, F.lit('"')) | F.contains(s, F.lit("String"))))
+            .otherwise(F.contains(s, F.lit(".")) & F.contains(s, F.lit('"')))
+        )
+        return F.struct(
+            (k + 1).alias("line"),
+            s.alias("s"),
+            C.is_comment_line(s, lang).alias("is_comment"),
+            _by_language(lang, lambda x: _group(s, tables.FUNCTION_PATTERNS[x], *_function_groups(x))).alias("function"),
+            _by_language(lang, lambda x: _group(s, _assignment(x), 1)).alias("variable"),
+            _by_language(lang, lambda x: _group(s, _assignment(x), 2)).alias("value"),
+            _by_language(lang, lambda x: _first_in(s, tables.GRAPH_SINKS[x], "(")).alias("sink"),
+            _by_language(lang, lambda x: _first_in(s, tables.GRAPH_SOURCES[x], "([")).alias("source"),
+            joined.alias("joined"),
+        )
+
+    # read within the file's row: once exploded, a filter on what was read would be pushed
+    # down together with all its patterns and run them again
+    parsed = code.select("path", "language", F.explode(F.transform(F.split("content", "\n"), read)).alias("x")).select("path", "language", "x.*").filter("s <> ''")
+    s = F.col("s")
     kind = (
         F.when(F.col("is_comment"), "comment")
         .when(F.col("joined"), "string_concat")
@@ -154,15 +162,36 @@ def flows(found: DataFrame, linked: DataFrame) -> DataFrame:
     kept = found.join(both, "path", "left_semi").select("path", F.substring("id", 2, 10).cast("int").alias("n"), "label", "line", "variable", "node_type", "is_source", "is_sink")
     number = lambda c: F.substring(c, 2, 10).cast("int")
     walks = linked.filter("edge_type = 'data_flow'").join(both, "path", "left_semi").select(F.col("path").alias("of"), number("source_id").alias("a"), number("target_id").alias("b"))
-    out = "path string, source_id string, sink_id string, source string, sink string, source_line int, sink_line int, vars array<string>"
-    return kept.groupBy("path").cogroup(walks.groupBy("of")).applyInArrow(_walk, out)
+    return kept.groupBy("path").cogroup(walks.groupBy("of")).applyInArrow(_walk, _FLOWS)
+
+
+_FLOWS = "path string, source_id string, sink_id string, source string, sink string, source_line int, sink_line int, vars array<string>"
+_FLOW_KINDS = [pa.string()] * 5 + [pa.int32()] * 2 + [pa.list_(pa.string())]
+
+
+def _following(own: dict[int, dict]) -> dict[int, list[int]]:
+    """The data-flow edges of one file, as ``data_edges`` draws them, where they can matter."""
+    following = defaultdict(list)
+    if any(r["is_source"] for r in own.values()) and any(r["is_sink"] for r in own.values()):
+        uses = [(n, r["label"], (r["value"] or "") if r["node_type"] == "assignment" else "") for n, r in sorted(own.items()) if not r["is_comment"]]
+        for n, r in own.items():
+            if v := r["variable"]:
+                following[n] = [m for m, shown, stored in uses if (v in shown or v in stored) and not (m == n and r["node_type"] == "assignment")]
+    return following
 
 
 def _walk(found: pa.Table, walks: pa.Table) -> pa.Table:
-    own = {r["n"]: r for r in found.to_pylist()}
     following = defaultdict(list)
     for r in sorted(walks.to_pylist(), key=lambda r: (r["a"], r["b"])):
         following[r["a"]].append(r["b"])
+    rows = _search({r["n"]: r for r in found.to_pylist()}, following)
+    columns = zip(*rows, strict=True) if rows else [[]] * 8
+    names = [f.split()[0] for f in _FLOWS.split(", ")]
+    return pa.table([pa.array(c, k) for c, k in zip(columns, _FLOW_KINDS, strict=True)], names=names)
+
+
+def _search(own: dict[int, dict], following: dict[int, list[int]]) -> list[tuple]:
+    """Breadth first from every source to every sink of a file."""
     shown = lambda r: r["variable"] if r["node_type"] == "assignment" and r["variable"] else r["label"]
     rows = []
     for s in sorted(n for n, r in own.items() if r["is_source"]):
@@ -178,9 +207,7 @@ def _walk(found: pa.Table, walks: pa.Table) -> pa.Table:
                 walk.append(came[walk[-1]])
             names = [shown(own[n]) for n in reversed(walk)]
             rows.append((own[s]["path"], f"n{s}", f"n{t}", own[s]["label"], own[t]["label"], own[s]["line"], own[t]["line"], names))
-    kinds = [pa.string()] * 5 + [pa.int32()] * 2 + [pa.list_(pa.string())]
-    columns = zip(*rows, strict=True) if rows else [[]] * 8
-    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["path", "source_id", "sink_id", "source", "sink", "source_line", "sink_line", "vars"])
+    return rows
 
 
 def summary(found: DataFrame, linked: DataFrame, flowing: DataFrame) -> DataFrame:
@@ -219,8 +246,41 @@ def findings(found: DataFrame, flowing: DataFrame) -> DataFrame:
 
 
 def graph_findings(files: DataFrame) -> DataFrame:
-    found = nodes(files)
-    return findings(found, flows(found, data_edges(found)))
+    """``findings`` of all files in one pass over the nodes.
+
+    Numbering the nodes has put each file's into one partition, in order; so a task goes
+    through its files one after another, draws their edges and finds their flows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for _, own in groupby((r for b in batches for r in b.to_pylist()), key=lambda r: r["path"]):
+            rows += _file_findings(list(own))
+            if len(rows) > 4096:
+                yield _batch(rows)
+                rows = []
+        if rows:
+            yield _batch(rows)
+
+    return nodes(files).sortWithinPartitions("path", "line").mapInArrow(run, RANKED)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.int32(), *[pa.string()] * 6, pa.int32(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=RANKED.names)
+
+
+def _file_findings(found: list[dict]) -> list[tuple]:
+    own = {int(r["id"][1:]): r for r in found}
+    rows = []
+    for path, s, t, source, sink, at, line, names in _search(own, _following(own)):
+        told = f"Taint flow: '{source}' (line {at}) flows into dangerous '{sink}' (line {line}). Path: {' -> '.join(names)}"
+        rows.append((path, line, f"Taint: {source} -> {sink}", "CRITICAL", "", told, "INJECTION", "cpg", STAGE["graph"], (int(s[1:]) << 24) + int(t[1:])))
+    for n, r in own.items():
+        if r["node_type"] == "string_concat":
+            told = f"Potential injection via string concatenation: {r['label'][:80]}"
+            rows.append((r["path"], r["line"], "String Concatenation in Query", "MEDIUM", "", told, "INJECTION", "cpg", STAGE["graph"], (1 << 60) + n))
+    return rows
 
 
 def in_comment(found: DataFrame, lines: DataFrame) -> DataFrame:

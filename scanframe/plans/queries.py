@@ -505,10 +505,22 @@ def graph_summary(spark, sf_dir):
     return graph.summary(found, graph.edges(found), flowing)
 
 
+@query(
+    "SELECT w.path AS file, b.line, 'Taint: ' || a.label || ' -> ' || b.label AS type FROM walk w JOIN nodes a ON a.path = w.path AND a.id = w.source_id AND a.is_source "
+    "JOIN nodes b ON b.path = w.path AND b.id = w.target_id AND b.is_sink",
+    f"RECURSIVE {CODE}",
+    LINES,
+    NODES,
+    DATA,
+    FLOWS.removeprefix("RECURSIVE "),
+)
+def graph_flow_findings(spark, sf_dir):
+    return graph.graph_findings(views.code(spark, sf_dir)).filter("severity = 'CRITICAL'").select("file", "line", "type")
+
+
 @query("SELECT path AS file, line, 'String Concatenation in Query' AS type, 'Potential injection via string concatenation: ' || left(label, 80) AS description FROM nodes WHERE node_type = 'string_concat'", CODE, LINES, NODES)
 def graph_joined_strings(spark, sf_dir):
-    found, flowing = _flows(spark, sf_dir)
-    return graph.findings(found, flowing).filter("severity = 'MEDIUM'").select("file", "line", "type", "description")
+    return graph.graph_findings(views.code(spark, sf_dir)).filter("severity = 'MEDIUM'").select("file", "line", "type", "description")
 
 
 @query("SELECT path, line FROM nodes WHERE is_comment", CODE, LINES, NODES)

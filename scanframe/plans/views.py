@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from scanframe import tables
 from scanframe.functions import columns as C
+from scanframe.plans.stages import spread
 from scanframe.sources.files import files_from_table
 
 
@@ -81,7 +82,7 @@ EXTS = tuple(PROGRAMS)
 
 def code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A program for every part."""
-    part = read(spark, sf_dir, "part")
+    part = spread(read(spark, sf_dir, "part"))
     k = F.col("p_partkey").cast("string")
     text = F.lit("")
     for n, ext in enumerate(EXTS):
@@ -111,7 +112,7 @@ LINES = """lines AS (
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as text files."""
-    d = read(spark, sf_dir, "documents")
+    d = spread(read(spark, sf_dir, "documents"))
     return files_from_table(d.select(F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.coalesce("text", F.lit("")).alias("content")))
 
 
@@ -123,7 +124,7 @@ DOCS = """docs AS (
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page urls as one-line files."""
-    p = read(spark, sf_dir, "pages")
+    p = spread(read(spark, sf_dir, "pages"))
     return files_from_table(p.select(F.concat(F.lit("links/"), F.col("page_id").cast("string"), F.lit(".md")).alias("path"), F.coalesce("url", F.lit("")).alias("content")))
 
 
@@ -207,7 +208,7 @@ PACKAGES = ("django", "flask", "lodash", "log4j-core", "ring", "tar")
 
 def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A manifest for every part."""
-    part, k = read(spark, sf_dir, "part"), F.col("p_partkey")
+    part, k = spread(read(spark, sf_dir, "part")), F.col("p_partkey")
     names = list(MANIFESTS)
     name = F.get(F.array(*map(F.lit, names)), (k % len(names)).cast("int"))
     text = F.get(F.array(*[F.lit(MANIFESTS[n]) for n in names]), (k % len(names)).cast("int"))

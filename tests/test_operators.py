@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from scanframe.operators import context, dependencies, findings, graph, rules, syntax
-from scanframe.plans import queries, scan
+from scanframe.plans import queries, scan, views
 from scanframe.schema import FILE, RANKED, STAGE
 from scanframe.sources import files, reports, sinks
 from scanframe.streaming import incremental
@@ -119,6 +119,10 @@ def test_context_others(spark):
     ]
 
 
+def flows_of(found):
+    return graph.flows(found, graph.data_edges(found))
+
+
 def test_graph_flow(spark):
     text = "# c\na = request.args\nb = a\nopen(b)\neval(a)"
     df = files.files_from_table(spark.createDataFrame([("p.py", text)], "path string, content string"))
@@ -131,6 +135,8 @@ def test_graph_flow(spark):
     assert {(r.source_id, r.target_id) for r in graph.data_edges(found, words=True).collect()} == {("n2", "n3")}
     flows = graph.flows(found, graph.data_edges(found)).collect()
     assert [(r.source, r.sink, r.vars) for r in flows] == [("request.args", "eval", ["request.args", "eval"])]
+    both = [sorted(map(tuple, x.collect())) for x in (graph.findings(found, flows_of(found)), graph.graph_findings(df))]
+    assert both[0] == both[1]
     assert {(r.type, r.severity) for r in graph.graph_findings(df).collect()} == {("Taint: request.args -> eval", "CRITICAL")}
     assert [r.line for r in graph.in_comment(found, found.select("path", "line")).collect()] == [1]
 
@@ -287,5 +293,8 @@ def test_plans(spark):
     df = files.files_from_table(docs.select(F.col("source").alias("path"), F.col("text").alias("content")))
     plan = explain(rules.procedural(df))
     assert "Exchange" not in plan and "ReadSchema: struct<text:string,source:string>" in plan
+    found = graph.graph_findings(views.code(spark, SF))
+    physical = found._jdf.queryExecution().executedPlan().toString()
+    assert physical.count("Exchange hashpartitioning(path") == 1 and physical.count("Scan parquet") == 1
     assert explain(findings.top(make(spark, []), 5)).count("TakeOrderedAndProject") >= 1
     assert STAGE["file"] == 0

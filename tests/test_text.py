@@ -81,7 +81,29 @@ def test_needles_are_in_every_match():
             rule = source.compile_rule(*r[:5])
             text = "x = 1\neval(input()) pickle.load(f) MODE_ECB modes.ECB ImageField http://a debug=true\n" * 2
             for m in rule.regex.finditer(text):
-                assert rule.needle in m[0].lower()
+                assert source.needle(r[1]) in m[0].lower()
+                assert not rule.needles or any(n in m[0].lower() for n in rule.needles)
+
+
+@pytest.mark.parametrize(
+    ("pattern", "want"),
+    [
+        (r"FileField|ImageField", ("filefield", "imagefield")), (r"(?:attr_accessible|permit!|params\[)", ("attr_accessible", "params[", "permit!")), (r"a?b*\w+", ()), (r"ab\s*cde(?:f|)", ("cde",)),
+        (r"(?:x|yyyy)", ()), (r"(?:abc)+d", ("abc",)), (r"(?:abc)*dd", ()), (r"(?<!\w)eval\s*\(", ("eval",)),
+    ],
+)
+def test_needles(pattern, want):
+    assert source.needles(pattern) == want
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.data())
+def test_needles_occur_in_generated_matches(data):
+    rows = [*tables.LANGUAGE_RULES, *tables.CONFIG_RULES]
+    pattern = data.draw(st.sampled_from([r[1] for r in rows if "(?!" not in r[1] and "(?<!" not in r[1]]))
+    match = data.draw(st.from_regex(re.compile(pattern, re.IGNORECASE | re.MULTILINE), fullmatch=True))
+    found = source.needles(pattern)
+    assert not found or any(n in match.lower().replace("\u017f", "s") for n in found)
 
 
 def test_rule_lines_and_snippets():
