@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scanframe.llm.common import table
+from scanframe.llm.common import dealt_table
 
 K = 32
 #: Rows that centroids and probing are fitted on, by hash of vec_id, at most about this many.
@@ -314,4 +314,4 @@ def search(vectors: DataFrame, neighbours: int = NEIGHBOURS, modulus: int = QUER
 
 
 def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search(table(spark, sf_dir, "embeddings"))
+    return search(dealt_table(spark, sf_dir, "embeddings"))

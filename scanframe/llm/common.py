@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scanframe.plans.stages import materialise, shared_dir, spread
+
+__all__ = ["HOT_SHARE", "WHITE_SPACE", "WORD", "dealt_table", "lookup", "materialise", "shared_dir", "table"]
+
 #: A word is a run of anything but the six ASCII white-space characters. ``bytes.split()`` on
 #: UTF-8 cuts at exactly these; ``str.split()`` would also cut at non-ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,26 +24,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Where the cluster names none, a local master gets a temporary folder, as in tests; any
-    other master is refused, since a machine-local folder would lose data there.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        folder = tempfile.mkdtemp(prefix="scanframe-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: computed once, lineage cut."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def dealt_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """As ``table``, a small one dealt to all cores: for what takes much work a row."""
+    return spread(table(spark, sf_dir, name))
 
 
 def lookup(rows: DataFrame, keyed: DataFrame, key: str, weight: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scanframe.llm.common import table
+from scanframe.llm.common import dealt_table
 
 #: The bounds of the labelled sample: documents of a language by hash of doc_id, and of their
 #: distinct words the most frequent.
@@ -266,4 +266,4 @@ def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identify(table(spark, sf_dir, "documents"))
+    return identify(dealt_table(spark, sf_dir, "documents"))

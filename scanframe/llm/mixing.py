@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scanframe.llm.common import WORD, materialise, table
+from scanframe.llm.common import WORD, dealt_table, lookup, materialise
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -92,10 +92,13 @@ def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
 def spans(sized: DataFrame, ranked: DataFrame) -> DataFrame:
     """Add ``rank, source_size, target`` and ``at``, the words of the source before the row.
 
+    Large sources are looked up by broadcast, all others by shuffle.
+
     The running sum is taken within BUCKETS buckets of a source and over their totals, so no
     task holds a source.
     """
-    placed = sized.join(F.broadcast(ranked.drop("docs")), sized["source"].eqNullSafe(ranked["source"])).drop(ranked["source"])
+    key = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))  # null is a source of its own
+    placed = lookup(sized.withColumn("key", key), materialise(ranked.withColumn("key", key).drop("source"), "ranked"), "key", "docs").drop("key", "docs")
     bucketed = placed.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)))
     inner = Window.partitionBy("rank", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     totals = bucketed.groupBy("rank", "bucket").agg(F.sum("size").alias("total"))
@@ -126,24 +129,23 @@ def slots(spark: SparkSession, ranked: DataFrame, block_words: int = BLOCK_WORDS
     what it was drawn short is made up in further shards, so each source gets its quota to the
     block, and no block is taken more often than the rounds its quota makes over the source.
     """
-    rows = quotas(ranked, block_words).collect()  # a row a source
-    quota = {r["rank"]: r["quota"] for r in rows if r["quota"] > 0}
-    blocks = {r["rank"]: r["blocks"] for r in rows}
+    own = materialise(quotas(ranked, block_words).filter("quota > 0"), "quotas")
+    quota = {r["rank"]: r["quota"] for r in own.select("rank", "quota").collect()}  # two numbers a source
     total = sum(quota.values())
     n_shards = -(-total // per_shard)
-    ranks = sorted(quota)
-    kind = "shard long, rank int, drawn long"
+    ranks = np.array(sorted(quota), np.int32)
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for shard in b.column(0).to_pylist():
                 _, drawn = next(shard_counts(quota, range(shard, shard + 1), total, per_shard, seed))
-                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(ranks), pa.int64()), pa.array(ranks, pa.int32()), pa.array(drawn, pa.int64())], ["shard", "rank", "drawn"])
+                some = np.flatnonzero(drawn)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), shard)), pa.array(ranks[some]), pa.array(drawn[some])], ["shard", "rank", "drawn"])
 
     if not total:
         return spark.createDataFrame([], "shard long, rank int, slot long, block long")
     tasks = max(1, min(n_shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    drawn = materialise(spark.range(0, n_shards, 1, tasks).mapInArrow(draw, kind), "draws")
+    drawn = materialise(spark.range(0, n_shards, 1, tasks).mapInArrow(draw, "shard long, rank int, drawn long"), "draws")
     # running counts in two steps, over groups of shards, as a source has a row a shard
     group = F.floor(F.col("shard") / 1024)
     inner = Window.partitionBy("rank", "group").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
@@ -151,25 +153,25 @@ def slots(spark: SparkSession, ranked: DataFrame, block_words: int = BLOCK_WORDS
     grouped = drawn.withColumn("group", group)
     bases = grouped.groupBy("rank", "group").agg(F.sum("drawn").alias("sum")).select("rank", "group", F.coalesce(F.sum("sum").over(outer), F.lit(0)).alias("base"))
     first = F.col("base") + F.coalesce(F.sum("drawn").over(inner), F.lit(0))
-    limits = F.create_map(*[F.lit(x) for r in ranks for x in (r, quota[r])])
-    limit = F.element_at(limits, F.col("rank"))
-    counted = grouped.join(bases, ["rank", "group"]).withColumn("first", first).select("shard", "rank", F.col("first"), F.least(limit, F.col("first") + F.col("drawn")).alias("stop"))
-    short = drawn.groupBy("rank").agg(F.sum("drawn").alias("n")).filter(F.col("n") < limit).select(F.lit(n_shards).cast("long").alias("shard"), "rank", F.col("n").alias("first"), limit.alias("stop"))
-    ranges = counted.filter("first < stop").unionByName(short)
+    counted = grouped.join(bases, ["rank", "group"]).withColumn("first", first).join(own, "rank")
+    within = counted.select("shard", "rank", "first", F.least("quota", F.col("first") + F.col("drawn")).alias("stop"), "blocks").filter("first < stop")
+    reached = own.join(drawn.groupBy("rank").agg(F.sum("drawn").alias("n")), "rank", "left").withColumn("first", F.coalesce("n", F.lit(0)))
+    short = reached.filter("first < quota").select(F.lit(n_shards).cast("long").alias("shard"), "rank", "first", F.col("quota").alias("stop"), "blocks")
+    ranges = within.unionByName(short)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for shard, rank, start, stop in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for shard, rank, start, stop, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 for at in range(start, stop, 1 << 16):
                     k = np.arange(at, min(stop, at + (1 << 16)))
-                    n, taken = blocks[rank], np.empty(len(k), np.int64)
+                    taken = np.empty(len(k), np.int64)
                     for turn in np.unique(k // n):
                         own = k // n == turn
                         taken[own] = permute(k[own] % n, n, _mix(seed) ^ _mix(rank << 20 | int(turn)))
                     shards = shard + (k - start) // per_shard  # what is made up fills whole shards
                     yield pa.RecordBatch.from_arrays([pa.array(shards), pa.array(np.full(len(k), rank, np.int32)), pa.array(k), pa.array(taken)], ["shard", "rank", "slot", "block"])
 
-    return ranges.select("shard", "rank", "first", "stop").mapInArrow(fill, "shard long, rank int, slot long, block long")
+    return ranges.select("shard", "rank", "first", "stop", "blocks").mapInArrow(fill, "shard long, rank int, slot long, block long")
 
 
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -207,4 +209,4 @@ def resample(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"))
+    return mix(dealt_table(spark, sf_dir, "documents"))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanframe.llm.common import materialise, table
+from scanframe.llm.common import dealt_table, materialise
 from scanframe.llm.tokens import TOKENIZER, cut, tokenizer_path
 
 CAPACITY = 1024
@@ -168,4 +168,4 @@ def best_fit(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_fit(table(spark, sf_dir, "documents"))
+    return best_fit(dealt_table(spark, sf_dir, "documents"))

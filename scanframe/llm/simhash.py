@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanframe.llm.common import lookup, materialise, table
+from scanframe.llm.common import dealt_table, lookup, materialise
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -205,4 +205,4 @@ def drop_near_copies(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def op10_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(table(spark, sf_dir, "documents"))
+    return near_groups(dealt_table(spark, sf_dir, "documents"))

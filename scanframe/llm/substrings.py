@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanframe.llm.common import table
+from scanframe.llm.common import dealt_table
 
 WINDOW = 13
 #: Words of an anchor: an anchor is sent for about every (WINDOW - ANCHOR + 2) / 2 words.
@@ -320,7 +320,7 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = drop_repeats(table(spark, sf_dir, "documents"))
+    found = drop_repeats(dealt_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanframe.llm.common import table
+from scanframe.llm.common import dealt_table
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 1024
@@ -99,4 +99,4 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(table(spark, sf_dir, "documents"))
+    return token_counts(dealt_table(spark, sf_dir, "documents"))
