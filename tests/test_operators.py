@@ -298,3 +298,29 @@ def test_plans(spark):
     assert physical.count("Exchange hashpartitioning(path") == 1 and physical.count("Scan parquet") == 1
     assert explain(findings.top(make(spark, []), 5)).count("TakeOrderedAndProject") >= 1
     assert STAGE["file"] == 0
+
+
+# ---- surfaces
+
+
+def test_sql_functions(spark):
+    import scanframe
+
+    scanframe.register(spark)
+    row = spark.sql("SELECT severity_rank('HIGH') a, version_key('v1.20') b, is_test_path('x/spec/y') c, is_placeholder('changeme') d").first()
+    assert (row.a, [int(x) for x in row.b], row.c, row.d) == (1, [1, 20, 0, 0], True, True)
+    got = spark.sql("SELECT t.type FROM VALUES ('eval(input())', '.py') f(c, e), LATERAL scan_rules(f.c, f.e) t").collect()
+    assert [r.type for r in got] == ["Python eval(input)"]
+    assert spark.sql("SELECT * FROM scan_taint('eval(input())', '.py')").count() == spark.sql("SELECT * FROM scan_python('os.system(x)')").count() == 1
+
+
+def test_command(spark, tmp_path, monkeypatch):
+    from scanframe import __main__
+
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "a.py").write_text("eval(input())\n")
+    (tmp_path / "semgrep.json").write_text('{"results": [{"path": "%s/src/a.py", "check_id": "x", "start": {"line": 9}}]}' % tmp_path)
+    (tmp_path / "s.json").write_text(json.dumps({"detectors": ["file", "rules"], "reports": {"semgrep": str(tmp_path / "semgrep.json")}}))
+    out = __main__.main([str(tmp_path / "src"), "--report", str(tmp_path / "r.sarif"), "--kind", "sarif", "--settings", str(tmp_path / "s.json")])
+    assert out["coverage"]["analyzed"] == 1 and out["summary"]["medium"] == 1 and out["summary"]["critical"] >= 1
+    assert len(json.loads((tmp_path / "r.sarif").read_text())["runs"][0]["results"]) == out["summary"]["total"]
