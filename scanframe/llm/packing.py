@@ -20,6 +20,9 @@ END_ID = 2
 OPEN_BINS = 4096
 #: Pieces that one task packs. With about 2^16 the bins still open at its end weigh little.
 PIECES_PER_TASK = 1 << 16
+#: Pieces arrive in waves of about this many, each longest first: long ones open bins and short
+#: ones fill them, and a wave never needs more bins than may be open.
+WAVE = 1 << 12
 #: Sequence ids of a task start at a multiple of this.
 STRIDE = 1 << 33
 LONG_CHARS = 1 << 16
@@ -138,9 +141,10 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS,
     """Add ``sequence_id long, offset long`` to rows with ``length`` (1 to ``capacity``).
 
     ``parts`` must be materialised. Rows are dealt by a hash of all columns and sorted within
-    each task, so a task that runs again gives the same sequences.
+    each task, in waves, so a task that runs again gives the same sequences.
     """
-    n = max(1, -(-parts.count() // per_task))
+    total = parts.count()
+    n = max(1, -(-total // per_task))
     names = parts.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +157,8 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS,
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([base + x for x in number], pa.int64()), pa.array(offset, pa.int64())], [*names, "sequence_id", "offset"])
 
     order = F.xxhash64(*names)
-    dealt = parts.repartition(n, *names).sortWithinPartitions(order, *names)
+    wave = F.pmod(order, F.lit(max(1, total // n // WAVE)))
+    dealt = parts.repartition(n, *names).sortWithinPartitions(wave, F.desc("length"), order, *names)
     return dealt.mapInArrow(run, f"{', '.join(f'`{k}` {t}' for k, t in parts.dtypes)}, sequence_id long, offset long")
 
 
