@@ -13,8 +13,8 @@ from scanframe.llm.common import dealt_table
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 1024
-#: Characters handed to the tokenizer in one call, and the length at which a text is cut.
-BATCH_CHARS = 1 << 20
+#: Bytes handed to the tokenizer in one call, and the characters at which a text is cut.
+BATCH_BYTES = 1 << 20
 PIECE_CHARS = 1 << 16
 
 #: One ASCII space between two letters, digits or marks of ASCII. The byte-level pre-tokenizer
@@ -45,8 +45,8 @@ def cut(text: str, size: int = PIECE_CHARS) -> list[str]:
     return pieces
 
 
-def lengths(tokenizer, texts: list[str], batch_chars: int = BATCH_CHARS, piece_chars: int = PIECE_CHARS) -> list[int]:
-    """Token count of each text; calls are balanced by characters, long texts cut."""
+def lengths(tokenizer, texts: list[str], batch_bytes: int = BATCH_BYTES, piece_chars: int = PIECE_CHARS) -> list[int]:
+    """Token count of each text; calls are balanced by bytes, long texts cut."""
     counts = [0] * len(texts)
     owners: list[int] = []
     batch: list[str] = []
@@ -60,12 +60,13 @@ def lengths(tokenizer, texts: list[str], batch_chars: int = BATCH_CHARS, piece_c
 
     for k, text in enumerate(texts):
         for piece in cut(text, piece_chars) if len(text) > piece_chars else (text,):
-            if held + len(piece) > batch_chars and batch:
+            size = len(piece.encode())
+            if held + size > batch_bytes and batch:
                 flush()
                 held = 0
             owners.append(k)
             batch.append(piece)
-            held += len(piece)
+            held += size
     if batch:
         flush()
     return counts
