@@ -1,7 +1,15 @@
 """The pipeline's rows against its operators run one after another, and its stages' contracts."""
 
+import re
+
+import numpy as np
+import regex
+from test_langid import plain_phrases
+from test_text_ops import plain_components
+
 import corpus_pipeline
 from scanframe.llm import exact_dedup, langid, mixing, packing, simhash
+from scanframe.llm.common import materialise
 
 
 def test_stages(spark, tmp_path):
@@ -34,3 +42,81 @@ def test_empty_and_extra_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:4]:
         assert stage(spark, docs.limit(0), "").columns == docs.columns and stage(spark, docs.limit(0), "").count() == 0
         assert stage(spark, docs, "").columns == docs.columns
+
+
+def plain_mix(spark, docs):
+    """Words taken of each document, slot by slot, from the documents' places."""
+    ranked = mixing.targets(mixing.sizes(docs))
+    places = mixing.spans(materialise(mixing.sizes(docs), "s"), materialise(ranked, "t")).collect()
+    rows = mixing.quotas(ranked).filter("quota > 0").collect()
+    quota, blocks = {r["rank"]: r["quota"] for r in rows}, {r["rank"]: r["blocks"] for r in rows}
+    owner = {k: [None] * r.source_size for r in places for k in [r["rank"]]}
+    for n, r in enumerate(places):
+        assert owner[r["rank"]][r["at"] : r["at"] + r["size"]] == [None] * r["size"]  # no two share a place
+        owner[r["rank"]][r["at"] : r["at"] + r["size"]] = [n] * r["size"]
+    total = sum(quota.values())
+    drawn = dict.fromkeys(quota, 0)
+    for _, counts in mixing.shard_counts(quota, range(-(-total // mixing.SLOTS_PER_SHARD)), total):
+        for k, c in zip(sorted(quota), counts.tolist(), strict=True):
+            drawn[k] += c
+    taken = [0] * len(places)
+    for k, q in quota.items():  # what is drawn past the quota is dropped, what is short is made up
+        for slot in range(q):
+            turn, index = divmod(slot, blocks[k])
+            key = mixing._mix(mixing.SEED) ^ mixing._mix(k << 20 | turn)
+            block = int(mixing.permute(np.array([index]), blocks[k], key)[0])
+            for n in owner[k][block * mixing.BLOCK_WORDS : (block + 1) * mixing.BLOCK_WORDS]:
+                taken[n] += 1
+    assert all(abs(drawn[k] - q) <= 6 * q**0.5 + 3 for k, q in quota.items())  # draws come near their quotas
+    return {r.doc_id: (r["size"], t) for r, t in zip(places, taken, strict=True)}
+
+
+def test_run_equals_plain_version(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = {r.doc_id: r for r in docs.collect()}
+    # language: every letter run parsed on its own, phrase by phrase
+    model = langid.fit(docs)
+    kept = {}
+    for i, r in rows.items():
+        words = [f" {w.lower()} " for w in regex.findall(r"\p{L}+", r.text)]
+        phrases = [sum(plain_phrases(text, w) for w in words) for text in model_texts(spark, docs, model)]
+        best = min(range(len(phrases)), key=lambda k: phrases[k] * model.cost[k]) if words else None
+        if words and sum(map(len, words)) / phrases[best] >= langid.LEAST_PHRASE:
+            kept[i] = r
+    # exact copies, then near copies
+    groups = {}
+    for i, r in kept.items():
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", r.text), []).append((-len(r.text), i))
+    kept = {i: kept[i] for g in groups.values() for _, i in [min(g)]}
+    alone = {i for i, _, c in plain_components([(i, r.text) for i, r in kept.items()]) if i == c}
+    left = spark.createDataFrame([tuple(kept[i]) for i in sorted(alone)], docs.schema)
+    # mixing, then pieces
+    want = []
+    encode = packing.encoder(packing.tokenizer_path(packing.TOKENIZER))
+    for i, (size, taken) in plain_mix(spark, left).items():
+        for _ in range(int(taken / size + 0.5) if size else 1):
+            n = len(encode(kept[i].text)) + 1
+            want += [(i, k, at, m) for k, (at, m) in enumerate(packing.pieces_of(n))]
+    got = corpus_pipeline.run(spark, sf).select("doc_id", "piece", "start", "length").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+_TEXTS = {}
+
+
+def model_texts(spark, docs, model):
+    """The learned text of each language, read back off its automaton's longest path."""
+    if not _TEXTS:
+        for lang, a in zip(model.langs, model.automata, strict=True):
+            longest, follow = [""] * a.states, a.dense()
+            order, incoming = [0], np.bincount(a.steps[:, 2], minlength=a.states)
+            for s in order:  # states in topological order, each with its longest string
+                for c, t in enumerate(follow[s]):
+                    if t:
+                        incoming[t] -= 1
+                        longest[t] = max(longest[t], longest[s] + a.letters[c - 1], key=len)
+                        if not incoming[t]:
+                            order.append(int(t))
+            _TEXTS[lang] = max(longest, key=len)
+    return [_TEXTS[k] for k in model.langs]
