@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanframe import tables
-from scanframe.functions import columns as C
 from scanframe.plans.stages import spread
 from scanframe.sources.files import files_from_table
 
