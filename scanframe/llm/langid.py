@@ -25,8 +25,8 @@ SAMPLE_WORDS = 4000
 UNKNOWN = "und"
 #: Tokens whose phrase counts a task remembers before it starts anew, and bytes of text that
 #: it takes at a time.
-REMEMBERED = 300_000
-PART_BYTES = 4 << 20
+REMEMBERED = 200_000
+PART_BYTES = 2 << 20
 #: Below this mean phrase length no learned language explains a text: its letters or letter
 #: pairs hardly occur in any of them.
 LEAST_PHRASE = 1.5
@@ -176,12 +176,13 @@ class Predictor:
         return self.model.langs[best], score, float(counts[-1] / counts[best])
 
 
-def in_parts(texts: list[bytes | None]) -> Iterator[list[bytes | None]]:
+def in_parts(column: pa.Array) -> Iterator[list[bytes | None]]:
     """Runs of texts of about PART_BYTES bytes, so that what a part adds to memory is bounded."""
     part, held = [], 0
-    for t in texts:
-        part.append(t)
-        held += len(t or b"")
+    for value in column:
+        text = value.as_py()
+        part.append(text)
+        held += len(text or b"")
         if held > PART_BYTES:
             yield part
             part, held = [], 0
@@ -239,7 +240,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predictor = Predictor(sent.value)
         for b in batches:
-            rows = [r for part in in_parts(b.column(2).to_pylist()) for r in predictor.predict(part)]
+            rows = [r for part in in_parts(b.column(2)) for r in predictor.predict(part)]
             columns = zip(*rows, strict=True) if rows else [[]] * 3
             arrays = [pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.float64(), pa.float64()), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *arrays], names)
@@ -259,7 +260,7 @@ def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predictor = Predictor(sent.value)
         for b in batches:
-            found = [r for part in in_parts(b.column("text").cast(pa.binary()).to_pylist()) for r in predictor.predict(part)]
+            found = [r for part in in_parts(b.column("text").cast(pa.binary())) for r in predictor.predict(part)]
             yield b.filter(pa.array([lang != UNKNOWN and size >= LEAST_PHRASE for lang, _, size in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -45,9 +45,9 @@ def cut(text: str, size: int = PIECE_CHARS) -> list[str]:
     return pieces
 
 
-def lengths(tokenizer, texts: list[str], batch_bytes: int = BATCH_BYTES, piece_chars: int = PIECE_CHARS) -> list[int]:
+def lengths(tokenizer, texts: Iterable[str], batch_bytes: int = BATCH_BYTES, piece_chars: int = PIECE_CHARS) -> list[int]:
     """Token count of each text; calls are balanced by bytes, long texts cut."""
-    counts = [0] * len(texts)
+    counts: list[int] = []
     owners: list[int] = []
     batch: list[str] = []
     held = 0
@@ -59,6 +59,7 @@ def lengths(tokenizer, texts: list[str], batch_bytes: int = BATCH_BYTES, piece_c
         batch.clear()
 
     for k, text in enumerate(texts):
+        counts.append(0)
         for piece in cut(text, piece_chars) if len(text) > piece_chars else (text,):
             size = len(piece.encode())
             if held + size > batch_bytes and batch:
@@ -88,7 +89,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
 
         tokenizer = Tokenizer.from_file(path)
         for b in batches:
-            counts = lengths(tokenizer, b.column(1).to_pylist())
+            counts = lengths(tokenizer, (t.as_py() for t in b.column(1)))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(2), pa.array(counts, pa.int64()), pa.array([c > limit for c in counts], pa.bool_())],
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],
