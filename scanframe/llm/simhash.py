@@ -1,4 +1,8 @@
-"""SimHash near-duplicates: BK-trees over banded shards, then connected components."""
+"""SimHash near-duplicates: BK-trees over banded shards, then connected components.
+
+``near_groups`` links fingerprints (op10_simhash_bk). ``drop_similar``, a stage of the pipeline,
+uses fingerprints for candidates only and links texts by their exact shingle similarity.
+"""
 
 from __future__ import annotations
 
@@ -21,6 +25,17 @@ RADIUS = 2
 BLOCKS = 4
 #: Shingles whose bits are counted at a time.
 CHUNK = 1 << 15
+#: Texts are similar from SIMILAR on: the Jaccard similarity of their sets of SIMILAR_WORDS-word
+#: shingles. Two such texts differ by 10 of 64 bits on average, so candidates may by WIDE_RADIUS.
+SIMILAR_WORDS = 5
+SIMILAR = 0.8
+WIDE_RADIUS = 26
+#: Candidates share one of BANDS bands of BAND_HASHES least hashes: 1 - (1 - 0.8^5)^20, or
+#: 0.9996, of the pairs of similarity SIMILAR do, and more of those above.
+BANDS = 20
+BAND_HASHES = 5
+#: A shard of more fingerprints is linked as a whole: the exact check parts it again.
+LARGE_SHARD = 1 << 13
 
 
 def fingerprint(text: bytes | None, size: int = SHINGLE_WORDS, seed: int = SEED) -> int:
@@ -204,5 +219,227 @@ def drop_near_copies(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return stay
 
 
+def shingles(text: bytes | None, size: int = SIMILAR_WORDS, seed: int = SEED) -> np.ndarray:
+    """Sorted 64-bit hashes of a text's distinct word shingles; a shorter text is one shingle."""
+    words = (text or b"").lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    joined = b" ".join(words)
+    ends = list(accumulate((len(w) + 1 for w in words), initial=0))
+    spans = zip(ends[: max(1, len(words) - size + 1)], ends[min(size, len(words)) :], strict=False)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[a : b - 1], seed) for a, b in spans], np.uint64))
+
+
+def set_key(own: np.ndarray) -> int:
+    """Names a set of shingles; 0 is the empty one."""
+    return xxhash.xxh64_intdigest(own.tobytes(), SEED) or 1 if len(own) else 0
+
+
+def set_fingerprint(own: np.ndarray) -> int:
+    """SimHash over distinct shingles, each counted once."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(own), CHUNK):
+        ones += np.unpackbits(own[at : at + CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(own)).tobytes(), "big")
+
+
+_RNG = np.random.default_rng(SEED)
+_FACTORS = _RNG.integers(0, 1 << 63, BANDS * BAND_HASHES, np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
+_SHIFTS = _RNG.integers(0, 1 << 63, BANDS * BAND_HASHES, np.uint64)[:, None]
+
+
+def band_keys(own: np.ndarray) -> list[int]:
+    """The shards in which a set of shingles meets those similar to it; the empty set has none."""
+    if not len(own):
+        return []
+    least = np.full(BANDS * BAND_HASHES, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(own), 512):
+        least = np.minimum(least, (own[None, at : at + 512] * _FACTORS + _SHIFTS).min(axis=1))
+    return [xxhash.xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(least.reshape(BANDS, BAND_HASHES))]
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """``doc_id, digest, node, fp, shards`` of every row.
+
+    ``digest``: hash of the text; ``node``, ``fp`` and ``shards``: name, fingerprint and band
+    keys of its set of shingles. Rows of equal sets share a node.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t.as_py()) for t in b.column(2)]
+            nodes, fps = (pa.array(np.array([f(own) for own in sets], np.uint64).view(np.int64)) for f in (set_key, set_fingerprint))
+            keys = [np.array(band_keys(own), np.uint64).view(np.int64) for own in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), nodes, fps, pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "digest", "node", "fp", "shards"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), F.col("text").cast("binary").alias("text"))
+    return texts.mapInArrow(run, "doc_id long, digest long, node long, fp long, shards array<long>")
+
+
+def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """The slices of each run of rows that agree in the first column, one run after another."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        key = b.column(0).to_numpy()
+        edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)] if len(key) else [0]
+        for start, stop in zip(edges, edges[1:], strict=False):
+            if held and held[0].column(0)[0].as_py() != key[start]:
+                yield held
+                held = []
+            held.append(b.slice(start, stop - start))
+    if held:
+        yield held
+
+
+def wide_forest(nodes: np.ndarray, fps: np.ndarray, radius: int = WIDE_RADIUS) -> np.ndarray:
+    """The node that stands for each one's tree, where links are ``radius`` bits long at most.
+
+    At such a radius a BK-tree visits nearly every entry, so distances are taken from arrays.
+    """
+    if len(nodes) > LARGE_SHARD:
+        return np.full(len(nodes), nodes[0])
+    root = np.arange(len(nodes))
+    for i in range(1, len(nodes)):
+        met = np.unique(root[:i][np.bitwise_count(fps[:i] ^ fps[i]) <= radius])
+        if len(met):
+            root[i] = met[0]
+            if len(met) > 1:
+                root[:i][np.isin(root[:i], met[1:])] = met[0]
+    return nodes[root]
+
+
+def wide_links(distinct: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
+    """``u long, v long``: edges that connect the candidates of every shard.
+
+    ``distinct`` has ``node, fp, shards``, one row a node. Shards are dealt by shuffle.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        us, vs, held = [], [], 0
+
+        def edges() -> pa.RecordBatch:
+            pairs = np.array([np.concatenate(us), np.concatenate(vs)])
+            us.clear()
+            vs.clear()
+            return pa.RecordBatch.from_arrays([pa.array(pairs.max(axis=0)), pa.array(pairs.min(axis=0))], ["u", "v"])
+
+        rest = None
+        for b in batches:
+            table = pa.Table.from_batches([rest, b]) if rest is not None else pa.Table.from_batches([b])
+            key, node, fp = (table.column(k).to_numpy() for k in range(3))
+            done = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last shard may go on
+            rest = table.slice(done).combine_chunks().to_batches()[0] if len(key) else rest
+            for start, stop in _shared(key[:done]):
+                u = node[start:stop]
+                v = wide_forest(u, fp[start:stop].view(np.uint64), radius)
+                us.append(u[u != v])
+                vs.append(v[u != v])
+                held += len(us[-1])
+            if held > CHUNK:
+                yield edges()
+                held = 0
+        if rest is not None and rest.num_rows > 1:
+            u = rest.column(1).to_numpy()
+            v = wide_forest(u, rest.column(2).to_numpy().view(np.uint64), radius)
+            us.append(u[u != v])
+            vs.append(v[u != v])
+        if us:
+            yield edges()
+
+    shards = distinct.select(F.explode("shards").alias("shard"), "node", "fp")
+    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return shards.repartition(n, "shard").sortWithinPartitions("shard", "node").mapInArrow(run, "u long, v long").distinct()
+
+
+def _shared(key: np.ndarray) -> list[tuple[int, int]]:
+    """(start, stop) of the runs of two or more equal keys."""
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+    stops = np.r_[starts[1:], len(key)]
+    some = stops - starts > 1
+    return list(zip(starts[some].tolist(), stops[some].tolist(), strict=True))
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets."""
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared / (len(both) - shared)
+
+
+def similar_roots(sets: list[np.ndarray], least: float = SIMILAR) -> np.ndarray:
+    """The index that stands for each set's component over links of similarity ``least``.
+
+    All pairs are linked but those whose sizes rule it out or that are connected already.
+    """
+    size = np.array([len(x) for x in sets], np.int64)
+    root = np.arange(len(sets))
+    for i in range(1, len(sets)):
+        low, high = np.minimum(size[:i], size[i]), np.maximum(size[:i], size[i])
+        left = np.flatnonzero(low >= least * high - 1e-6)
+        while len(left):
+            j, left = left[0], left[1:]
+            if similarity(sets[i], sets[j]) >= least:
+                a, b = min(root[i], root[j]), max(root[i], root[j])
+                root[: i + 1][root[: i + 1] == b] = a
+                left = left[root[left] != root[i]]
+    return root
+
+
+def similar_links(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """``node, root`` of the nodes that are similar to another: candidates checked exactly.
+
+    ``members``: ``loose, node, doc_id, digest``, the row of ``docs`` that stands for a node and
+    the candidates' component it lies in. A task holds the shingles of one such component.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups_of(batches):
+            sets: dict[int, np.ndarray] = {}
+            for b in group:
+                for node, text in zip(b.column(1).to_pylist(), b.column(2), strict=True):
+                    if node not in sets:  # a row that repeats another
+                        sets[node] = shingles(text.as_py())
+            nodes = np.fromiter(sets, np.int64, len(sets))
+            roots = nodes[similar_roots(list(sets.values()))]
+            own = roots != nodes
+            if own.any():
+                linked = own | np.isin(nodes, roots[own])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[linked]), pa.array(roots[linked])], ["node", "root"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_digest"), F.col("text").cast("binary").alias("text"))
+    met = texts.join(members, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_digest") == F.col("digest")))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return met.select("loose", "node", "text").repartition(n, "loose").sortWithinPartitions("loose", "node").mapInArrow(run, "node long, root long")
+
+
+def drop_similar(docs: DataFrame) -> DataFrame:
+    """One row of each component over texts of similarity SIMILAR or more, all columns kept.
+
+    The row with the smallest doc_id stays (null ids last); of rows that repeat its id and text
+    one does. Texts are similar by the Jaccard similarity of their sets of five-word shingles
+    (see ``shingles``), computed exactly for all pairs among candidates; texts without words
+    equal each other. Candidates share a band and differ by WIDE_RADIUS bits at most.
+    """
+    rows = materialise(sketches(docs), "sketches")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first")
+    distinct = materialise(rows.groupBy("node").agg(first, F.first("fp").alias("fp"), F.first("shards").alias("shards")), "distinct")
+    loose = components(wide_links(distinct)).select("node", F.col("root").alias("loose"))
+    members = materialise(distinct.join(loose, "node").select("loose", "node", "first.doc_id", "first.digest"), "members")
+    roots = materialise(similar_links(docs, members), "similar")
+    rooted = materialise(distinct.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    # what goes is looked up, not what stays: it is far less
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.digest").alias("_digest"))
+    own = rows.groupBy("doc_id", "digest").agg(F.count("*").alias("n"))
+    flagged = materialise(own.join(kept, own["doc_id"].eqNullSafe(kept["_id"]) & (own["digest"] == kept["_digest"]), "left").select("doc_id", "digest", "n", F.col("_digest").isNull().alias("goes")), "flagged")
+    gone = flagged.filter("goes").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
+    keyed = F.xxhash64(docs["text"])
+    stay = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (keyed == gone["_digest"]), "left_anti")
+    if flagged.filter("n > 1 AND NOT goes").limit(1).count():
+        stay = stay.dropDuplicates(["doc_id", "text"])
+    return stay
+
+
 def op10_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(dealt_table(spark, sf_dir, "documents"))
