@@ -24,6 +24,11 @@ SLOTS_PER_SHARD = 1024
 SEED = 17
 #: Document buckets of a source, over which its running word count is summed in two steps.
 BUCKETS = 1024
+#: For whole copies the count runs over documents by length: SIZE_CLASSES classes to a doubling,
+#: each in SIZE_BUCKETS buckets. Fractions of a copy are counted in units of 1 / COPY.
+SIZE_CLASSES = 4
+SIZE_BUCKETS = 256
+COPY = 1 << 30
 _MASK = (1 << 64) - 1
 
 
@@ -182,6 +187,11 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     most twice ``size``. Documents without words take nothing. Rows that repeat are documents
     of their own. Same input, same mix. An empty table gives no rows.
     """
+    return _taken(docs, block_words).drop("rank")
+
+
+def _taken(docs: DataFrame, block_words: int) -> DataFrame:
+    """As ``mix``, with the ``rank`` of the source."""
     spark = docs.sparkSession
     sized = materialise(sizes(docs), "sizes")
     ranked = materialise(targets(sized), "targets")
@@ -194,16 +204,38 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     start = F.greatest(F.col("at"), F.col("block") * block_words)
     stop = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block_words)
     taken = parts.join(uses.hint("merge"), ["rank", "block"]).groupBy("rank", "at", "doc_id", "size").agg(F.sum((stop - start) * F.col("uses")).alias("taken"))
-    empty = placed.filter("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+    empty = placed.filter("size = 0").select("rank", "doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
     full = placed.filter("size > 0").join(taken.withColumnRenamed("doc_id", "_id").drop("size").hint("merge"), ["rank", "at"], "left")
-    return full.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")).unionByName(empty)
+    return full.select("rank", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")).unionByName(empty)
+
+
+def whole_copies(taken: DataFrame, seed: int = SEED) -> DataFrame:
+    """Add ``copies``, ``taken / size`` as a whole number, to ``rank, doc_id, size, taken``.
+
+    It is rounded up as often as the fraction says: fractions are summed within a source from
+    a seeded start, by rising size class, and a document gets one more where the sum passes a
+    whole number. So a source's words, and those of its short and its long documents, come to
+    what the mix takes but for about the longest document. Documents without words stay once.
+    """
+    some = taken.filter("size > 0")
+    rest = F.floor(F.expr(f"((taken % size) * {COPY}L) div size"))
+    size_class = F.floor(F.log2("size") * SIZE_CLASSES)
+    dealt = some.withColumn("rest", rest).withColumn("class", size_class).withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(SIZE_BUCKETS)))
+    inner = Window.partitionBy("rank", "class", "bucket").orderBy("size", "doc_id", "taken").rowsBetween(Window.unboundedPreceding, 0)
+    outer = Window.partitionBy("rank").orderBy("class", "bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy("rank", "class", "bucket").agg(F.sum("rest").alias("total"))
+    start = F.pmod(F.xxhash64("rank", F.lit(seed)), F.lit(COPY))
+    bases = totals.select("rank", "class", "bucket", (F.coalesce(F.sum("total").over(outer), F.lit(0)) + start).alias("base"))
+    summed = dealt.withColumn("within", F.sum("rest").over(inner)).join(bases, ["rank", "class", "bucket"]).withColumn("stop", F.col("base") + F.col("within"))
+    copies = F.expr(f"taken div size + stop div {COPY}L - (stop - rest) div {COPY}L").cast("int")
+    return summed.select(*taken.columns, copies.alias("copies")).unionByName(taken.filter("size = 0").withColumn("copies", F.lit(1)))
 
 
 def resample(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The documents of the mix: each repeated as often as the mix takes it, to the nearest
-    whole number (0, 1 or 2), with all columns. Documents without words stay once."""
-    copies = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
-    taken = mix(docs, block_words).groupBy(F.col("doc_id").alias("_id")).agg(F.max(copies).alias("_copies"))
+    """The documents of the mix: each repeated 0, 1 or 2 times, on average as often as the mix
+    takes it (see ``whole_copies``), with all columns. Documents without words stay once."""
+    placed = materialise(_taken(docs, block_words).select("rank", "doc_id", "size", "taken"), "taken")
+    taken = whole_copies(placed).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
     joined = docs.join(taken.hint("merge"), docs["doc_id"].eqNullSafe(taken["_id"])).filter("_copies > 0")
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copy", "_copies", "_id")
 
