@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scanframe.llm.common import dealt_table
+from scanframe.llm.common import dealt_table, materialise
 
 K = 32
 #: Rows that centroids and probing are fitted on, by hash of vec_id, at most about this many.
@@ -245,7 +245,8 @@ def _probes(queries: DataFrame, index: MultiIndex, total: int) -> DataFrame:
 
 
 def _ranked(joined: DataFrame, dim: int, neighbours: int) -> DataFrame:
-    """``query_id, vec_id, score``: a task's nearest of each query that it meets."""
+    """``query_id, vec_id, score``: a task's nearest of each query that it meets, each pair of
+    id and score once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -277,8 +278,10 @@ def _ranked(joined: DataFrame, dim: int, neighbours: int) -> DataFrame:
                                 continue
                             near, score = near[closer], score[closer]
                         near, score = np.concatenate([held_ids, near]), np.concatenate([held, score])
-                    order = np.lexsort((near, score))[:neighbours]
-                    best[q] = (near[order], score[order])
+                    order = np.lexsort((near, score))
+                    near, score = near[order], score[order]
+                    fresh = np.r_[True, (near[1:] != near[:-1]) | (score[1:] != score[:-1])][: len(near)]  # repeats count once
+                    best[q] = (near[fresh][:neighbours], score[fresh][:neighbours])
             if len(best) > HELD:
                 yield flush()
         if best:
@@ -287,6 +290,14 @@ def _ranked(joined: DataFrame, dim: int, neighbours: int) -> DataFrame:
     return joined.select("query_ids", "queries", "ids", "vectors").mapInArrow(run, "query_id long, vec_id long, score double")
 
 
+def _single(kept: DataFrame) -> DataFrame:
+    """Each pair of id and vector once, so that repeats neither fill the places of a query nor
+    the share of vectors that it probes. Without repeated ids nothing is shuffled but ids."""
+    if not kept.groupBy("id").count().filter("count > 1").limit(1).count():
+        return kept
+    return materialise(kept.dropDuplicates(["id", "v"]), "vectors")
+
+
 def search(vectors: DataFrame, neighbours: int = NEIGHBOURS, modulus: int = QUERY_MODULUS, k: int = K, recall: float = RECALL) -> DataFrame:
     """``query_id, rank, vec_id, score``: the nearest found of each row whose vec_id is
     divisible by ``modulus``, over all other rows, nearest first, ties to the smaller vec_id.
@@ -296,7 +307,7 @@ def search(vectors: DataFrame, neighbours: int = NEIGHBOURS, modulus: int = QUER
     other; repeats of one vector and id count once. Extra columns are ignored.
     """
     spark = vectors.sparkSession
-    kept = vectors.filter(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v")).filter(usable(F.col("v")))
+    kept = _single(vectors.filter(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v")).filter(usable(F.col("v"))))
     index = fit(kept, k, neighbours=neighbours, recall=recall)
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
