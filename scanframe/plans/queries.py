@@ -293,6 +293,7 @@ def catalogue_on_links(spark, sf_dir):
     DOCS,
 )
 def catalogue_on_documents(spark, sf_dir):
+    """Documents through the whole catalogue; only the counts of two rules are reported."""
     found = rules.procedural(views.docs(spark, sf_dir))
     return found.agg(*[F.count_if(F.col("type") == t).alias(t) for t in ("Hex Token", "Python eval(input)")]).selectExpr("stack(2, 'Hex Token', `Hex Token`, 'Python eval(input)', `Python eval(input)`) AS (type, n)")
 
@@ -785,7 +786,11 @@ TOKEN_LINES = """token_lines AS (
     TOKEN_LINES,
 )
 def flagship(spark, sf_dir):
-    """Documents and urls through the rule catalogue, two-level dedup and severity counts."""
+    """Documents and urls through the rule catalogue, two-level dedup and severity counts.
+
+    Only two rules are reported, so that SQL can follow: Hex Token, and Insecure HTTP on urls.
+    ``full_scan`` returns the findings of all rules.
+    """
     both = views.docs(spark, sf_dir).unionByName(views.links(spark, sf_dir))
     found = rules.procedural(both).filter(F.col("type").isin("Hex Token", "Insecure HTTP"))
     return findings.dedup(found.filter("type = 'Hex Token' OR file LIKE 'links/%'")).groupBy("severity").agg(F.count("*").alias("n"))
