@@ -13,8 +13,6 @@ from scanframe import tables
 from scanframe.functions import columns as C
 from scanframe.schema import FILE
 
-#: Files larger than this are listed with null content, and so count as skipped.
-MAX_BYTES = 32 << 20
 #: Files read by one task.
 FILES_PER_TASK = 256
 
@@ -58,7 +56,8 @@ class SourceTree(DataSource):
     Lists with Arrow's file systems (local paths and the stores they know) and prunes
     directories while listing, so what lies below them is never touched; names that start with
     a dot or an underscore, which Spark's own file sources leave out, are read as any other.
-    Options: ``max_bytes``, ``files_per_task``.
+    Options: ``files_per_task``; ``max_bytes`` (none by default): larger files are listed with
+    null content, and so count as skipped.
     """
 
     @classmethod
@@ -75,7 +74,7 @@ class SourceTree(DataSource):
 class SourceTreeReader(DataSourceReader):
     def __init__(self, options):
         self.uri = options["path"]
-        self.max_bytes = int(options.get("max_bytes", MAX_BYTES))
+        self.max_bytes = int(options["max_bytes"]) if "max_bytes" in options else None
         self.per_task = int(options.get("files_per_task", FILES_PER_TASK))
 
     def _store(self):
@@ -102,7 +101,7 @@ class SourceTreeReader(DataSourceReader):
         store, base = self._store()
         for path, size in partition.entries if partition else ():
             content: str | None
-            if size > self.max_bytes:
+            if self.max_bytes is not None and size > self.max_bytes:
                 content = None
             else:
                 try:
