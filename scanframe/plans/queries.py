@@ -12,6 +12,7 @@ from scanframe.functions import columns as C
 from scanframe.operators import context, dependencies, findings, graph, rules, syntax
 from scanframe.plans import scan, views
 from scanframe.plans.views import CODE, DOCS, EXACT, FOUND, LEVEL, LINES, LINKS, PACKAGED, PATHS, RANK, UNIQUE, quoted, read
+from scanframe.schema import RANKED
 from scanframe.sources import files, reports, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -798,8 +799,20 @@ def flagship(spark, sf_dir):
 
 @query("SELECT file, line, type FROM exact", FOUND, EXACT)
 def incremental_keys(spark, sf_dir):
-    """The keys that an incremental exact dedup delivers: the same as those of the batch one."""
-    return views.found(spark, sf_dir).dropDuplicates(["file", "line", "type"]).select("file", "line", "type")
+    """The keys that an incremental exact dedup delivers: the same as those of the batch one.
+
+    Findings arrive as a stream of four files, a file a batch.
+    """
+    import uuid
+
+    from scanframe.plans.stages import shared_dir
+    from scanframe.streaming import incremental
+
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    views.found(spark, sf_dir).repartition(4).write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(RANKED).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    incremental.start_found(incremental.first_of_each(stream), f"{base}/found", f"{base}/checkpoint").awaitTermination()
+    return spark.read.schema(RANKED).parquet(f"{base}/found/batch=*").select("file", "line", "type")
 
 
 @query(

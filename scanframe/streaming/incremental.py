@@ -27,7 +27,11 @@ def stream_findings(files: DataFrame) -> DataFrame:
     The state holds the keys delivered so far. For endless streams give the files an event
     time ``seen`` with a watermark: keys are then forgotten once it has passed them.
     """
-    found = rules.procedural(files)
+    return first_of_each(rules.procedural(files))
+
+
+def first_of_each(found: DataFrame) -> DataFrame:
+    """Streaming findings, each (file, line, type) once."""
     return found.dropDuplicates(["file", "line", "type"])
 
 
@@ -44,13 +48,18 @@ def start(files: DataFrame, found_dir: str, checkpoint: str, deliver: Callable[[
     ``trigger`` (such as "100 milliseconds") all that is there is read, then the query ends;
     ``query.stop()`` cancels, and a restart goes on from the checkpoint.
     """
+    return start_found(stream_findings(files), found_dir, checkpoint, deliver, trigger)
+
+
+def start_found(found: DataFrame, found_dir: str, checkpoint: str, deliver: Callable[[DataFrame, int], None] | None = None, trigger: str | None = None) -> StreamingQuery:
+    """As ``start``, for a stream of findings (see ``first_of_each``)."""
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{found_dir}/batch={number}")
         if deliver:
             deliver(batch.sparkSession.read.schema(RANKED).parquet(f"{found_dir}/batch={number}"), number)
 
-    writer = stream_findings(files).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = found.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=trigger) if trigger else writer.trigger(availableNow=True)).start()
 
 
