@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanframe.plans.stages import materialise, shared_dir, spread
 
-__all__ = ["HOT_SHARE", "WHITE_SPACE", "WORD", "dealt_table", "lookup", "materialise", "shared_dir", "table"]
+__all__ = ["HOT_SHARE", "WHITE_SPACE", "WORD", "dealt_table", "in_parts", "lookup", "materialise", "shared_dir", "table"]
 
 #: A word is a run of anything but the six ASCII white-space characters. ``bytes.split()`` on
 #: UTF-8 cuts at exactly these; ``str.split()`` would also cut at non-ASCII white space.
@@ -43,3 +47,18 @@ def lookup(rows: DataFrame, keyed: DataFrame, key: str, weight: str) -> DataFram
         return rows.join(keyed, key)
     cold_rows = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
     return rows.join(F.broadcast(hot), key).unionByName(cold_rows.join(keyed.filter(~is_hot), key))
+
+
+def in_parts(batch: pa.RecordBatch, column: int, part_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``part_bytes`` bytes of text in ``column`` each, so that what
+    a task makes of a part is bounded; a row that is longer is a part of its own."""
+    if not batch.num_rows:
+        return
+    texts = batch.column(column)
+    wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
+    offsets = np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + part_bytes, side="right")) - 1)
+        yield batch.slice(at, stop - at)
+        at = stop

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import zlib
 from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanframe.llm.common import dealt_table, materialise
-from scanframe.llm.tokens import TOKENIZER, cut, tokenizer_path
+from scanframe.llm.common import dealt_table, in_parts, materialise
+from scanframe.llm.tokens import BATCH_BYTES, TOKENIZER, Chunks, loaded, tokenizer_path
 
 CAPACITY = 1024
 END_ID = 2
@@ -25,51 +25,6 @@ PIECES_PER_TASK = 1 << 16
 WAVE = 1 << 12
 #: Sequence ids of a task start at a multiple of this.
 STRIDE = 1 << 33
-LONG_CHARS = 1 << 16
-
-
-def encoder(path: str) -> Callable[[str], np.ndarray]:
-    """The ids of a text as the tokenizers library gives them for ``path``.
-
-    Texts of ASCII and Latin letters go through tiktoken with the same vocabulary, several
-    times faster; a test compares the two. All other texts, and all tokenizer files that have
-    no table of ranks beside them, go through tokenizers itself.
-    """
-    import base64
-    import os
-    import re
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    from tokenizers import Tokenizer
-
-    slow = Tokenizer.from_file(path)
-    plain = re.compile("[\t\n\r -~¡-¬®-ɏ]*").fullmatch
-
-    def whole(text: str) -> np.ndarray:
-        pieces = cut(text, LONG_CHARS) if len(text) > LONG_CHARS else [text]
-        return np.concatenate([np.array(e.ids, np.uint32) for e in slow.encode_batch_fast(pieces, add_special_tokens=False)])
-
-    ranks = path.removesuffix(".json") + ".tiktoken"
-    if not (path.endswith(f"/{TOKENIZER}") and os.path.exists(ranks)):
-        return whole
-    import public_tokenizers
-    import tiktoken
-
-    with open(ranks, "rb") as f:
-        table_of = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    special = "<|endoftext|>"
-    fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table_of, special_tokens={special: slow.token_to_id(special)})
-
-    def ids(text: str) -> np.ndarray:
-        if not plain(text):
-            return whole(text)
-        if special in text:
-            return np.array(fast.encode(text, allowed_special="all"), np.uint32)
-        if len(text) <= LONG_CHARS:
-            return np.array(fast.encode_ordinary(text), np.uint32)
-        return np.concatenate([np.array(fast.encode_ordinary(p), np.uint32) for p in cut(text, LONG_CHARS)])
-
-    return ids
 
 
 def pieces_of(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -117,31 +72,33 @@ class Packer:
         return number
 
 
-def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """``doc_id, row, piece, start, length, ids_crc32``: every document cut into pieces."""
+def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """``doc_id, piece, start, length, ids_crc32``: every document cut into pieces."""
     path = path or tokenizer_path(TOKENIZER)
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
-        for b in batches:
-            rows = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = np.append(encode(text.as_py() or ""), np.uint32(end_id)).astype("<u4")
-                for k, (at, n) in enumerate(pieces_of(len(ids), capacity)):
-                    rows.append((doc_id, k, at, n, zlib.crc32(ids[at : at + n].tobytes())))
-            columns = zip(*rows, strict=True) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "piece" else pa.int64()) for n, c in zip(names, columns, strict=True)], names)
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        model = loaded(path)
+        for batch in batches:
+            for b in in_parts(batch, 1, batch_bytes):
+                rows = []
+                for doc_id, own in zip(b.column(0).to_pylist(), Chunks(model, b.column(1)).ids(), strict=True):
+                    ids = np.append(own, np.uint32(end_id)).astype("<u4")
+                    for k, (at, n) in enumerate(pieces_of(len(ids), capacity)):
+                        rows.append((doc_id, k, at, n, zlib.crc32(ids[at : at + n])))
+                columns = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "piece" else pa.int64()) for n, c in zip(names, columns, strict=True)], names)
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return texts.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(parts: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, per_task: int = PIECES_PER_TASK) -> DataFrame:
     """Add ``sequence_id long, offset long`` to rows with ``length`` (1 to ``capacity``).
 
-    ``parts`` must be materialised. Rows are dealt by a hash of all columns and sorted within
-    each task, in waves, so a task that runs again gives the same sequences.
+    ``parts`` must be materialised. Rows are dealt round robin, sorted before by Spark so that a
+    task that runs again deals the same; so rows that repeat go to different tasks. Each task
+    sorts its rows, in waves, and gives the same sequences when it runs again.
     """
     total = parts.count()
     n = max(1, -(-total // per_task))
@@ -158,7 +115,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS,
 
     order = F.xxhash64(*names)
     wave = F.pmod(order, F.lit(max(1, total // n // WAVE)))
-    dealt = parts.repartition(n, *names).sortWithinPartitions(wave, F.desc("length"), order, *names)
+    dealt = parts.repartition(n).sortWithinPartitions(wave, F.desc("length"), order, *names)
     return dealt.mapInArrow(run, f"{', '.join(f'`{k}` {t}' for k, t in parts.dtypes)}, sequence_id long, offset long")
 
 
@@ -167,7 +124,8 @@ def best_fit(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     A document is its ids and then END_ID; null and empty texts are END_ID alone. Only
     documents over CAPACITY are cut. Texts are tokenized once and only lengths and checksums
-    are kept. Repeated rows are packed each on their own; extra columns are ignored.
+    are kept. Rows that repeat, and null doc_ids, are packed each on their own; extra columns
+    are ignored; an empty table gives no rows.
     """
     return pack(materialise(pieces(docs, path), "pieces"))
 

@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -133,21 +134,41 @@ def test_token_counts(spark, library):
     assert tokens.token_counts(docs(spark, [])).count() == 0
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(alphabet=st.sampled_from("ab1 '\n\t.<|>é\u2003"), max_size=120), st.integers(3, 30))
-def test_cuts_keep_the_count(library, text, size):
-    count = lambda x: len(library.encode(x, add_special_tokens=False).ids)
-    pieces = tokens.cut(text, size)
-    assert "".join(pieces) == text and sum(map(count, pieces)) == count(text)
-    assert tokens.lengths(library, [text, "", text], 7, size) == [count(text), 0, count(text)]
+ODD_LETTERS = st.text(alphabet=st.sampled_from("abl's1 \n\t.,!<|>é×\u0085\u2003日"), max_size=120)
 
 
-def test_fast_ids_equal_the_library(library):
-    encode = packing.encoder(tokens.tokenizer_path(tokens.TOKENIZER))
+@settings(max_examples=200, deadline=None)
+@given(st.lists(ODD_LETTERS | st.sampled_from(["<|endoftext|>", " <|endoftext|> x", "don't. I'll, we're  so"]), max_size=6))
+def test_chunks_keep_the_ids(library, texts):
+    model = tokens.loaded(tokens.tokenizer_path(tokens.TOKENIZER))
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    chunks = tokens.Chunks(model, pa.array(texts, pa.string()))
+    assert [x.tolist() for x in chunks.ids()] == want and chunks.counts().tolist() == list(map(len, want))
+
+
+def test_chunks_of_every_short_letter(library):
+    model = tokens.loaded(tokens.tokenizer_path(tokens.TOKENIZER))
     letters = [chr(c) for c in range(0x250)]
     texts = [a.join(["x", "1", " ", ".", "\n", "s't", ""]) + a + a for a in letters] + [f"{a}{b} {a}" for a in letters[32:127] for b in letters[160:0x250:3]] + ["", "<|endoftext|>x <|endoftext|>"]
-    for t in texts:
-        assert encode(t).tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+    for t, ids in zip(texts, tokens.Chunks(model, pa.array(texts)).ids(), strict=True):
+        assert ids.tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_ids_of_whole_documents(spark, library):
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    model = tokens.loaded(tokens.tokenizer_path(tokens.TOKENIZER))
+    want = [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in tokens.Chunks(model, pa.array(texts)).ids()] == want
+
+
+def test_tokenizers_without_chunks(spark):
+    from tokenizers import Tokenizer
+
+    path = tokens.tokenizer_path("word_bpe_49k.json")
+    other = Tokenizer.from_file(path)
+    rows = [(1, "Ab  cd"), (2, ""), (3, None), (4, "it's. so, x\u00e9 y")]
+    got = {r.doc_id: r.n_tokens for r in tokens.token_counts(docs(spark, rows), path).collect()}
+    assert got == {i: len(other.encode(t or "", add_special_tokens=False).ids) for i, t in rows}
 
 
 def test_packing(spark, library):
