@@ -1,34 +1,38 @@
-"""Language identification by cross-parsing: suffix automata of labelled words per language.
+"""Language identification by cross-parsing: suffix automata of labelled text per language.
 
 A text is parsed greedily into the longest phrases that occur in a language's labelled text;
 the language that needs the fewest phrases, each weighed by the cost of pointing into that
-text, wins. Phrases end at word boundaries, so a word's phrases are counted once and reused.
+text, wins. Phrases run across words. Letters are lower-cased, all else is one space, and the
+automata read UTF-8 bytes, so that their alphabet is bounded whatever the script.
 """
 
 from __future__ import annotations
 
+import functools
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanframe.llm.common import dealt_table
+from scanframe.llm.common import dealt_table, in_parts
 
-#: The bounds of the labelled sample: documents of a language by hash of doc_id, and of their
-#: distinct words the most frequent.
-SAMPLE_DOCS = 500
-SAMPLE_WORDS = 4000
+#: The bound of the labelled sample: whole rows of a language, in the order of a hash of doc_id,
+#: that come to at most SAMPLE_BYTES bytes of letters. Rows over ROW_BYTES are not drawn; where
+#: a language has no others, its shortest row is taken, whole.
+SAMPLE_BYTES = 32_000
+ROW_BYTES = 8_000
+#: Rows that are drawn at least, where there are as many.
+LEAST_ROWS = 40
 UNKNOWN = "und"
-#: Tokens whose phrase counts a task remembers before it starts anew, and bytes of text that
-#: it takes at a time.
-REMEMBERED = 200_000
-PART_BYTES = 2 << 20
-#: Below this mean phrase length no learned language explains a text: its letters or letter
-#: pairs hardly occur in any of them.
+#: Bytes of text that a task parses at a time. A phrase ends at every SEGMENT bytes of a text in
+#: any language, so the segments of all texts of a part are parsed side by side.
+PART_BYTES = 1 << 20
+SEGMENT = 256
+#: Below this mean phrase length, in bytes, no learned language explains a text: its letters or
+#: letter pairs hardly occur in any of them.
 LEAST_PHRASE = 1.5
 
 
@@ -37,9 +41,9 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def suffix_automaton(text: str) -> list[dict[str, int]]:
+def suffix_automaton(text: bytes) -> list[dict[int, int]]:
     """Transitions of the suffix automaton of ``text``; state 0 is the start."""
-    follow: list[dict[str, int]] = [{}]
+    follow: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in text:
         state = len(follow)
@@ -67,163 +71,149 @@ def suffix_automaton(text: str) -> list[dict[str, int]]:
     return follow
 
 
-class Automaton:
-    """A suffix automaton as arrays: transitions by (state, letter), 0 where there is none."""
+class Model:
+    """Suffix automata of the languages' labelled text as one table, and the cost of a phrase.
+
+    ``texts``: the sample of each language, of ``letters``. ``steps`` holds, for each state of
+    each automaton, the state that each byte leads to, 0 where the text has no such phrase; the
+    rows of the start states are empty, and ``first`` has what they lead to.
+    """
 
-    def __init__(self, text: str):
+    def __init__(self, texts: dict[str, bytes]):
+        self.langs = sorted(texts)
+        used = sorted(set(b"".join(texts.values())))
+        self.width = len(used) + 1
+        self.column = np.zeros(256, np.uint8 if self.width < 256 else np.uint16)  # 0: in no text
+        self.column[used] = np.arange(1, self.width)
+        tables = [self._table(texts[k]) for k in self.langs]
+        kind = np.uint16 if all(len(t) <= 1 << 16 for t in tables) else np.uint32
+        self.base = np.cumsum([0, *(t.size for t in tables)])[:-1, None]
+        self.first = np.array([t[0] for t in tables], kind).reshape(len(tables), self.width)
+        for t in tables:
+            t[0] = 0
+        self.steps = np.concatenate([t.ravel() for t in tables]).astype(kind) if tables else np.empty(0, kind)
+        self.cost = np.array([math.log2(max(2, len(texts[k]))) for k in self.langs])
+
+    def _table(self, text: bytes) -> np.ndarray:
         follow = suffix_automaton(text)
-        self.letters = "".join(sorted(set(text)))
-        self.states = len(follow)
-        place = {c: k + 1 for k, c in enumerate(self.letters)}
-        steps = [(s, place[c], t) for s, row in enumerate(follow) for c, t in row.items()]
-        self.steps = np.array(steps, np.int32).reshape(-1, 3)
-
-    def dense(self) -> np.ndarray:
-        """The transitions in full; column 0 is for letters that the text lacks."""
-        out = np.zeros((self.states, len(self.letters) + 1), np.int32)
-        out[self.steps[:, 0], self.steps[:, 1]] = self.steps[:, 2]
+        out = np.zeros((len(follow), self.width), np.uint32)
+        for state, row in enumerate(follow):
+            for c, to in row.items():
+                out[state, self.column[c]] = to
         return out
 
-    def codes(self) -> np.ndarray:
-        """The column of each code point."""
-        out = np.zeros(0x110000, np.uint8 if len(self.letters) < 256 else np.int32)
-        out[[ord(c) for c in self.letters]] = np.arange(1, len(self.letters) + 1)
+    def phrases(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Phrases of the greedy cross-parsing of segments of ``data``: languages by segments.
+
+        All take a step together, longest first, so that those still going are the first ones.
+        A byte that no sample has is a phrase of its own.
+        """
+        order = np.argsort(-sizes, kind="stable")
+        longest = int(sizes.max(initial=0))
+        at = np.minimum(starts[order][None] + np.arange(longest)[:, None], max(0, len(data) - 1))
+        columns = self.column[data][at]
+        counts = np.zeros((len(self.langs), len(sizes)), np.int32)
+        state = np.zeros((len(self.langs), len(sizes)), self.steps.dtype)
+        going = np.searchsorted(-sizes[order], -np.arange(longest), side="left")
+        for step, n in enumerate(going.tolist()):
+            byte = columns[step, :n]
+            place = np.multiply(state[:, :n], self.width, dtype=np.int64)
+            place += byte
+            place += self.base
+            further = self.steps.take(place)
+            stopped = further == 0
+            counts[:, :n] += stopped
+            state[:, :n] = np.where(stopped, self.first[:, byte], further)
+        out = np.empty_like(counts)
+        out[:, order] = counts
         return out
 
 
-def phrases(follow: np.ndarray, letters: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Phrases of the greedy cross-parsing of many words at once.
-
-    ``letters`` has the columns of all words' letters; word k is at ``starts[k]`` and has
-    ``sizes[k]`` letters. All words take a step together, longest first, so that those still
-    going are always the first ones. An unseen letter is a phrase of its own.
-    """
-    order = np.argsort(-sizes, kind="stable")
-    at, counts, state = starts[order], np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int32)
-    going = np.searchsorted(-sizes[order], -np.arange(int(sizes.max(initial=0))), side="left")
-    for step, n in enumerate(going.tolist()):
-        letter = letters[at[:n] + step]
-        now = state[:n]
-        further = follow[now, letter]
-        stopped = further == 0
-        fresh = follow[0, letter]
-        counts[:n] += (stopped & (now > 0)).astype(np.int64) + (stopped & (fresh == 0))
-        state[:n] = np.where(stopped, fresh, further)
-    counts += state > 0
-    out = np.empty_like(counts)
-    out[order] = counts
+@functools.lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """The lower-case letter of every code point, a space for what is no letter."""
+    out = np.full(0x110000, 0x20, "<u4")
+    for c in map(chr, range(0x110000)):
+        if c.isalpha():
+            low = c.lower()
+            out[ord(c)] = ord(low) if len(low) == 1 else ord(c)
     return out
 
 
-class Model:
-    """Suffix automata of the words of each language, and the cost of a phrase."""
-
-    def __init__(self, words: dict[str, list[str]]):
-        self.langs = sorted(words)
-        texts = [f" {' '.join(words[k])} " for k in self.langs]
-        self.automata = [Automaton(t) for t in texts]
-        self.cost = np.array([math.log2(len(t)) for t in texts])
-
-
-class Predictor:
-    """Predicts texts, remembering the phrase counts of the tokens it has met."""
-
-    def __init__(self, model: Model):
-        import regex
-
-        self.model = model
-        self.tables = [(a.dense(), a.codes()) for a in model.automata]
-        self.others = regex.compile(r"[^\p{L}\n]+")
-        self.seen: dict[bytes, int] = {}
-        self.rows = np.zeros((0, len(model.langs) + 1), np.int64)
-
-    def learn(self, tokens: list[bytes]) -> None:
-        """Count the phrases of new tokens for each language, and their letters."""
-        lines = [line.lower().split() for line in self.others.sub(" ", b"\n".join(tokens).decode()).split("\n")]
-        runs = [f" {w} " for words in lines for w in words]
-        owner = np.repeat(np.arange(len(tokens)), np.fromiter(map(len, lines), np.int64, len(lines)))
-        sizes = np.fromiter(map(len, runs), np.int64, len(runs))
-        starts = np.cumsum(sizes) - sizes
-        points = np.frombuffer("".join(runs).encode("utf-32-le"), np.uint32)
-        columns = [phrases(follow, codes[points], starts, sizes) for follow, codes in self.tables]
-        counts = np.stack([np.bincount(owner, weights=c, minlength=len(tokens)) for c in (*columns, sizes)], axis=1)
-        first = len(self.rows)
-        self.rows = np.concatenate([self.rows, counts.astype(np.int64)])
-        self.seen.update(zip(tokens, range(first, first + len(tokens)), strict=True))
-
-    def predict(self, texts: list[bytes | None]) -> list[tuple[str, float, float]]:
-        """(language, score, mean phrase length) of each text."""
-        if len(self.seen) > REMEMBERED:
-            self.seen.clear()
-            self.rows = self.rows[:0]
-        split = [(t or b"").split() for t in texts]
-        new = {t for tokens in split for t in tokens}.difference(self.seen)
-        if new and self.model.langs:
-            self.learn(list(new))
-        out = []
-        for tokens in split:
-            counts = self.rows[np.fromiter(map(self.seen.__getitem__, tokens), np.int64, len(tokens))].sum(axis=0) if self.model.langs else (0,)
-            out.append(self._choose(counts))
-        return out
+def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' letters as bytes, and where each text starts and stops in them.
 
-    def _choose(self, counts) -> tuple[str, float, float]:
-        if not counts[-1]:
-            return UNKNOWN, 0.0, 0.0
-        costs = counts[:-1] * self.model.cost
-        best = int(costs.argmin())
-        second = np.delete(costs, best).min() if len(costs) > 1 else math.inf
-        score = 1.0 if second == math.inf else float(second / (second + costs[best]))
-        return self.model.langs[best], score, float(counts[-1] / counts[best])
-
-
-def in_parts(column: pa.Array) -> Iterator[list[bytes | None]]:
-    """Runs of texts of about PART_BYTES bytes, so that what a part adds to memory is bounded."""
-    part, held = [], 0
-    for value in column:
-        text = value.as_py()
-        part.append(text)
-        held += len(text or b"")
-        if held > PART_BYTES:
-            yield part
-            part, held = [], 0
-    if part:
-        yield part
-
-
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> Model:
-    """Learn from the labelled rows that are not held out.
-
-    About ``sample_docs`` documents a language, chosen by a hash of doc_id and read whole, and
-    the ``sample_words`` most frequent of their words; the driver gets no more than these.
+    A text is its runs of letters, with one space before, between and after them; without
+    letters it is empty. Neighbours share the space between them.
+    """
+    points = _letters()[np.frombuffer(f" {' '.join(texts)} ".encode("utf-32-le"), "<u4")]
+    space = points == 0x20
+    kept = np.ones(len(points), bool)
+    kept[1:] = ~(space[1:] & space[:-1])
+    place = np.cumsum(kept) - 1
+    points = points[kept]
+    at = np.concatenate([[0], np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000))])
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    last = np.cumsum(sizes + 1)  # the place of the space after each text
+    first = last - sizes - 1
+    starts, stops = at[place[first]], at[place[last] + 1]
+    stops[place[first] == place[last]] = starts[place[first] == place[last]]
+    return np.frombuffer(points.tobytes().decode("utf-32-le").encode(), np.uint8), starts, stops
+
+
+def predict(model: Model, texts: list[str | None]) -> list[tuple[str, float, float]]:
+    """(language, score, mean phrase length) of each text."""
+    data, starts, stops = letters([t or "" for t in texts])
+    sizes = stops - starts
+    if not model.langs or not sizes.any():
+        return [(UNKNOWN, 0.0, 0.0)] * len(texts)
+    parts = -(-sizes // SEGMENT)
+    owner = np.repeat(np.arange(len(texts)), parts)
+    first = starts[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)) * SEGMENT
+    counts = model.phrases(data, first, np.minimum(SEGMENT, stops[owner] - first))
+    total = np.stack([np.bincount(owner, weights=c, minlength=len(texts)) for c in counts], axis=1)
+    costs = total * model.cost
+    best = costs.argmin(axis=1)
+    rows = np.arange(len(texts))
+    least = costs[rows, best]
+    costs[rows, best] = np.inf
+    second = costs.min(axis=1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        score = np.where(np.isinf(second), 1.0, second / (second + least))
+        length = sizes / total[rows, best]
+    return [(model.langs[k], float(s), float(m)) if n else (UNKNOWN, 0.0, 0.0) for k, s, m, n in zip(best.tolist(), score, length, sizes.tolist(), strict=True)]
+
+
+def fit(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, row_bytes: int = ROW_BYTES) -> Model:
+    """Learn from labelled rows that are not held out, ``sample_bytes`` of letters a language.
+
+    The driver gets a row a language, and about twice the sample.
     """
-    import regex
-
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).filter(
-        F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out()
+        F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()
     )
-    shares = {r["lang"]: min(1.0, sample_docs / r["count"]) for r in labelled.groupBy("lang").count().collect()}
-    if not shares:
+    size = F.octet_length("text")
+    short = size <= row_bytes
+    stats = labelled.groupBy("lang").agg(F.min(size).alias("least"), F.count(F.when(short, 1)).alias("n"), F.sum(F.when(short, size)).alias("total")).collect()
+    if not stats:
         return Model({})
-    share = F.element_at(F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]), F.col("lang"))
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < share * (1 << 30)
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            counted: Counter = Counter()
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                counted.update((lang, w.lower()) for w in regex.findall(r"\p{L}+", text.as_py()))
-            if counted:
-                langs, found = zip(*counted, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array(found), pa.array(list(counted.values()), pa.int64())], ["lang", "word", "n"])
-
-    sample = labelled.filter(drawn & F.col("text").isNotNull()).select("lang", "text")
-    counts = sample.mapInArrow(words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    frequent = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    top = counts.withColumn("k", F.row_number().over(frequent)).filter(F.col("k") <= sample_words).select("lang", "word", "k")
-    by_lang: dict[str, list[tuple[int, str]]] = {}
-    for r in top.collect():
-        by_lang.setdefault(r["lang"], []).append((r["k"], r["word"]))
-    return Model({k: [w for _, w in sorted(v)] for k, v in by_lang.items()})
+    share = {r["lang"]: min(1.0, max(2 * sample_bytes / max(1, r["total"] or 0), LEAST_ROWS / max(1, r["n"]))) for r in stats}
+    most = {r["lang"]: row_bytes if r["n"] else r["least"] for r in stats}
+    of = lambda d: F.element_at(F.create_map(*[F.lit(x) for pair in d.items() for x in pair]), F.col("lang"))
+    order = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30))
+    drawn = labelled.filter((size <= of(most)) & (order < of(share) * (1 << 30))).select("lang", "text", order.alias("order")).collect()
+    texts: dict[str, bytes] = dict.fromkeys(share, b"")
+    for r in sorted(drawn, key=lambda r: (r["order"], r["text"])):
+        own = letters([r["text"]])[0].tobytes()
+        held = texts[r["lang"]]
+        if not held or len(held) + len(own) <= sample_bytes:
+            texts[r["lang"]] = held + own if held.strip() else own
+    return Model({k: t for k, t in texts.items() if t.strip()})
+
+
+def _predicted(model: Model, batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[tuple[str, float, float]]]]:
+    for part in in_parts(batch, column, PART_BYTES):
+        yield part, predict(model, part.column(column).to_pylist())
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -232,36 +222,38 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     Only the text decides: null, and texts without a letter, are ``und`` with score 0. The
     score is the runner-up's share of the two best costs (0.5: a tie, which goes to the first
     language code; 1: only one language was learned). Without labelled rows all are ``und``.
+    Rows that repeat give a row each, long texts are parsed whole, extra columns are ignored,
+    an empty table gives no rows.
     """
     model = model or fit(docs)
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample's words
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
     names = ["doc_id", "held_out", "lang_pred", "score", "phrase_length"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predictor = Predictor(sent.value)
-        for b in batches:
-            rows = [r for part in in_parts(b.column(2)) for r in predictor.predict(part)]
-            columns = zip(*rows, strict=True) if rows else [[]] * 3
-            arrays = [pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.float64(), pa.float64()), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *arrays], names)
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("binary").alias("text"))
+        for batch in batches:
+            for b, found in _predicted(sent.value, batch, 2):
+                columns = zip(*found, strict=True)
+                arrays = [pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.float64(), pa.float64()), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *arrays], names)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, phrase_length double")
 
 
 def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """The rows in a learned language, with all their columns.
 
-    Rejected: ``und``, and texts whose phrases are shorter than LEAST_PHRASE letters on average.
+    Rejected: ``und``, and texts whose phrases are shorter than LEAST_PHRASE bytes on average.
+    Rows that repeat are judged alike; an empty table gives no rows.
     """
     model = model or fit(docs)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predictor = Predictor(sent.value)
-        for b in batches:
-            found = [r for part in in_parts(b.column("text").cast(pa.binary())) for r in predictor.predict(part)]
-            yield b.filter(pa.array([lang != UNKNOWN and size >= LEAST_PHRASE for lang, _, size in found], pa.bool_()))
+        for batch in batches:
+            column = batch.schema.get_field_index("text")
+            for b, found in _predicted(sent.value, batch, column):
+                yield b.filter(pa.array([lang != UNKNOWN and size >= LEAST_PHRASE for lang, _, size in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

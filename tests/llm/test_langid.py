@@ -14,42 +14,88 @@ from scanframe.llm import langid
 @settings(max_examples=150, deadline=None)
 @given(st.text("abc ", max_size=40), st.text("abcd ", min_size=1, max_size=12))
 def test_automaton_holds_exactly_the_substrings(text, word):
-    follow = langid.suffix_automaton(text)
+    follow = langid.suffix_automaton(text.encode())
     state = 0
-    for c in word:
+    for c in word.encode():
         state = follow[state].get(c, -1)
         if state < 0:
             break
     assert (state >= 0) == (word in text)
-    automaton = langid.Automaton(text)
-    words = [word, word[::-1], word[:1], "xé" + word]
-    sizes = np.array([len(w) for w in words])
-    letters = automaton.codes()[[ord(c) for c in "".join(words)]]
-    assert langid.phrases(automaton.dense(), letters, np.cumsum(sizes) - sizes, sizes).tolist() == [plain_phrases(text, w) for w in words]
-
-
-def plain_phrases(text, word):
-    count, at = 0, 0
-    while at < len(word):
-        end = at + 1
-        while end < len(word) and word[at : end + 1] in text:
-            end += 1
-        count, at = count + 1, end
+
+
+def plain_letters(text):
+    words = regex.findall(r"\p{L}+", text or "")
+    return f" {' '.join(''.join(low if len(low := c.lower()) == 1 else c for c in w) for w in words)} ".encode() if words else b""
+
+
+def plain_phrases(sample, text):
+    """Greedy parsing by plain search, a phrase ending at every SEGMENT bytes."""
+    count = 0
+    for start in range(0, len(text), langid.SEGMENT):
+        segment, at = text[start : start + langid.SEGMENT], 0
+        while at < len(segment):
+            end = at + 1
+            while end < len(segment) and segment[at : end + 1] in sample:
+                end += 1
+            count, at = count + 1, end
     return count
 
 
-def test_predictor_against_plain_parsing():
-    model = langid.Model({"aa": ["banana", "band"], "bb": ["canal", "nab"]})
-    texts = [None, b"", b"12 \xc2\xbd", "Banana-band ban\u0130".encode(), b"canal canal x" * 3, b"nab"]
-    got = langid.Predictor(model).predict(texts)
-    for t, (lang, score, size) in zip(texts, got, strict=True):
-        words = [f" {w.lower()} " for w in regex.findall(r"\p{L}+", (t or b"").decode())]
-        costs = [c * sum(plain_phrases(f" {' '.join(ws)} ", w) for w in words) for c, ws in zip(model.cost, (["banana", "band"], ["canal", "nab"]), strict=True)]
-        if not words:
-            assert (lang, score, size) == ("und", 0.0, 0.0)
-        else:
-            assert lang == ("aa" if costs[0] <= costs[1] else "bb")
-            assert abs(score - max(costs) / sum(costs)) < 1e-12
+def plain_predict(texts, text):
+    own = plain_letters(text)
+    if not own or not texts:
+        return "und", 0.0, 0.0
+    counts = {k: plain_phrases(v, own) for k, v in texts.items()}
+    costs = {k: counts[k] * np.log2(max(2, len(v))) for k, v in texts.items()}
+    first, *others = sorted(costs, key=lambda k: (costs[k], k))
+    score = costs[others[0]] / (costs[others[0]] + costs[first]) if others else 1.0
+    return first, score, len(own) / counts[first]
+
+
+WORDS = st.text(st.sampled_from("abnÉéß1-. \nŒ日"), max_size=30)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(WORDS, min_size=1, max_size=3), st.lists(WORDS | st.none(), max_size=6))
+def test_against_plain_parsing(samples, texts):
+    learned = {f"l{k}": own for k, t in enumerate(samples) if (own := plain_letters(t))}
+    got = langid.predict(langid.Model(learned), texts)
+    for (lang, score, size), t in zip(got, texts, strict=True):
+        want = plain_predict(learned, t)
+        assert lang == want[0] and abs(score - want[1]) < 1e-12 and abs(size - want[2]) < 1e-12
+
+
+def test_whole_documents_against_plain_parsing(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text", "lang").collect()
+    learned = {k: b"".join(plain_letters(r.text)[:-1] for r in rows[::3] if r.lang == k)[:6000] for k in ("de", "en", "fr")}
+    texts = [r.text for r in rows[1::3]][:20] + ["bcd" * 3000, "the house " * 900]
+    got = langid.predict(langid.Model(learned), texts)
+    for found, t in zip(got, texts, strict=True):
+        want = plain_predict(learned, t)
+        assert found[0] == want[0] and np.allclose(found[1:], want[1:])
+
+
+def test_ties_go_to_the_first_code():
+    assert langid.predict(langid.Model({"b": b" ab ", "a": b" ab "}), ["ab", "x"]) == [("a", 0.5, 4.0), ("a", 0.5, 1.0)]
+    assert langid.predict(langid.Model({}), ["ab"]) == [("und", 0.0, 0.0)]
+
+
+def test_learns_only_from_labelled_rows_that_are_not_held_out(spark):
+    out = [k for k in range(400) if binascii.crc32(str(k).encode()) % 4 == 2]
+    rows = [(k, "zzz qqq " * 3 if k in out else "red house " * 3, "en") for k in range(400)] + [(1000, "xyxy " * 2000, "la"), (1001, "xyxy " * 3000, "la"), (1002, None, "en"), (1003, "kkkk", None)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == ["en", "la"] and model.column[ord("z")] == 0 and model.column[ord("k")] == 0
+    assert abs(model.cost[1] - np.log2(10_001)) < 1e-9  # only long rows: the shortest one, whole
+    small = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_bytes=300)
+    assert small.cost[0] <= np.log2(300)
+
+
+def test_a_megabyte_without_spaces_is_quick():
+    import time
+
+    began = time.perf_counter()
+    langid.predict(langid.Model({"en": b" the quick brown fox ", "fr": b" le renard "}), ["abcdefghij" * 100_000])
+    assert time.perf_counter() - began < 5
 
 
 def test_predictions(spark):
