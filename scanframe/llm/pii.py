@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from collections.abc import Callable
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,7 +48,8 @@ CUES = {
 AGAINST = "version|isbn|issn|order|invoice|page|figure|build|release|example"
 CONTEXT = 24
 #: Offsets are summed within chunks of matches and over chunks.
-CHUNK = 64
+CHUNK = 32
+SPANS = "array<struct<kind:string,start:bigint,end:bigint,base:boolean,text:string,before:string,after:string>>"
 ROUNDS = 60
 
 
@@ -76,34 +78,63 @@ def _holds(kind: str, s: Column) -> Column:
     return F.lit(True)
 
 
-def _total(lengths: Column) -> Column:
-    return F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + x)
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once, though functions in ``body`` use it again
+    and again: the optimizer would put a column's expression in each place that names it."""
+    return F.transform(F.array(value), body)[0]
 
 
-def _chunk_starts(lengths: Column) -> Column:
-    """For each chunk of CHUNK lengths, the sum of all before it."""
-    last = F.floor((F.size(lengths) - 1) / CHUNK).cast("int")
-    return F.when(F.size(lengths) > 0, F.transform(F.sequence(F.lit(0), last), lambda c: _total(F.slice(lengths, F.lit(1), c * CHUNK)))).otherwise(F.array().cast("array<bigint>"))
+def _before(values: Column, zero: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """``join`` of all values before each one, in steps that grow with their number.
 
-
-def _spans(kind: str, base: bool, matches: Column, gaps: Column, lengths: Column, starts: Column) -> Column:
-    """Structs of the matches; ``gaps`` is the text split at them."""
-
-    def span(c: Column, before: Column, x: Column, j: Column) -> Column:
-        end = before + _total(F.slice(lengths, c * CHUNK + 1, j + 1))
-        at = c * CHUNK + j
+    Joined within chunks of CHUNK values, over chunks, and over chunks of chunks.
+    """
+    every = lambda x: F.aggregate(x, zero, join)
+    part = lambda x, c: F.slice(x, c * CHUNK + 1, F.lit(CHUNK))
+    numbers = lambda x: F.sequence(F.lit(0), F.floor((F.size(x) - 1) / CHUNK).cast("int"))
+    sums = lambda x: F.transform(numbers(x), lambda c: every(part(x, c)))
+    within = lambda x, bases: F.flatten(F.transform(bases, lambda base, c: F.transform(part(x, c), lambda _, j: join(base, every(F.slice(x, c * CHUNK + 1, j))))))
+    first = lambda x: F.transform(x, lambda _, c: every(F.slice(x, F.lit(1), c)))
+    found = _let(values, lambda v: _let(sums(v), lambda t: _let(sums(t), lambda u: within(v, within(t, first(u))))))
+    return F.when(F.size(values) > 0, found).otherwise(F.array().cast("array<bigint>"))
+
+
+def _spans(found: Column) -> Column:
+    """Structs of the matches of ``found``: ``kind``, ``base``, the matches ``m`` of a pattern and
+    the text ``p`` split at them."""
+    matches, gaps = found["m"], found["p"]
+    sizes = F.zip_with(matches, F.slice(gaps, F.lit(1), F.size(matches)), lambda x, y: (F.length(x) + F.length(y)).cast("long"))
+
+    def span(x: Column, j: Column, starts: Column) -> Column:
+        gap = F.get(gaps, j)
+        start = F.get(starts, j) + F.length(gap)
         return F.struct(
-            F.lit(kind).alias("kind"),
-            (end - F.length(x)).alias("start"),
-            end.alias("end"),
-            F.lit(base).alias("base"),
+            found["kind"].alias("kind"),
+            start.alias("start"),
+            (start + F.length(x)).alias("end"),
+            found["base"].alias("base"),
             x.alias("text"),
-            F.right(F.get(gaps, at), F.lit(CONTEXT)).alias("before"),
-            F.left(F.get(gaps, at + 1), F.lit(CONTEXT)).alias("after"),
+            F.right(gap, F.lit(CONTEXT)).alias("before"),
+            F.left(F.get(gaps, j + 1), F.lit(CONTEXT)).alias("after"),
         )
 
-    found = F.flatten(F.transform(starts, lambda before, c: F.transform(F.slice(matches, c * CHUNK + 1, F.lit(CHUNK)), lambda x, j: span(c, before, x, j))))
-    return F.filter(found, lambda s: _holds(kind, s["text"])) if base else found
+    spans = _let(_before(sizes, F.lit(0).cast("long"), lambda a, x: a + x), lambda starts: F.transform(matches, lambda x, j: span(x, j, starts)))
+    return F.when(F.size(matches) > 0, spans).otherwise(F.array().cast(SPANS))
+
+
+def _free(rest: Column, fixed: Column) -> Column:
+    """The spans of ``rest`` that overlap none of ``fixed``, in order of their ends.
+
+    Both are sorted together, a fixed span by its start and the others by their ends; one of
+    these overlaps where a fixed span before it reaches beyond its start.
+    """
+    nothing = F.lit(None).cast(SPANS[6:-1])
+    opened = F.transform(fixed, lambda s: F.struct(s["start"].alias("at"), F.lit(1).alias("k"), s["end"].alias("reach"), nothing.alias("span")))
+    closed = F.transform(rest, lambda s: F.struct(s["end"].alias("at"), F.lit(0).alias("k"), F.lit(-1).cast("long").alias("reach"), s.alias("span")))
+    both = F.array_sort(F.concat(opened, closed))
+    reached = lambda events: _before(F.transform(events, lambda e: e["reach"]), F.lit(-1).cast("long"), lambda a, x: F.greatest(a, x))
+    free = _let(both, lambda events: F.filter(F.zip_with(events, reached(events), lambda e, far: F.when((e["k"] == 0) & (far <= e["span"]["start"]), e["span"])), lambda s: s.isNotNull()))
+    return F.when((F.size(rest) > 0) & (F.size(fixed) > 0), free).otherwise(rest)
 
 
 def _matches(text: Column, pattern: str, needed: tuple[str, ...]) -> Column:
@@ -128,14 +159,11 @@ def candidates(docs: DataFrame) -> DataFrame:
     step = step.select("*", *[_matches(F.col("text"), p, needed).alias(f"m{k}") for k, (_, p, needed, _) in enumerate(proposals)])
     gaps = [F.when(F.size(m) > 0, F.split("text", p, -1)).otherwise(nothing).alias(f"p{k}") for k, (m, (_, p, *_)) in enumerate(zip(column("m"), proposals, strict=True))]
     step = step.select("doc_id", *column("m"), *gaps)
-    size = lambda m, p: F.zip_with(m, F.slice(p, F.lit(1), F.size(m)), lambda x, y: (F.length(x) + F.length(y)).cast("long"))
-    step = step.select("*", *[F.when(F.size(m) > 0, size(m, p)).otherwise(F.array().cast("array<bigint>")).alias(f"l{k}") for k, (m, p) in enumerate(zip(column("m"), column("p"), strict=True))])
-    step = step.select("*", *[_chunk_starts(x).alias(f"b{k}") for k, x in enumerate(column("l"))])
-    parts = zip(proposals, column("m"), column("p"), column("l"), column("b"), strict=True)
-    step = step.select("doc_id", *[_spans(kind, base, m, p, x, b).alias(f"s{k}") for k, ((kind, _, _, base), m, p, x, b) in enumerate(parts)])
-    step = step.select("doc_id", F.concat(*column("s")[: len(BASE)]).alias("fixed"), F.concat(*column("s")[len(BASE) :]).alias("rest"))
-    free = F.filter("rest", lambda s: ~F.exists("fixed", lambda f: (f["start"] < s["end"]) & (s["start"] < f["end"])))
-    return step.select("doc_id", F.concat("fixed", F.when(F.size("rest") > 0, free).otherwise(F.col("rest"))).alias("spans"))
+    found = [F.struct(F.lit(kind).alias("kind"), F.lit(base).alias("base"), m.alias("m"), p.alias("p")) for (kind, *_, base), m, p in zip(proposals, column("m"), column("p"), strict=True)]
+    step = step.select("doc_id", F.flatten(F.transform(F.array(*found), _spans)).alias("spans"))
+    holds = lambda s: _by_kind(s["kind"], {k: _holds(k, s["text"]) for k in ("ip", "card", "phone")}, F.lit(True))
+    step = step.select("doc_id", F.filter("spans", lambda s: s["base"] & holds(s)).alias("fixed"), F.filter("spans", lambda s: ~s["base"]).alias("rest"))
+    return step.select("doc_id", F.concat("fixed", _free(F.col("rest"), F.col("fixed"))).alias("spans"))
 
 
 def _by_kind(kind: Column, choices: dict[str, Column], other: Column) -> Column:
@@ -249,7 +277,10 @@ def find(docs: DataFrame) -> DataFrame:
     """One row per input row: ``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans``.
 
     The counts and the digest are of the fixed spans; ``spans`` has what the classifier adds
-    too. Null and empty texts have no spans and the digest of the empty string.
+    too. Null and empty texts have no spans and the digest of the empty string. Rows that repeat
+    give a row each, and each counts for the classifier; null doc_ids are rows like others;
+    extra columns are ignored; an empty table gives no rows. Time grows in proportion to a
+    text's length and matches.
     """
     spans = materialise(candidates(docs), "spans")
     odds = train(spans)

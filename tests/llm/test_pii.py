@@ -79,3 +79,22 @@ def test_em_recovers_reliabilities():
     assert given[0][1, 1] == pytest.approx(0.95 * 0.95, abs=0.04)
     assert given[1][1, 1] == pytest.approx(0.8 * 0.8, abs=0.04)
     assert sure[1, 1, 1] > 0.97 and sure[-1, -1, -1] < 0.03
+
+
+def test_many_matches_and_repeated_rows(spark):
+    text = "".join(f"a{k}@x.com {10_000_000 + k} " for k in range(50_000))
+    rows = [(1, text, "e"), (2, "x@y.zz 8.8.8.8", "e"), (2, "x@y.zz 8.8.8.8", "e"), (None, "x@y.zz", "e"), (None, "x@y.zz", "e")]
+    got = sorted(pii.find(spark.createDataFrame(rows, "doc_id long, text string, kind string")).collect(), key=str)
+    want = sorted([(i, *plain(t)[0]) for i, t, _ in rows], key=str)
+    assert [tuple(r)[:6] for r in got] == want and got[0].n_email in (1, 50_000)
+
+
+def test_no_added_span_overlaps_a_fixed_one(spark):
+    rng = random.Random(9)
+    bits = ["a@b.cc", "token=\"abcdefgh\"", "8.8.8.8", "12345678", "(at)", " ", "x", "+4912345678", "4111 1111 1111 1111", "212 555 0100", "u (at) v.com"]
+    rows = [(k, "".join(rng.choices(bits, k=rng.randint(1, 30)))) for k in range(400)]
+    for r in pii.candidates(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        fixed = [s for s in r.spans if s.base]
+        plain_rest = [s for s in r.spans if not s.base]
+        assert not any(f.start < s.end and s.start < f.end for s in plain_rest for f in fixed)
+        assert all(rows[r.doc_id][1][s.start : s.end] == s.text for s in r.spans)
