@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -160,26 +162,50 @@ def report_level(severity: Column) -> Column:
     return one_of({"CRITICAL": "error", "HIGH": "error", "MEDIUM": "warning", "LOW": "note", "INFO": "none"}, F.upper(severity), F.lit("warning"))
 
 
+#: Values that ``running`` joins one by one.
+RUN = 32
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once, though functions in ``body`` use it again
+    and again: the optimizer would put a column's expression in each place that names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(values: Column, zero: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """``join`` of all values before each one, in steps that grow with their number.
+
+    Joined within chunks of RUN values, over chunks, and over chunks of chunks; ``zero`` is for
+    nothing before, and an empty array gives null.
+    """
+    every = lambda x: F.aggregate(x, zero, join)
+    part = lambda x, c: F.slice(x, c * RUN + 1, F.lit(RUN))
+    numbers = lambda x: F.sequence(F.lit(0), F.floor((F.size(x) - 1) / RUN).cast("int"))
+    sums = lambda x: F.transform(numbers(x), lambda c: every(part(x, c)))
+    within = lambda x, bases: F.flatten(F.transform(bases, lambda base, c: F.transform(part(x, c), lambda _, j: join(base, every(F.slice(x, c * RUN + 1, j))))))
+    first = lambda x: F.transform(x, lambda _, c: every(F.slice(x, F.lit(1), c)))
+    found = let(values, lambda v: let(sums(v), lambda t: let(sums(t), lambda u: within(v, within(t, first(u))))))
+    return F.when(F.size(values) > 0, found)
+
+
 def match_lines(text: Column, pattern: str, needle: str = "") -> Column:
-    """``array<struct<line, match>>`` of all matches, with the line each starts on.
+    """``array<struct<line, match, snippet>>`` of all matches, with the line each starts on.
 
     The k-th match starts after the first k + 1 gaps and the first k matches; the line ends in
-    those are counted. A match may span lines, so the text is never cut into lines first.
+    those are counted, as a running sum. A match may span lines, so the text is never cut into
+    lines first.
     """
     p = RULE_FLAGS + pattern
-    found, gaps = F.regexp_extract_all(text, F.lit(p), F.lit(0)), F.split(text, p, -1)
-    ends = lambda s: F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
-    steps = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(m.alias("m"), ends(g).alias("before"), ends(m).alias("within")))
-    lines = F.transform(
-        steps,
-        lambda s, k: F.struct(
-            (F.aggregate(F.slice(steps, F.lit(1), k), F.lit(1), lambda a, x: a + x["before"] + x["within"]) + s["before"]).cast("int").alias("line"), s["m"].alias("match")
-        ),
-    )
-    none = F.array().cast("array<struct<line:int,match:string>>")
-    may = F.contains(F.lower(text), F.lit(needle)) if needle else F.lit(True)
-    return F.when(may & text.rlike(p), lines).otherwise(none)
+    ends = lambda s: (F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))).cast("int")
+    add = lambda a, x: a + x
 
+    def lines(found: Column, gaps: Column, raw: Column) -> Column:
+        within = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: ends(g) + ends(m))
+        at = lambda before, m, k: F.get(before, k) + ends(F.get(gaps, k))
+        hit = lambda n, m: F.struct(n.alias("line"), m.alias("match"), snippet(F.get(raw, n - 1)).alias("snippet"))
+        return let(running(within, F.lit(0), add), lambda before: F.transform(found, lambda m, k: hit(at(before, m, k) + 1, m)))
 
-def line_at(text: Column, number: Column) -> Column:
-    return F.get(F.split(text, "\n"), number - 1)
+    none = F.array().cast("array<struct<line:int,match:string,snippet:string>>")
+    found = let(F.regexp_extract_all(text, F.lit(p), F.lit(0)), lambda found: let(F.split(text, p, -1), lambda gaps: let(F.split(text, "\n"), lambda raw: lines(found, gaps, raw))))
+    may = F.contains(F.lower(text), F.lit(needle)) if needle else F.lit(True)
+    return F.when(may & text.rlike(p), found).otherwise(none)

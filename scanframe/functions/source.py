@@ -477,7 +477,10 @@ _TREE_TYPES = {
 
 
 def python_tree(text: str) -> list[TreeNode]:
-    """The syntax tree of a Python file as rows that name their parent; the root's is -1."""
+    """The syntax tree of a Python file as rows that name their parent; the root's is -1.
+
+    Expressions and statements have their whole text, which searches look into.
+    """
     try:
         root = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
@@ -495,6 +498,6 @@ def python_tree(text: str) -> list[TreeNode]:
         k = len(rows)
         kind = _TREE_TYPES.get(type(node).__name__, type(node).__name__)
         shown = segment(node) if isinstance(node, (ast.expr, ast.stmt)) else ""
-        rows.append(TreeNode(k, parent, kind, getattr(node, "lineno", 0), shown[:1000]))
+        rows.append(TreeNode(k, parent, kind, getattr(node, "lineno", 0), shown))
         queue += [(child, k) for child in ast.iter_child_nodes(node)]
     return rows

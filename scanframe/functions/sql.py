@@ -7,12 +7,21 @@ from collections.abc import Iterator
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
+from scanframe import tables
 from scanframe.functions import source
 
+
+def _list(items: tuple[str, ...]) -> str:
+    return ", ".join("'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" for x in items)
+
+
 #: Temporary SQL functions; the optimizer inlines their bodies.
 SCALARS = {
     "severity_rank(s STRING) RETURNS INT": "CASE s WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 3 ELSE 4 END",
     "version_key(v STRING) RETURNS ARRAY<DECIMAL(38,0)>": r"slice(concat(transform(slice(regexp_extract_all(v, '\\d+', 0), 1, 4), x -> cast(x AS DECIMAL(38,0))), array_repeat(cast(0 AS DECIMAL(38,0)), 4)), 1, 4)",
+    "is_placeholder(value STRING) RETURNS BOOLEAN": rf"""coalesce(transform(array(lower(regexp_replace(regexp_replace(value, '(?U)^\\s+|\\s+$', ''), '^[\'"]+|[\'"]+$', ''))), v ->
+        v IN ({_list(tuple(sorted(tables.PLACEHOLDERS)))}) OR length(v) < 6 OR v RLIKE '^[$%<{{\\[]|[}}>\\]]$' OR v RLIKE '^[x*.·_-]*$' OR contains(value, '{{{{') OR contains(value, '{{%')
+        OR (contains(v, '%') AND length(replace(replace(v, '%s', ''), '%d', '')) < 3))[0], false)""",
     "is_test_path(p STRING) RETURNS BOOLEAN": "lower(p) RLIKE 'test|spec|mock|fixture|e2e|integration'",
 }
 
@@ -54,6 +63,5 @@ def register(spark: SparkSession) -> None:
     ``SELECT path, t.* FROM files, LATERAL scan_rules(content, ext) t``."""
     for head, body in SCALARS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
-    spark.udf.register("is_placeholder", lambda v: v is not None and source.is_placeholder(v), "boolean")
     for name, (eval_class, returns) in TABLES.items():
         spark.udtf.register(name, udtf(eval_class, returnType=returns, useArrow=True))

@@ -98,13 +98,13 @@ def match_native(files: DataFrame, name: str, pattern: str, severity: str, categ
 
     ``files`` needs ``path`` and ``content``. The pattern must mean the same in Java.
     """
-    found = files.select("path", "content", F.posexplode(C.match_lines(F.col("content"), pattern, source.needle(pattern))).alias("k", "m"))
+    found = files.select("path", F.posexplode(C.match_lines(F.col("content"), pattern, source.needle(pattern))).alias("k", "m"))
     return found.select(
         F.col("path").alias("file"),
         F.col("m.line").alias("line"),
         F.lit(name).alias("type"),
         F.lit(severity).alias("severity"),
-        C.snippet(C.line_at(F.col("content"), F.col("m.line"))).alias("snippet"),
+        F.col("m.snippet").alias("snippet"),
         F.lit(description).alias("description"),
         F.lit(category).alias("category"),
         F.lit("pattern").alias("analyzer"),

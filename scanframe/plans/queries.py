@@ -175,7 +175,7 @@ def frameworks(spark, sf_dir):
 @query("SELECT doc_id FROM documents WHERE regexp_matches(text, '(^|[^\\w])the($|[^\\w])')")
 def word_uses(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
-    return d.filter(F.coalesce(d["text"].rlike(r"(?:^|[^\w])the(?:$|[^\w])"), F.lit(False))).select("doc_id")
+    return d.filter(C.holds_word(F.coalesce("text", F.lit("")), F.lit("the"))).select("doc_id")
 
 
 @query("SELECT language, count(*) AS n FROM lines WHERE CASE WHEN language = 'python' THEN raw LIKE '#%' WHEN language = 'php' THEN regexp_matches(raw, '^(//|#|/\\*)') ELSE regexp_matches(raw, '^(//|/\\*|\\*)') END GROUP BY 1", CODE, LINES)
@@ -252,9 +252,15 @@ def rule_number_lines(spark, sf_dir):
     return rules.match_native(views.docs(spark, sf_dir), *NUMBER_RULE)
 
 
+@query(_rule_sql("pages_", *NUMBER_RULE), views.PAGES)
+def rule_page_lines(spark, sf_dir):
+    """The content of web pages under a rule."""
+    return rules.match_native(views.pages(spark, sf_dir), *NUMBER_RULE)
+
+
 # keep the CTE lists of the rule queries whole: their own expressions follow the views'
-for _name in ("rule_token_lines", "rule_number_lines"):
-    ORACLE_SQL[_name] = ORACLE_SQL[_name].replace("FROM documents) m AS", "FROM documents), m AS")
+for _name, _table in (("rule_token_lines", "documents"), ("rule_number_lines", "documents"), ("rule_page_lines", "pages")):
+    ORACLE_SQL[_name] = ORACLE_SQL[_name].replace(f"FROM {_table}) m AS", f"FROM {_table}), m AS")
 
 
 @query("SELECT path AS file, 1 AS line, 'Insecure HTTP' AS type, content AS snippet FROM links WHERE contains(content, 'http://')", LINKS)
@@ -351,13 +357,13 @@ def code_tokens(spark, sf_dir):
     return rules.tokenize(views.code(spark, sf_dir)).select("path", "pos", "value")
 
 
-@query(f"SELECT path, len({_TOKENS}) AS tokens, 0 AS rank FROM squeezed", CODE, SQUEEZED)
+@query(f"SELECT path, len({_TOKENS}) AS tokens, 0 AS rank, path LIKE 'tests/%' AS test, false AS dots, true AS short FROM squeezed", CODE, SQUEEZED)
 def sql_functions(spark, sf_dir):
     """The scan functions in SQL text."""
     from scanframe.functions import sql
 
     sql.register(spark)
-    text = "SELECT f.path, count(*) AS tokens, min(severity_rank('CRITICAL')) AS rank FROM {files} f, LATERAL tokenize(f.content) t GROUP BY 1"
+    text = "SELECT f.path, count(*) AS tokens, min(severity_rank('CRITICAL')) AS rank, is_test_path(f.path) AS test, is_placeholder('a.path.' || f.path) AS dots, is_placeholder(left(f.path, 5)) AS short FROM {files} f, LATERAL tokenize(f.content) t GROUP BY 1"
     return spark.sql(text, files=views.code(spark, sf_dir))
 
 
@@ -469,6 +475,37 @@ def taint_findings(spark, sf_dir):
     return rules.procedural(views.code(spark, sf_dir)).filter("analyzer = 'taint'").select("file", "line", "type")
 
 
+# ---------------------------------------------------------------- a file for each thing to find
+
+
+def _cases(found: DataFrame) -> DataFrame:
+    return found.select("file", "line", "type", "severity")
+
+
+@query(views.cases_sql("ast"))
+def syntax_cases(spark, sf_dir):
+    """Every detector of Python's syntax trees, on what it must find and what it must not."""
+    return _cases(rules.procedural(views.cases(spark, sf_dir, "ast")).filter("analyzer = 'ast'"))
+
+
+@query(views.cases_sql("config"))
+def config_cases(spark, sf_dir):
+    """Every configuration rule."""
+    return _cases(rules.procedural(views.cases(spark, sf_dir, "config")))
+
+
+@query(views.cases_sql("context"))
+def context_cases(spark, sf_dir):
+    """The configuration checks of the context detectors that the programs do not hold."""
+    return _cases(context.context_findings(views.cases(spark, sf_dir, "context")))
+
+
+@query(views.cases_sql("taint"))
+def taint_cases(spark, sf_dir):
+    """Every dialect of the taint tracker."""
+    return _cases(rules.procedural(views.cases(spark, sf_dir, "taint")).filter("analyzer = 'taint'"))
+
+
 # ---------------------------------------------------------------- property graph
 
 
@@ -706,9 +743,11 @@ def report_lines(spark, sf_dir):
     return findings.report_lines(views.found(spark, sf_dir))
 
 
-@query("SELECT count(*) AS discovered, count(*) AS queued, count(*) AS analyzed, 0 AS skipped, 0 AS failed FROM code", CODE)
+@query("SELECT count(*) AS discovered, count(*) FILTER (WHERE path NOT LIKE 'tests/%') AS queued, count(*) FILTER (WHERE path NOT LIKE 'tests/%') AS analyzed, count(*) FILTER (WHERE path LIKE 'tests/%') AS skipped, 0 AS failed FROM code", CODE)
 def scan_coverage(spark, sf_dir):
-    return scan.scan_coverage(views.code(spark, sf_dir))
+    """Coverage where the content of test files could not be read."""
+    code = views.code(spark, sf_dir)
+    return scan.scan_coverage(code.withColumn("content", F.when(~F.startswith("path", F.lit("tests/")), F.col("content"))))
 
 
 @query(
@@ -770,8 +809,8 @@ def sarif_results(spark, sf_dir):
 
 @query()
 def full_scan(spark, sf_dir):
-    """All detectors over programs, manifests, documents and urls, deduplicated."""
-    everything = views.code(spark, sf_dir).unionByName(views.manifests(spark, sf_dir)).unionByName(views.docs(spark, sf_dir)).unionByName(views.links(spark, sf_dir))
+    """All detectors over programs, manifests, documents, urls and web pages, deduplicated."""
+    everything = views.code(spark, sf_dir).unionByName(views.manifests(spark, sf_dir)).unionByName(views.docs(spark, sf_dir)).unionByName(views.links(spark, sf_dir)).unionByName(views.pages(spark, sf_dir))
     return scan.scan(everything)
 
 

@@ -227,3 +227,90 @@ keyed AS (
          list_transform(list_resize(regexp_extract_all(vuln_version, '\\d+'), 4, '0'), lambda x: x::INTEGER) AS wk
   FROM packaged JOIN vulnerable USING (pkg)),
 hits AS (SELECT * FROM keyed WHERE starts_with(version, vuln_version) OR vk <= wk)"""
+
+
+#: Small files, one for each thing that a detector looks for and some that it must leave alone:
+#: (name of the case's detector, extension, content, line of the finding or 0, type, severity).
+CASES = (
+    ("ast", ".py", "x = 1\neval(request.args)\n", 2, "AST: eval() with user input", "CRITICAL"),
+    ("ast", ".py", "exec(x, request.form)\n", 1, "AST: exec() with user input", "CRITICAL"),
+    ("ast", ".py", "eval(x)\n", 0, "", ""),
+    ("ast", ".py", "m = __import__(request.form)\n", 1, "AST: Dynamic import with user input", "CRITICAL"),
+    ("ast", ".py", "import a\nimport b\npickle.loads(blob)\n", 3, "AST: pickle deserialization", "CRITICAL"),
+    ("ast", ".py", "yaml.load(text)\n", 1, "AST: yaml.load without SafeLoader", "HIGH"),
+    ("ast", ".py", "yaml.load(text, Loader=SafeLoader)\n", 0, "", ""),
+    ("ast", ".py", "os.popen(x)\n", 1, "AST: os.popen", "HIGH"),
+    ("ast", ".py", "subprocess.run(cmd, shell=True)\n", 1, "AST: subprocess with shell=True", "HIGH"),
+    ("ast", ".py", "subprocess.run(cmd, shell=False)\n", 0, "", ""),
+    ("ast", ".py", "def f():\n    return open(request.args)\n", 2, "AST: open() with user input", "HIGH"),
+    ("ast", ".py", "render_template_string(t)\n", 1, "AST: render_template_string", "CRITICAL"),
+    ("ast", ".py", "getattr(o, request.args)\n", 1, "AST: getattr with user input", "HIGH"),
+    ("ast", ".py", "marshal.loads(b)\n", 1, "AST: marshal deserialization", "CRITICAL"),
+    ("ast", ".py", "db.execute('select %s' % v)\n", 1, "AST: SQL query via string formatting", "CRITICAL"),
+    ("ast", ".py", "db.execute('select 1', v)\n", 0, "", ""),
+    ("ast", ".py", "hashlib.sha1(b)\n", 1, "AST: weak hash (SHA1)", "MEDIUM"),
+    ("ast", ".py", "hashlib.new('md5')\n", 1, "AST: weak hash (MD5)", "HIGH"),
+    ("ast", ".py", "hashlib.new('SHA-1', b)\n", 1, "AST: weak hash (SHA1)", "MEDIUM"),
+    ("ast", ".py", "app.run('0.0.0.0')\n", 1, "AST: binds 0.0.0.0", "MEDIUM"),
+    ("ast", ".py", "DEBUG = True\n", 1, "AST: DEBUG = True", "HIGH"),
+    ("ast", ".py", "api_key = 'k9-AbCdEf123'\n", 1, "AST: hardcoded api_key", "CRITICAL"),
+    ("ast", ".py", "api_key = 'changeme'\n", 0, "", ""),
+    ("config", ".txt", "a\ndebug: yes\n", 2, "Debug Mode", "MEDIUM"),
+    ("config", ".txt", "Access-Control-Allow-Origin: *\n", 1, "CORS Wildcard", "MEDIUM"),
+    ("config", ".txt", "get(u, verify=False)\n", 1, "SSL Verify Disabled", "HIGH"),
+    ("config", ".txt", "TLSClientConfig: c{InsecureSkipVerify: true}\n", 1, "SSL Verify Disabled (Go)", "HIGH"),
+    ("config", ".txt", "http://10.0.0.1/\nhttp://localhost/\nhttp://h.example.org/\n", 3, "Insecure HTTP", "LOW"),
+    ("config", ".txt", "http://192.168.0.1/ http://172.20.0.1/\n", 0, "", ""),
+    ("config", ".txt", "Server: 'x/1.0'\n", 1, "Version Disclosure", "LOW"),
+    ("config", ".txt", "Options +Indexes\n", 1, "Directory Listing", "MEDIUM"),
+    ("config", ".txt", "Access-Control-Allow-Origin: req.headers.origin\n", 1, "CORS Origin Reflection", "HIGH"),
+    ("config", ".txt", "e.printStackTrace()\n", 1, "Verbose Errors", "LOW"),
+    ("config", ".txt", "print(my_password)\n", 1, "Info Disclosure (print secrets)", "HIGH"),
+    ("config", ".txt", "console.log(token)\n", 1, "Info Disclosure (console.log)", "HIGH"),
+    ("config", ".txt", "user.permit!\n", 1, "Mass Assignment (Rails)", "MEDIUM"),
+    ("config", ".txt", "logger.info('a' + b)\n", 1, "Log Injection", "LOW"),
+    ("config", ".txt", "models.FileField\n", 1, "File Upload (Django)", "LOW"),
+    ("context", ".py", "CORS_ALLOW_ALL_ORIGINS = True\n", 1, "Context: CORS allows any origin", "HIGH"),
+    ("context", ".js", "use(cors({origin: '*'}))\n", 1, "Context: CORS allows any origin", "HIGH"),
+    ("context", ".py", "@csrf_exempt\ndef f(r): pass\n", 1, "Context: @csrf_exempt used", "MEDIUM"),
+    ("context", ".py", "csrf_exempt_not(1)\n", 0, "", ""),
+    ("taint", ".py", "v = sys.argv\n\nos.system(v)\n", 3, "Taint: v -> os.system", "HIGH"),
+    ("taint", ".php", "$v = $_GET['a'];\nsystem($v);\n", 2, "Taint: v -> exec", "CRITICAL"),
+    ("taint", ".js", "const v = req.body;\nconst w = v;\neval(w);\n", 3, "Taint: w -> eval", "HIGH"),
+    ("taint", ".ts", "let v = req.query;\neval(v);\n", 2, "Taint: v -> eval", "HIGH"),
+    ("taint", ".java", "String v = request.getHeader(1);\nRuntime.getRuntime().exec(v);\n", 2, "Taint: v -> Runtime.exec", "CRITICAL"),
+    ("taint", ".rb", "v = params\neval(v)\n", 2, "Taint: v -> eval", "HIGH"),
+    ("taint", ".go", "v := r.FormValue(a)\nexec.Command(v)\n", 2, "Taint: v -> exec.Command", "HIGH"),
+    ("taint", ".cs", "var v = Request.Form[a];\nProcess.Start(v);\n", 2, "Taint: v -> Process.Start", "MEDIUM"),
+    ("taint", ".kt", "val v: String = readLine()\nProcessBuilder(v)\n", 2, "Taint: v -> ProcessBuilder", "HIGH"),
+    ("taint", ".lua", "local v = io.read()\nos.execute(v)\n", 2, "Taint: v -> os.execute", "CRITICAL"),
+    ("taint", ".pl", "my $v = <STDIN>;\nsystem($v);\n", 2, "Taint: v -> system", "HIGH"),
+    ("taint", ".c", "char *v = getenv(a);\npopen(v, b);\n", 2, "Taint: v -> popen", "CRITICAL"),
+    ("taint", ".cpp", "auto v = getenv(a);\nsystem(v);\n", 2, "Taint: v -> system", "CRITICAL"),
+    ("taint", ".rb", "v = 1\neval(v)\n", 0, "", ""),
+)
+
+
+def cases(spark: SparkSession, sf_dir: str, detector: str) -> DataFrame:
+    """A file for every part: the cases of one detector by turns."""
+    own = [c for c in CASES if c[0] == detector]
+    part, k = spread(read(spark, sf_dir, "part")), F.col("p_partkey")
+    at = (k % len(own)).cast("int")
+    path = F.concat(F.lit("src/c"), k.cast("string"), F.get(F.array(*[F.lit(c[1]) for c in own]), at))
+    return files_from_table(part.select(path.alias("path"), F.get(F.array(*[F.lit(c[2]) for c in own]), at).alias("content")))
+
+
+def cases_sql(detector: str) -> str:
+    """The findings that the cases' files have: ``file, line, type, severity``."""
+    own = [c for c in CASES if c[0] == detector]
+    values = ", ".join(f"({n}, {quoted(ext)}, {line}, {quoted(kind)}, {quoted(severity)})" for n, (_, ext, _, line, kind, severity) in enumerate(own))
+    return f"SELECT 'src/c' || p_partkey || ext AS file, line::INTEGER AS line, type, severity FROM part JOIN (VALUES {values}) t(n, ext, line, type, severity) ON p_partkey % {len(own)} = n WHERE line > 0"
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Web pages as files."""
+    p = spread(read(spark, sf_dir, "pages"))
+    return files_from_table(p.select(F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.coalesce("html", F.lit("")).alias("content")))
+
+
+PAGES = "pages_ AS (SELECT 'pages/' || page_id || '.html' AS path, regexp_replace(coalesce(html, ''), '\\r\\n?', chr(10), 'g') AS content FROM pages)"

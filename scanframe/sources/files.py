@@ -15,6 +15,10 @@ from scanframe.schema import FILE
 
 #: Files read by one task.
 FILES_PER_TASK = 256
+#: The driver lists folders until there are as many, each of which is then a task's to list.
+TREES = 64
+#: Characters of file content in one batch of rows, about.
+BATCH_CHARS = 8 << 20
 
 
 def files_from_table(rows: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
@@ -45,19 +49,20 @@ def keeps(name: str) -> bool:
 
 
 class _Chunk(InputPartition):
-    def __init__(self, entries: list[tuple[str, int]]):
+    def __init__(self, entries: list[tuple[str, int]], folder: str = ""):
         super().__init__(entries)
-        self.entries = entries
+        self.entries, self.folder = entries, folder
 
 
 class SourceTree(DataSource):
     """``spark.read.format("source_tree").load(uri)``: the text files of a source tree.
 
-    Lists with Arrow's file systems (local paths and the stores they know) and prunes
-    directories while listing, so what lies below them is never touched; names that start with
+    Lists with Arrow's file systems (local paths and the stores they know), the upper folders on
+    the driver and the trees below them in the tasks that read them, and prunes directories
+    while listing, so what lies below them is never touched; names that start with
     a dot or an underscore, which Spark's own file sources leave out, are read as any other.
     Options: ``files_per_task``; ``max_bytes`` (none by default): larger files are listed with
-    null content, and so count as skipped.
+    null content. So are files that cannot be read; both count as skipped.
     """
 
     @classmethod
@@ -82,37 +87,63 @@ class SourceTreeReader(DataSourceReader):
 
         return fs.FileSystem.from_uri(self.uri) if "://" in self.uri else (fs.LocalFileSystem(), self.uri)
 
-    def partitions(self):
+    def _listed(self, store, folder: str) -> tuple[list[str], list[tuple[str, int]]]:
+        """The folders and the files, with their sizes, of a folder that a scan looks into."""
         from pyarrow import fs
 
+        infos = sorted(store.get_file_info(fs.FileSelector(folder)), key=lambda i: i.path)
+        folders = [i.path for i in infos if i.type == fs.FileType.Directory and i.base_name not in tables.EXCLUDED_DIRS]
+        return folders, [(i.path, i.size) for i in infos if i.type != fs.FileType.Directory and keeps(i.base_name)]
+
+    def partitions(self):
         store, base = self._store()
-        found, queue = [], [base.rstrip("/")]
-        for folder in queue:
-            for info in store.get_file_info(fs.FileSelector(folder)):
-                if info.type == fs.FileType.Directory:
-                    if info.base_name not in tables.EXCLUDED_DIRS:
-                        queue.append(info.path)
-                elif keeps(info.base_name):
-                    found.append((info.path, info.size))
-        found.sort()
-        return [_Chunk(found[k : k + self.per_task]) for k in range(0, len(found), self.per_task)]
+        found, folders = [], [base.rstrip("/")]
+        while folders and len(folders) < TREES:
+            below = []
+            for folder in folders:
+                own, entries = self._listed(store, folder)
+                below += own
+                found += entries
+            folders = below
+        chunks = [_Chunk(found[k : k + self.per_task]) for k in range(0, len(found), self.per_task)]
+        return chunks + [_Chunk([], folder) for folder in folders]
+
+    def _entries(self, store, partition) -> Iterator[tuple[str, int]]:
+        yield from partition.entries
+        queue = [partition.folder] if partition.folder else []
+        while queue:
+            folders, entries = self._listed(store, queue.pop())
+            queue += folders
+            yield from entries
+
+    def _content(self, store, path: str, size: int) -> str | None:
+        if self.max_bytes is not None and size > self.max_bytes:
+            return None
+        try:
+            with store.open_input_stream(path) as f:
+                return f.read().decode("utf-8", "ignore").replace("\r\n", "\n").replace("\r", "\n")
+        except OSError:
+            return None
 
     def read(self, partition) -> Iterator[pa.RecordBatch]:
         store, base = self._store()
-        for path, size in partition.entries if partition else ():
-            content: str | None
-            if self.max_bytes is not None and size > self.max_bytes:
-                content = None
-            else:
-                try:
-                    with store.open_input_stream(path) as f:
-                        content = f.read().decode("utf-8", "ignore").replace("\r\n", "\n").replace("\r", "\n")
-                except OSError:
-                    content = ""
+        rows, held = [], 0
+        for path, size in self._entries(store, partition) if partition else ():
             shown = path.removeprefix(base.rstrip("/") + "/")
             name = shown.rpartition("/")[2]
             ext = suffix(name)
-            yield (shown, name, ext, tables.LANGUAGE_OF_EXT.get(ext, "unknown"), content)
+            content = self._content(store, path, size)
+            rows.append((shown, name, ext, tables.LANGUAGE_OF_EXT.get(ext, "unknown"), content))
+            held += len(content or "")
+            if held > BATCH_CHARS or len(rows) == self.per_task:
+                yield _batch(rows)
+                rows, held = [], 0
+        if rows:
+            yield _batch(rows)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], FILE.names)
 
 
 def files_from_tree(spark: SparkSession, uri: str, **options) -> DataFrame:

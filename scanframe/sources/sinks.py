@@ -46,10 +46,10 @@ def html_row() -> Column:
     cell = lambda c, attributes="": F.concat(F.lit(f"<td{attributes}>"), c, F.lit("</td>"))
     badge = lambda c: F.concat(F.lit('<span class="badge">'), c, F.lit("</span>"))
     code = F.concat(F.lit("<code>"), escaped(F.left("snippet", F.lit(80))), F.lit("</code>"))
-    severity = F.concat(F.lit('<td class="'), F.lower("severity"), F.lit('">'), "severity", F.lit("</td>"))
+    severity = F.concat(F.lit('<td class="'), escaped(F.lower("severity")), F.lit('">'), escaped(F.col("severity")), F.lit("</td>"))
     return F.concat(
-        F.lit("<tr>"), cell(escaped(F.col("file"))), cell(F.col("line").cast("string")), cell(escaped(F.col("type"))), cell(badge(F.col("category"))), severity,
-        cell(escaped(F.col("description"))), cell(code), cell(badge(F.col("analyzer"))), F.lit("</tr>"),
+        F.lit("<tr>"), cell(escaped(F.col("file"))), cell(F.col("line").cast("string")), cell(escaped(F.col("type"))), cell(badge(escaped(F.col("category")))), severity,
+        cell(escaped(F.col("description"))), cell(code), cell(badge(escaped(F.col("analyzer")))), F.lit("</tr>"),
     )
 
 

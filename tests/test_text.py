@@ -247,3 +247,38 @@ def test_python_tree():
     rows = source.python_tree("def f():\n    return g(1) + 2\n")
     assert rows[0].parent_id == -1 and all(rows[r.parent_id].node_id < r.node_id for r in rows[1:])
     assert {"function_definition", "call", "binary_operator"} <= {r.type for r in rows}
+
+
+def test_matches_of_a_long_text_take_time_in_proportion(spark):
+    import time
+
+    from scanframe.operators import rules
+
+    text = "".join(f"line {k} http://h{k}.example.com/\n" for k in range(100_000))
+    files = spark.createDataFrame([("p", text)], "path string, content string")
+    began = time.perf_counter()
+    got = rules.match_native(files, "Insecure HTTP", "http://", "LOW", "NETWORK", "HTTP instead of HTTPS.").collect()
+    assert [r.line for r in got] == list(range(1, 100_001)) and got[77].snippet == "line 77 http://h77.example.com/" and time.perf_counter() - began < 60
+
+
+def test_running_sums(spark):
+    from pyspark.sql import functions as F
+
+    from scanframe.functions import columns as C
+
+    rows = [[], [5], list(range(33)), list(range(3000)), [1] * 1025]
+    df = spark.createDataFrame([(k, r) for k, r in enumerate(rows)], "k int, v array<bigint>")
+    got = {r.k: r.s for r in df.select("k", C.running(F.col("v"), F.lit(0).cast("long"), lambda a, x: a + x).alias("s")).collect()}
+    for k, r in enumerate(rows):
+        assert got[k] == ([sum(r[:i]) for i in range(len(r))] if r else None)
+
+
+def test_sql_placeholder_equals_the_function(spark):
+    from scanframe.functions import source, sql
+
+    sql.register(spark)
+    values = ["changeme", "${x}", "realSecret9!", "a%sb", "'xx--xx'", "{{a}}bcdefgh", "it's-fine-12", "   short ", "", "\\\\back\\\\slash", "%s%d%sab", "x*x*x*x", "[token]"]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    got = [r.p for r in spark.sql("SELECT is_placeholder(v) AS p FROM {df}", df=df).collect()]
+    assert got == [source.is_placeholder(v) for v in values]
+    assert not spark.sql("SELECT is_placeholder(NULL) AS p").first().p
