@@ -10,12 +10,12 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
-from collections.abc import Callable
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scanframe.functions import columns as C
 from scanframe.llm.common import materialise, table
 
 # Possessive quantifiers keep long runs from recursing or being tried again from each of their
@@ -47,8 +47,6 @@ CUES = {
 }
 AGAINST = "version|isbn|issn|order|invoice|page|figure|build|release|example"
 CONTEXT = 24
-#: Offsets are summed within chunks of matches and over chunks.
-CHUNK = 32
 SPANS = "array<struct<kind:string,start:bigint,end:bigint,base:boolean,text:string,before:string,after:string>>"
 ROUNDS = 60
 
@@ -78,27 +76,6 @@ def _holds(kind: str, s: Column) -> Column:
     return F.lit(True)
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of ``value``, which is computed once, though functions in ``body`` use it again
-    and again: the optimizer would put a column's expression in each place that names it."""
-    return F.transform(F.array(value), body)[0]
-
-
-def _before(values: Column, zero: Column, join: Callable[[Column, Column], Column]) -> Column:
-    """``join`` of all values before each one, in steps that grow with their number.
-
-    Joined within chunks of CHUNK values, over chunks, and over chunks of chunks.
-    """
-    every = lambda x: F.aggregate(x, zero, join)
-    part = lambda x, c: F.slice(x, c * CHUNK + 1, F.lit(CHUNK))
-    numbers = lambda x: F.sequence(F.lit(0), F.floor((F.size(x) - 1) / CHUNK).cast("int"))
-    sums = lambda x: F.transform(numbers(x), lambda c: every(part(x, c)))
-    within = lambda x, bases: F.flatten(F.transform(bases, lambda base, c: F.transform(part(x, c), lambda _, j: join(base, every(F.slice(x, c * CHUNK + 1, j))))))
-    first = lambda x: F.transform(x, lambda _, c: every(F.slice(x, F.lit(1), c)))
-    found = _let(values, lambda v: _let(sums(v), lambda t: _let(sums(t), lambda u: within(v, within(t, first(u))))))
-    return F.when(F.size(values) > 0, found).otherwise(F.array().cast("array<bigint>"))
-
-
 def _spans(found: Column) -> Column:
     """Structs of the matches of ``found``: ``kind``, ``base``, the matches ``m`` of a pattern and
     the text ``p`` split at them."""
@@ -118,7 +95,7 @@ def _spans(found: Column) -> Column:
             F.left(F.get(gaps, j + 1), F.lit(CONTEXT)).alias("after"),
         )
 
-    spans = _let(_before(sizes, F.lit(0).cast("long"), lambda a, x: a + x), lambda starts: F.transform(matches, lambda x, j: span(x, j, starts)))
+    spans = C.let(C.running(sizes, F.lit(0).cast("long"), lambda a, x: a + x), lambda starts: F.transform(matches, lambda x, j: span(x, j, starts)))
     return F.when(F.size(matches) > 0, spans).otherwise(F.array().cast(SPANS))
 
 
@@ -132,8 +109,8 @@ def _free(rest: Column, fixed: Column) -> Column:
     opened = F.transform(fixed, lambda s: F.struct(s["start"].alias("at"), F.lit(1).alias("k"), s["end"].alias("reach"), nothing.alias("span")))
     closed = F.transform(rest, lambda s: F.struct(s["end"].alias("at"), F.lit(0).alias("k"), F.lit(-1).cast("long").alias("reach"), s.alias("span")))
     both = F.array_sort(F.concat(opened, closed))
-    reached = lambda events: _before(F.transform(events, lambda e: e["reach"]), F.lit(-1).cast("long"), lambda a, x: F.greatest(a, x))
-    free = _let(both, lambda events: F.filter(F.zip_with(events, reached(events), lambda e, far: F.when((e["k"] == 0) & (far <= e["span"]["start"]), e["span"])), lambda s: s.isNotNull()))
+    reached = lambda events: C.running(F.transform(events, lambda e: e["reach"]), F.lit(-1).cast("long"), lambda a, x: F.greatest(a, x))
+    free = C.let(both, lambda events: F.filter(F.zip_with(events, reached(events), lambda e, far: F.when((e["k"] == 0) & (far <= e["span"]["start"]), e["span"])), lambda s: s.isNotNull()))
     return F.when((F.size(rest) > 0) & (F.size(fixed) > 0), free).otherwise(rest)
 
 
