@@ -28,7 +28,8 @@ class DigestIndex:
     """A table of the digests seen so far, bucketed and sorted by digest.
 
     One row a digest: ``digest binary, keep_id long, group_size long`` (rows with that digest
-    in the batch that brought it). Bucketing means that a new batch is shuffled once, by
+    in the batch that brought it: later batches change neither, as what they bring of it goes).
+    Bucketing means that a new batch is shuffled once, by
     digest, and the index not at all: the anti-join is a merge of sorted buckets. The number
     of buckets is fixed when the index is made; it should follow the planned corpus size.
     """
@@ -73,7 +74,13 @@ class DigestIndex:
             .saveAsTable(self.name)
         )
         self.spark.catalog.refreshTable(self.name)
-        return lookup(batch, self.entries(), "digest", "group_size")
+        # a digest is hot by the rows of this batch, whenever it came into the index
+        own = groups.select("digest", F.col("group_size").alias("n")).join(self.entries().hint("merge"), "digest")
+        return lookup(batch, materialise(own, "entries"), "digest", "n").drop("n")
+
+    def forget(self) -> None:
+        """Drop the table from the catalog; its files stay in their folder."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
 def exact_groups(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
@@ -84,8 +91,10 @@ def exact_groups(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame
     are ignored. With ``index``, texts that an earlier batch brought keep that batch's row.
     """
     spark = docs.sparkSession
-    index = index or DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
-    found = index.append(materialise(digests(docs), "digests"))
+    own = index or DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
+    found = own.append(materialise(digests(docs), "digests"))
+    if index is None:
+        own.forget()
     return found.select(
         "doc_id",
         "keep_id",

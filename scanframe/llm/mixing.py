@@ -22,8 +22,12 @@ MOST = 2.0
 BLOCK_WORDS = 128
 SLOTS_PER_SHARD = 1024
 SEED = 17
-#: Document buckets of a source, over which its running word count is summed in two steps.
+#: Document buckets of a source, over which its running word count is summed in two steps: this
+#: many, or one for every BUCKET_DOCS documents of the table where that is more.
 BUCKETS = 1024
+BUCKET_DOCS = 1 << 16
+#: Slots that one task fills, about, and passes on at a time.
+SLOTS_PER_TASK = 1 << 16
 #: For whole copies the count runs over documents by length: SIZE_CLASSES classes to a doubling,
 #: each in SIZE_BUCKETS buckets. Fractions of a copy are counted in units of 1 / COPY.
 SIZE_CLASSES = 4
@@ -59,9 +63,11 @@ def permute(index: np.ndarray, n: int, key: int, rounds: int = 4) -> np.ndarray:
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """``doc_id, source, size`` of every row; null text has no words."""
+    """``doc_id, digest, source, size`` of every row: a hash of the text tells rows of one id
+    apart; null text has no words."""
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
+        F.xxhash64("text").alias("digest"),
         F.col("source").cast("string").alias("source"),
         F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"),
     )
@@ -97,15 +103,16 @@ def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
 def spans(sized: DataFrame, ranked: DataFrame) -> DataFrame:
     """Add ``rank, source_size, target`` and ``at``, the words of the source before the row.
 
-    Large sources are looked up by broadcast, all others by shuffle.
+    ``sized`` must be materialised. Large sources are looked up by broadcast, all others by shuffle.
 
     The running sum is taken within BUCKETS buckets of a source and over their totals, so no
     task holds a source.
     """
     key = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))  # null is a source of its own
     placed = lookup(sized.withColumn("key", key), materialise(ranked.withColumn("key", key).drop("source"), "ranked"), "key", "docs").drop("key", "docs")
-    bucketed = placed.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)))
-    inner = Window.partitionBy("rank", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = max(BUCKETS, sized.count() // BUCKET_DOCS)
+    bucketed = placed.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(buckets)))
+    inner = Window.partitionBy("rank", "bucket").orderBy("doc_id", "digest", "size").rowsBetween(Window.unboundedPreceding, -1)
     totals = bucketed.groupBy("rank", "bucket").agg(F.sum("size").alias("total"))
     outer = Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("rank", "bucket", F.coalesce(F.sum("total").over(outer), F.lit(0)).alias("base"))
@@ -119,12 +126,12 @@ def quotas(ranked: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     return ranked.filter("source_size > 0").select("rank", blocks.alias("blocks"), F.round(F.col("target") * blocks / F.col("source_size")).cast("long").alias("quota"))
 
 
-def shard_counts(quota: dict[int, int], shards: range, total: int, slots: int = SLOTS_PER_SHARD, seed: int = SEED) -> Iterator[tuple[int, np.ndarray]]:
+def shard_counts(quota: np.ndarray, shards: range, total: int, slots: int = SLOTS_PER_SHARD, seed: int = SEED) -> Iterator[tuple[int, np.ndarray]]:
     """(shard, slots of each source): a seeded multinomial draw for each shard."""
-    p = np.array([quota[r] for r in sorted(quota)], float)
+    p = quota / quota.sum()
     for shard in shards:
         rng = np.random.default_rng([seed, shard])
-        yield shard, rng.multinomial(min(slots, total - shard * slots), p / p.sum())
+        yield shard, rng.multinomial(min(slots, total - shard * slots), p)
 
 
 def slots(spark: SparkSession, ranked: DataFrame, block_words: int = BLOCK_WORDS, per_shard: int = SLOTS_PER_SHARD, seed: int = SEED) -> DataFrame:
@@ -135,17 +142,19 @@ def slots(spark: SparkSession, ranked: DataFrame, block_words: int = BLOCK_WORDS
     block, and no block is taken more often than the rounds its quota makes over the source.
     """
     own = materialise(quotas(ranked, block_words).filter("quota > 0"), "quotas")
-    quota = {r["rank"]: r["quota"] for r in own.select("rank", "quota").collect()}  # two numbers a source
-    total = sum(quota.values())
+    listed = own.select("rank", "quota").orderBy("rank").toArrow()
+    total = int(sum(listed.column("quota").to_pylist()))
     n_shards = -(-total // per_shard)
-    ranks = np.array(sorted(quota), np.int32)
+    # two numbers a source, whatever their documents: every shard draws from all sources
+    sent = spark.sparkContext.broadcast((listed.column("rank").to_numpy(), listed.column("quota").to_numpy()))
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks, quota = sent.value
         for b in batches:
             for shard in b.column(0).to_pylist():
                 _, drawn = next(shard_counts(quota, range(shard, shard + 1), total, per_shard, seed))
                 some = np.flatnonzero(drawn)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), shard)), pa.array(ranks[some]), pa.array(drawn[some])], ["shard", "rank", "drawn"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), shard)), pa.array(ranks[some], pa.int32()), pa.array(drawn[some])], ["shard", "rank", "drawn"])
 
     if not total:
         return spark.createDataFrame([], "shard long, rank int, slot long, block long")
@@ -161,22 +170,37 @@ def slots(spark: SparkSession, ranked: DataFrame, block_words: int = BLOCK_WORDS
     counted = grouped.join(bases, ["rank", "group"]).withColumn("first", first).join(own, "rank")
     within = counted.select("shard", "rank", "first", F.least("quota", F.col("first") + F.col("drawn")).alias("stop"), "blocks").filter("first < stop")
     reached = own.join(drawn.groupBy("rank").agg(F.sum("drawn").alias("n")), "rank", "left").withColumn("first", F.coalesce("n", F.lit(0)))
-    short = reached.filter("first < quota").select(F.lit(n_shards).cast("long").alias("shard"), "rank", "first", F.col("quota").alias("stop"), "blocks")
-    ranges = within.unionByName(short)
+    missing = reached.filter("first < quota").withColumn("start", F.explode(F.sequence("first", F.col("quota") - 1, F.lit(per_shard).cast("long"))))
+    made_up = F.lit(n_shards) + ((F.col("start") - F.col("first")) / per_shard).cast("long")
+    short = missing.select(made_up.alias("shard"), "rank", F.col("start").alias("first"), F.least("quota", F.col("start") + per_shard).alias("stop"), "blocks")
+    # a range is a shard's at most, so equal numbers of ranges are about equal numbers of slots
+    ranges = within.unionByName(short).select("shard", "rank", "first", "stop", "blocks").repartition(max(1, -(-total // SLOTS_PER_TASK)))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            shard, rank, slot, block = map(np.concatenate, zip(*held, strict=True))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(shard), pa.array(rank, pa.int32()), pa.array(slot), pa.array(block)], ["shard", "rank", "slot", "block"])
+
         for b in batches:
             for shard, rank, start, stop, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for at in range(start, stop, 1 << 16):
-                    k = np.arange(at, min(stop, at + (1 << 16)))
-                    taken = np.empty(len(k), np.int64)
-                    for turn in np.unique(k // n):
-                        own = k // n == turn
-                        taken[own] = permute(k[own] % n, n, _mix(seed) ^ _mix(rank << 20 | int(turn)))
-                    shards = shard + (k - start) // per_shard  # what is made up fills whole shards
-                    yield pa.RecordBatch.from_arrays([pa.array(shards), pa.array(np.full(len(k), rank, np.int32)), pa.array(k), pa.array(taken)], ["shard", "rank", "slot", "block"])
-
-    return ranges.select("shard", "rank", "first", "stop", "blocks").mapInArrow(fill, "shard long, rank int, slot long, block long")
+                k = np.arange(start, stop)
+                taken = np.empty(len(k), np.int64)
+                for turn in np.unique(k // n):
+                    own = k // n == turn
+                    taken[own] = permute(k[own] % n, n, _mix(seed) ^ _mix(rank << 20 | int(turn)))
+                held.append((np.full(len(k), shard), np.full(len(k), rank), k, taken))
+                size += len(k)
+                if size >= SLOTS_PER_TASK:
+                    yield flush()
+                    size = 0
+        if held:
+            yield flush()
+
+    return ranges.mapInArrow(fill, "shard long, rank int, slot long, block long")
 
 
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -185,9 +209,10 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     ``taken``: words of the document that the mix takes, repeats counted. A document lies in
     the blocks that its words fall into; a block is taken at most twice, so ``taken`` is at
     most twice ``size``. Documents without words take nothing. Rows that repeat are documents
-    of their own. Same input, same mix. An empty table gives no rows.
+    of their own. Same input, same mix. An empty table gives no rows. Extra columns are ignored;
+    a null source is a source, the last one.
     """
-    return _taken(docs, block_words).drop("rank")
+    return _taken(docs, block_words).drop("rank", "digest")
 
 
 def _taken(docs: DataFrame, block_words: int) -> DataFrame:
@@ -200,28 +225,28 @@ def _taken(docs: DataFrame, block_words: int) -> DataFrame:
     # few draws, and the planner would broadcast a row a block
     uses = slots(spark, ranked, block_words).groupBy("rank", "block").agg(F.count("*").alias("uses"))
     first, last = F.floor(F.col("at") / block_words), F.floor((F.col("at") + F.col("size") - 1) / block_words)
-    parts = placed.filter("size > 0").select("rank", "at", "doc_id", "size", F.explode(F.sequence(first, last)).alias("block"))
+    parts = placed.filter("size > 0").select("rank", "at", "size", F.explode(F.sequence(first, last)).alias("block"))
     start = F.greatest(F.col("at"), F.col("block") * block_words)
     stop = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block_words)
-    taken = parts.join(uses.hint("merge"), ["rank", "block"]).groupBy("rank", "at", "doc_id", "size").agg(F.sum((stop - start) * F.col("uses")).alias("taken"))
-    empty = placed.filter("size = 0").select("rank", "doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
-    full = placed.filter("size > 0").join(taken.withColumnRenamed("doc_id", "_id").drop("size").hint("merge"), ["rank", "at"], "left")
-    return full.select("rank", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")).unionByName(empty)
+    taken = parts.join(uses.hint("merge"), ["rank", "block"]).groupBy("rank", "at").agg(F.sum((stop - start) * F.col("uses")).alias("taken"))
+    empty = placed.filter("size = 0").select("rank", "doc_id", "digest", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+    full = placed.filter("size > 0").join(taken.hint("merge"), ["rank", "at"], "left")
+    return full.select("rank", "doc_id", "digest", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")).unionByName(empty)
 
 
 def whole_copies(taken: DataFrame, seed: int = SEED) -> DataFrame:
-    """Add ``copies``, ``taken / size`` as a whole number, to ``rank, doc_id, size, taken``.
+    """Add ``copies``, ``taken / size`` as a whole number, to ``rank, doc_id, size, taken`` (and ``digest``).
 
     It is rounded up as often as the fraction says: fractions are summed within a source from
     a seeded start, by rising size class, and a document gets one more where the sum passes a
     whole number. So a source's words, and those of its short and its long documents, come to
     what the mix takes but for about the longest document. Documents without words stay once.
     """
-    some = taken.filter("size > 0")
+    some, names = taken.filter("size > 0"), [c for c in ("doc_id", "digest") if c in taken.columns]
     rest = F.floor(F.expr(f"((taken % size) * {COPY}L) div size"))
     size_class = F.floor(F.log2("size") * SIZE_CLASSES)
-    dealt = some.withColumn("rest", rest).withColumn("class", size_class).withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(SIZE_BUCKETS)))
-    inner = Window.partitionBy("rank", "class", "bucket").orderBy("size", "doc_id", "taken").rowsBetween(Window.unboundedPreceding, 0)
+    dealt = some.withColumn("rest", rest).withColumn("class", size_class).withColumn("bucket", F.pmod(F.xxhash64(*names, F.lit(seed)), F.lit(SIZE_BUCKETS)))
+    inner = Window.partitionBy("rank", "class", "bucket").orderBy("size", *names, "taken").rowsBetween(Window.unboundedPreceding, 0)
     outer = Window.partitionBy("rank").orderBy("class", "bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = dealt.groupBy("rank", "class", "bucket").agg(F.sum("rest").alias("total"))
     start = F.pmod(F.xxhash64("rank", F.lit(seed)), F.lit(COPY))
@@ -233,11 +258,19 @@ def whole_copies(taken: DataFrame, seed: int = SEED) -> DataFrame:
 
 def resample(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents of the mix: each repeated 0, 1 or 2 times, on average as often as the mix
-    takes it (see ``whole_copies``), with all columns. Documents without words stay once."""
-    placed = materialise(_taken(docs, block_words).select("rank", "doc_id", "size", "taken"), "taken")
-    taken = whole_copies(placed).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    joined = docs.join(taken.hint("merge"), docs["doc_id"].eqNullSafe(taken["_id"])).filter("_copies > 0")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copy", "_copies", "_id")
+    takes it (see ``whole_copies``), with all columns. Documents without words stay once.
+
+    Rows are told apart by doc_id and text; of rows that repeat both, and of what they take
+    together, each gets its share. Null doc_ids are ids like others. An empty table stays so.
+    """
+    placed = _taken(docs, block_words).select("rank", "doc_id", "digest", "size", "taken")
+    # rows of one id and text, which nothing tells apart, share what they take
+    alike = placed.groupBy("rank", "doc_id", "digest", "size").agg(F.avg("taken").alias("mean"))
+    shared = materialise(alike.select("rank", "doc_id", "digest", "size", F.round("mean").cast("long").alias("taken")), "taken")
+    taken = whole_copies(shared).groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.max("copies").alias("_copies"))
+    same = docs["doc_id"].eqNullSafe(taken["_id"]) & (F.xxhash64(docs["text"]) == taken["_digest"])
+    joined = docs.join(taken.hint("merge"), same).filter("_copies > 0")
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copy", "_copies", "_id", "_digest")
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

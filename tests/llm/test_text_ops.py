@@ -243,6 +243,24 @@ def test_mixing(spark, which):
         assert abs(n - want[s]) <= 2 * mixing.BLOCK_WORDS
 
 
+def test_mixing_of_rows_that_repeat(spark):
+    rows = [(k % 7, f"w{k % 7} " * 60, "a") for k in range(300)] + [(None, f"x {k} " * 50, "b") for k in range(100)] + [(7, "y " * 90, None)] * 100
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df).collect()
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(df.repartition(5)).collect())) and len(got) == len(rows)
+    size = {"a": 300 * 60, "b": 100 * 100, None: 100 * 90}
+    want, name = plain_targets(size), {size["a"]: "a", size["b"]: "b", size[None]: None}
+    words = defaultdict(int)
+    for r in got:
+        assert 0 <= r.taken <= 2 * r.size and r.target == pytest.approx(want[name[r.source_size]])
+        words[name[r.source_size]] += r.taken
+    assert all(abs(words[s] - want[s]) <= 2 * mixing.BLOCK_WORDS for s in size)
+    mixed = defaultdict(int)
+    for r in mixing.resample(df).collect():
+        mixed[r.source] += len(r.text.split())
+    assert abs(mixed["b"] - want["b"]) <= 2 * 100 + 2 * mixing.BLOCK_WORDS  # texts of one null id are told apart
+
+
 def test_mixing_empty_and_resample(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
     assert mixing.mix(docs(spark, [(1, None), (2, " ")])).count() == 2
@@ -257,7 +275,7 @@ def test_permutation(n, key):
 
 
 def test_shards_are_multinomial_draws():
-    quota = {0: 5000, 1: 2000, 2: 1000}
+    quota = np.array([5000, 2000, 1000])
     draws = np.array([d for _, d in mixing.shard_counts(quota, range(200), 10**9)])
     assert (draws.sum(axis=1) == mixing.SLOTS_PER_SHARD).all()
     assert draws.mean(axis=0) == pytest.approx([640, 256, 128], rel=0.03)
