@@ -12,7 +12,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanframe.llm.common import dealt_table, lookup, materialise
@@ -23,6 +23,8 @@ RADIUS = 2
 #: A fingerprint is cut into BLOCKS blocks. RADIUS differing bits leave BLOCKS - RADIUS of them
 #: untouched, so every link shows up in a shard keyed by some BLOCKS - RADIUS equal blocks.
 BLOCKS = 4
+#: A shard of more fingerprints is parted again.
+HOT_SHARD = 4096
 #: Shingles whose bits are counted at a time.
 CHUNK = 1 << 15
 #: Texts are similar from SIMILAR on: the Jaccard similarity of their sets of SIMILAR_WORDS-word
@@ -121,50 +123,77 @@ def shard_forest(fps: list[int], radius: int) -> list[tuple[int, int]]:
     return [(x, r) for x in parent if (r := root(x)) != x]
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+def _key(*parts: Column) -> Column:
+    """The shard of equal parts; two shards of one key only meet in vain."""
+    return F.xxhash64(*parts)
+
+
+def _sharded(rest: Column, blocks: int, width: int, radius: int, *names: Column) -> Column:
+    """Arrays of ``(shard, rest)``: for each way to keep ``blocks - radius`` of the blocks of
+    ``rest`` (each of ``width`` bits), the shard of what is kept and the bits left over."""
+    mask = F.lit((1 << width) - 1)
+    parts = [F.shiftrightunsigned(rest, width * i).bitwiseAND(mask) for i in range(blocks)]
+    out = []
+    for t, kept in enumerate(combinations(range(blocks), blocks - radius)):
+        left = F.lit(0).cast("long")
+        for i in range(blocks):
+            if i not in kept:
+                left = F.shiftleft(left, width).bitwiseOR(parts[i])
+        out.append(F.struct(_key(*names, F.lit(t), *[parts[i] for i in kept]).alias("shard"), left.alias("rest")))
+    return F.array(*out)
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, hot: int = HOT_SHARD) -> DataFrame:
     """``u long, v long`` (u > v): edges that connect all fingerprints within ``radius``.
 
     ``distinct`` has the distinct fingerprints (``fp long``). Each goes to every shard that
     shares ``blocks - radius`` of its blocks, so a shard's tree holds about n / 2^32 of n
     fingerprints besides its true near-duplicates; the trees meet their queries by shuffle.
+    A shard of more than ``hot`` fingerprints is parted again, by blocks of the bits that it
+    does not share: two of its fingerprints within ``radius`` agree in as many blocks of these,
+    and what is left, 16 bits for radius 2 and 4 blocks, bounds the parts.
     """
-    width = 64 // blocks
-    mask = (1 << width) - 1
-    parts = [F.shiftrightunsigned("fp", width * i).bitwiseAND(F.lit(mask)) for i in range(blocks)]
-    keys = []
-    for t, kept in enumerate(combinations(range(blocks), blocks - radius)):
-        key = F.lit(t).cast("long")
-        for i in kept:
-            key = F.shiftleft(key, width).bitwiseOR(parts[i])
-        keys.append(key)
+    left = 64 // blocks * radius
+    shards = distinct.select(F.explode(_sharded(F.col("fp"), blocks, 64 // blocks, radius)).alias("s"), "fp").select("s.shard", "s.rest", "fp")
+    sizes = shards.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > hot)
+    sizes = materialise(sizes, "hot")
+    if left % blocks == 0 and sizes.limit(1).count():
+        large = shards.join(sizes.hint("merge").select("shard"), "shard", "left_semi")
+        again = large.select(F.explode(_sharded(F.col("rest"), blocks, left // blocks, radius, F.col("shard"))).alias("s"), "fp").select("s.shard", "fp")
+        shards = shards.join(sizes.hint("merge").select("shard"), "shard", "left_anti").select("shard", "fp").unionByName(again)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key_rest, fp_rest = np.empty(0, np.int64), np.empty(0, np.int64)
-        pending = iter(batches)
-        while True:
-            b = next(pending, None)
-            if b is None:
-                key, fp, done = key_rest, fp_rest, len(key_rest)
-            else:
-                key = np.concatenate([key_rest, b.column(0).to_numpy()])
-                fp = np.concatenate([fp_rest, b.column(1).to_numpy()])
-                done = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last shard may go on
-            starts = np.flatnonzero(np.r_[True, key[1:done] != key[: done - 1]]) if done else np.empty(0, np.int64)
-            stops = np.r_[starts[1:], done] if done else starts
-            edges = []
-            for i in np.flatnonzero(stops - starts > 1):
-                group = fp[starts[i] : stops[i]].view(np.uint64).tolist()
-                edges += shard_forest(group, radius)
-            if edges:
+        for group in _met(batches):
+            if edges := shard_forest(group.view(np.uint64).tolist(), radius):
                 pairs = np.array(edges, np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs.max(axis=1)), pa.array(pairs.min(axis=1))], ["u", "v"])
-            if b is None:
-                return
-            key_rest, fp_rest = key[done:], fp[done:]
 
-    shards = distinct.select(F.explode(F.array(*keys)).alias("shard"), "fp")
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return shards.repartition(n, "shard").sortWithinPartitions("shard", "fp").mapInArrow(run, "u long, v long").distinct()
+    return shards.select("shard", "fp").repartition(n, "shard").sortWithinPartitions("shard", "fp").mapInArrow(run, "u long, v long").distinct()
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The second column of each run of two or more rows that agree in the first, sorted one."""
+    held: list[np.ndarray] = []
+    last = 0
+    for b in batches:
+        key, value = b.column(0).to_numpy(), b.column(1).to_numpy()
+        if held and len(key):
+            lead = int(np.searchsorted(key, last, side="right"))
+            held.append(value[:lead])
+            if lead == len(key):
+                continue
+            if sum(map(len, held)) > 1:
+                yield np.concatenate(held)
+            key, value = key[lead:], value[lead:]
+        if len(key):
+            last = key[-1]
+            done = int(np.searchsorted(key, last))  # the last run may go on
+            for start, stop in _shared(key[:done]):
+                yield value[start:stop]
+            held = [value[done:]]
+    if sum(map(len, held)) > 1:
+        yield np.concatenate(held)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -194,7 +223,8 @@ def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     ``fingerprint``: 16 lowercase hex digits; ``component_id``: the smallest doc_id reachable
     over links of at most ``radius`` bits. Equal fingerprints are one node, so copies cost
     nothing; empty and null texts have fingerprint zero and link as any other. Null doc_ids
-    never name a component unless it has no other. An empty table gives no rows.
+    never name a component unless it has no other. Rows that repeat give a row each; extra
+    columns are ignored; long texts are read whole. An empty table gives no rows.
     """
     fps = materialise(fingerprints(docs), "fingerprints")
     distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "distinct")

@@ -110,6 +110,43 @@ def test_bk_tree_finds_all(bases, flips):
         assert sorted(tree.near(f, 2)) == [g for g in fps if (f ^ g).bit_count() <= 2]
 
 
+@pytest.mark.parametrize("hot", [2, 50, 10**6])
+def test_links_of_hot_shards(spark, hot):
+    import random
+
+    rng = random.Random(3)
+    bases = [rng.getrandbits(64) for _ in range(3)]
+    fps = sorted({b ^ sum({1 << rng.randrange(64) for _ in range(rng.randint(0, 5))}) for b in bases for _ in range(150)} | {0, 1, 2**64 - 1})
+    rows = [(f - 2**64 if f >= 2**63 else f,) for f in fps]
+    found = simhash.links(spark.createDataFrame(rows, "fp long"), hot=hot).collect()
+    parent = {f[0]: f[0] for f in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for r in found:
+        assert ((r.u ^ r.v) & (2**64 - 1)).bit_count() <= 64 and r.u > r.v
+        parent[root(r.u)] = root(r.v)
+    for a in range(len(fps)):
+        for b in range(a):
+            if (fps[a] ^ fps[b]).bit_count() <= 2:
+                assert root(rows[a][0]) == root(rows[b][0])
+    plain = {f: f for f in fps}
+
+    def top(x):
+        while plain[x] != x:
+            x = plain[x]
+        return x
+
+    for a in range(len(fps)):
+        for b in range(a):
+            if (fps[a] ^ fps[b]).bit_count() <= 2:
+                plain[top(fps[a])] = top(fps[b])
+    assert len({root(x) for x in parent}) == len({top(x) for x in plain})
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i + 1, i) for i in range(40)] + [(100 + i, 90) for i in range(1, 30)]
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()}
