@@ -80,7 +80,7 @@ class Model:
     """
 
     def __init__(self, texts: dict[str, bytes]):
-        self.langs = sorted(texts)
+        self.langs, self.texts = sorted(texts), texts
         used = sorted(set(b"".join(texts.values())))
         self.width = len(used) + 1
         self.column = np.zeros(256, np.uint8 if self.width < 256 else np.uint16)  # 0: in no text

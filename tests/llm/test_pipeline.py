@@ -1,40 +1,120 @@
-"""The pipeline's rows against its operators run one after another, and its stages' contracts."""
+"""Each stage of the pipeline against a plain version of its own, and the stages' contracts."""
 
 import re
+import zlib
+from collections import defaultdict
 
 import numpy as np
-import regex
-from test_langid import plain_phrases
-from test_text_ops import plain_components
+import pytest
+from test_langid import plain_predict
+from test_text_ops import plain_targets
 
 import corpus_pipeline
-from scanframe.llm import exact_dedup, langid, mixing, packing, simhash
-from scanframe.llm.common import materialise
+from scanframe.llm import langid, tokens
 
+SF = "/root/testdata/sf0.001"
 
-def test_stages(spark, tmp_path):
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+
+def plain_language(docs, rows):
+    texts = langid.fit(docs).texts
+    return {i for i, r in rows.items() if (found := plain_predict(texts, r.text))[0] != "und" and found[2] >= langid.LEAST_PHRASE}
+
+
+def plain_exact(docs, rows):
+    groups = defaultdict(list)
+    for i, r in rows.items():
+        groups[re.sub(r"[\x20\x09-\x0D]", "", r.text or "")].append((-len(r.text or ""), i))
+    return {min(g)[1] for g in groups.values()}
+
+
+def plain_near(docs, rows):
+    """All pairs of sets of five-word shingles, linked from a similarity of 0.8 on."""
+    sets = {}
+    for i, r in rows.items():
+        words = re.sub("[A-Z]", lambda m: m[0].lower(), r.text or "").encode().split()
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    root = {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if b < a and min(len(sets[a]), len(sets[b])) >= 0.8 * max(len(sets[a]), len(sets[b])):
+                shared = len(sets[a] & sets[b])
+                if sets[a] == sets[b] or shared >= 0.8 * (len(sets[a]) + len(sets[b]) - shared):
+                    root[max(top(a), top(b))] = min(top(a), top(b))
+    return {i for i in ids if top(i) == i}
+
+
+@pytest.fixture(scope="module")
+def stages(spark, tmp_path_factory):
+    """The rows before and after every stage, each written and read again."""
+    folder, docs, out = tmp_path_factory.mktemp("stages"), spark.read.parquet(f"{SF}/documents.parquet"), {}
     columns = docs.columns
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
-        before = docs
-        stage(spark, docs, sf).write.parquet(str(tmp_path / name))
-        docs = spark.read.parquet(str(tmp_path / name))
-        if k < 4:
-            assert docs.columns == columns
-        if name == "exact_dedup":
-            assert sorted(r.doc_id for r in docs.collect()) == sorted(r.doc_id for r in exact_dedup.exact_groups(before).filter("kept").collect())
-        if name == "simhash_near_dedup":
-            assert sorted(r.doc_id for r in docs.collect()) == sorted(r.component_id for r in simhash.near_groups(before).filter("doc_id = component_id").collect())
-        if name == "mix_sources":
-            taken = {r.doc_id: (r.size, r.taken) for r in mixing.mix(before).collect()}
-            assert sorted(r.doc_id for r in docs.collect()) == sorted(i for i, (n, t) in taken.items() for _ in range(int(t / n + 0.5) if n else 1))
-        if name == "language_id":
-            good = {r.doc_id for r in langid.identify(before).collect() if r.lang_pred != "und" and r.phrase_length >= langid.LEAST_PHRASE}
-            assert {r.doc_id for r in docs.collect()} == good
-    assert docs.count() == packing.pieces(before).count()
-    whole = corpus_pipeline.run(spark, sf)
-    assert sorted(map(tuple, whole.drop("sequence_id", "offset").collect())) == sorted(map(tuple, docs.drop("sequence_id", "offset").collect()))
+        stage(spark, docs, SF).write.parquet(str(folder / name))
+        after = spark.read.parquet(str(folder / name))
+        assert k == 4 or after.columns == columns
+        out[name] = (docs, after)
+        docs = after
+    return out
+
+
+@pytest.mark.parametrize(("name", "plain"), [("language_id", plain_language), ("exact_dedup", plain_exact), ("simhash_near_dedup", plain_near)])
+def test_filtering_stages(stages, name, plain):
+    before, after = stages[name]
+    rows = {r.doc_id: r for r in before.collect()}
+    got = after.collect()
+    assert {r.doc_id for r in got} == plain(before, rows) and len({r.doc_id for r in got}) == len(got)
+    assert all(r == rows[r.doc_id] for r in got)
+
+
+def test_mixing_stage(stages):
+    before, after = stages["mix_sources"]
+    rows, size = {r.doc_id: r for r in before.collect()}, defaultdict(int)
+    words = lambda r: len((r.text or "").encode().split())
+    longest = defaultdict(int)
+    for r in rows.values():
+        size[r.source] += words(r)
+        longest[r.source] = max(longest[r.source], words(r))
+    got, copies = defaultdict(int), defaultdict(int)
+    for r in after.collect():
+        assert r == rows[r.doc_id]
+        got[r.source] += words(r)
+        copies[r.doc_id] += 1
+    assert max(copies.values()) <= 2 and all(copies[i] == 1 for i, r in rows.items() if not words(r))
+    for s, want in plain_targets(size).items():
+        assert abs(got[s] - want) <= 1.5 * longest[s] + 256
+
+
+def test_packing_stage(stages):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokens.tokenizer_path("byte_bpe_50k.json"))
+    before, after = stages["best_fit_packing"]
+    want = []
+    for r in before.collect():
+        ids = np.array([*library.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4")
+        head = len(ids) % 1024 or 1024
+        cuts = [0, *range(head, len(ids), 1024), len(ids)] if len(ids) > 1024 else [0, len(ids)]
+        want += [(r.doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    rows = after.collect()
+    assert sorted(tuple(r)[:5] for r in rows) == sorted(want)
+    filled = defaultdict(list)
+    for r in rows:
+        filled[r.sequence_id].append((r.offset, r.length))
+    for parts in filled.values():
+        ends = np.cumsum([n for _, n in sorted(parts)])
+        assert [a for a, _ in sorted(parts)] == [0, *ends[:-1]] and ends[-1] <= 1024
+
+
+def test_run_is_the_stages_one_after_another(spark, stages):
+    whole = corpus_pipeline.run(spark, SF).drop("sequence_id", "offset")
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, stages["best_fit_packing"][1].drop("sequence_id", "offset").collect()))
 
 
 def test_empty_and_extra_columns(spark):
@@ -42,81 +122,3 @@ def test_empty_and_extra_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:4]:
         assert stage(spark, docs.limit(0), "").columns == docs.columns and stage(spark, docs.limit(0), "").count() == 0
         assert stage(spark, docs, "").columns == docs.columns
-
-
-def plain_mix(spark, docs):
-    """Words taken of each document, slot by slot, from the documents' places."""
-    ranked = mixing.targets(mixing.sizes(docs))
-    places = mixing.spans(materialise(mixing.sizes(docs), "s"), materialise(ranked, "t")).collect()
-    rows = mixing.quotas(ranked).filter("quota > 0").collect()
-    quota, blocks = {r["rank"]: r["quota"] for r in rows}, {r["rank"]: r["blocks"] for r in rows}
-    owner = {k: [None] * r.source_size for r in places for k in [r["rank"]]}
-    for n, r in enumerate(places):
-        assert owner[r["rank"]][r["at"] : r["at"] + r["size"]] == [None] * r["size"]  # no two share a place
-        owner[r["rank"]][r["at"] : r["at"] + r["size"]] = [n] * r["size"]
-    total = sum(quota.values())
-    drawn = dict.fromkeys(quota, 0)
-    for _, counts in mixing.shard_counts(quota, range(-(-total // mixing.SLOTS_PER_SHARD)), total):
-        for k, c in zip(sorted(quota), counts.tolist(), strict=True):
-            drawn[k] += c
-    taken = [0] * len(places)
-    for k, q in quota.items():  # what is drawn past the quota is dropped, what is short is made up
-        for slot in range(q):
-            turn, index = divmod(slot, blocks[k])
-            key = mixing._mix(mixing.SEED) ^ mixing._mix(k << 20 | turn)
-            block = int(mixing.permute(np.array([index]), blocks[k], key)[0])
-            for n in owner[k][block * mixing.BLOCK_WORDS : (block + 1) * mixing.BLOCK_WORDS]:
-                taken[n] += 1
-    assert all(abs(drawn[k] - q) <= 6 * q**0.5 + 3 for k, q in quota.items())  # draws come near their quotas
-    return {r.doc_id: (r["size"], t) for r, t in zip(places, taken, strict=True)}
-
-
-def test_run_equals_plain_version(spark):
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    rows = {r.doc_id: r for r in docs.collect()}
-    # language: every letter run parsed on its own, phrase by phrase
-    model = langid.fit(docs)
-    kept = {}
-    for i, r in rows.items():
-        words = [f" {w.lower()} " for w in regex.findall(r"\p{L}+", r.text)]
-        phrases = [sum(plain_phrases(text, w) for w in words) for text in model_texts(spark, docs, model)]
-        best = min(range(len(phrases)), key=lambda k: phrases[k] * model.cost[k]) if words else None
-        if words and sum(map(len, words)) / phrases[best] >= langid.LEAST_PHRASE:
-            kept[i] = r
-    # exact copies, then near copies
-    groups = {}
-    for i, r in kept.items():
-        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", r.text), []).append((-len(r.text), i))
-    kept = {i: kept[i] for g in groups.values() for _, i in [min(g)]}
-    alone = {i for i, _, c in plain_components([(i, r.text) for i, r in kept.items()]) if i == c}
-    left = spark.createDataFrame([tuple(kept[i]) for i in sorted(alone)], docs.schema)
-    # mixing, then pieces
-    want = []
-    encode = packing.encoder(packing.tokenizer_path(packing.TOKENIZER))
-    for i, (size, taken) in plain_mix(spark, left).items():
-        for _ in range(int(taken / size + 0.5) if size else 1):
-            n = len(encode(kept[i].text)) + 1
-            want += [(i, k, at, m) for k, (at, m) in enumerate(packing.pieces_of(n))]
-    got = corpus_pipeline.run(spark, sf).select("doc_id", "piece", "start", "length").collect()
-    assert sorted(map(tuple, got)) == sorted(want)
-
-
-_TEXTS = {}
-
-
-def model_texts(spark, docs, model):
-    """The learned text of each language, read back off its automaton's longest path."""
-    if not _TEXTS:
-        for lang, a in zip(model.langs, model.automata, strict=True):
-            longest, follow = [""] * a.states, a.dense()
-            order, incoming = [0], np.bincount(a.steps[:, 2], minlength=a.states)
-            for s in order:  # states in topological order, each with its longest string
-                for c, t in enumerate(follow[s]):
-                    if t:
-                        incoming[t] -= 1
-                        longest[t] = max(longest[t], longest[s] + a.letters[c - 1], key=len)
-                        if not incoming[t]:
-                            order.append(int(t))
-            _TEXTS[lang] = max(longest, key=len)
-    return [_TEXTS[k] for k in model.langs]
