@@ -1,15 +1,15 @@
 """Approximate nearest neighbours: an inverted multi-index over two vector halves.
 
-Each half is quantised on its own, so K centroids a half make K * K cells. A query walks the
+Each half is quantised on its own, so k centroids a half make k * k cells. A query walks the
 cells by rising sum of its two centroid distances, with a heap over centroid pairs, until the
 cells hold the share of all vectors that calibration found to reach the wanted recall; what
-they hold is reranked by exact distance.
+they hold is reranked by exact distance. Cells of one first-half centroid form a row of the
+index, which is what travels: a query's vector goes to a row once, with the cells it visits.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,19 +19,22 @@ from pyspark.sql import functions as F
 
 from scanframe.llm.common import dealt_table, materialise
 
-K = 32
+#: Centroids a half grow with the root of the number of vectors, so that a cell holds about
+#: CELL_VECTORS of them, up to MOST_CENTROIDS: a count for each cell must fit the driver.
+CELL_VECTORS = 8
+MOST_CENTROIDS = 1024
 #: Rows that centroids and probing are fitted on, by hash of vec_id, at most about this many.
 SAMPLE = 20_000
 CALIBRATION_QUERIES = 200
-RECALL = 0.95
+RECALL = 0.94
 NEIGHBOURS = 10
 QUERY_MODULUS = 100
 ITERATIONS = 12
-#: Queries that travel together, and vectors of a cell in one block.
-QUERY_BLOCK = 128
-VECTOR_BLOCK = 256
-#: A cell that holds more than one in PARTS of all vectors is dealt to several tasks; a part
-#: has a block at least and MOST_IN_PART vectors at most.
+#: Queries that travel together, and vectors of an index row in one block.
+QUERY_BLOCK = 256
+VECTOR_BLOCK = 2048
+#: An index row that holds more than one in PARTS of all vectors is dealt to several tasks; a
+#: part has a block at least and MOST_IN_PART vectors at most.
 PARTS = 1000
 MOST_IN_PART = 1 << 16
 #: Queries whose nearest a task holds before it passes them on.
@@ -72,37 +75,49 @@ class MultiIndex:
         self.first, self.second, self.dim = first, second, dim
         self.half = first.shape[1]
         self.population = np.zeros((len(first), len(second)), np.int64)
+        self._counts: list[list[int]] | None = None
         self.share = 1.0
 
     def cells(self, x: np.ndarray) -> np.ndarray:
         return nearest_centroid(x[:, : self.half], self.first) * len(self.second) + nearest_centroid(x[:, self.half :], self.second)
 
     def parts(self) -> np.ndarray:
-        """How many parts each cell is dealt to."""
+        """How many parts each row of cells is dealt to."""
         size = min(MOST_IN_PART, max(VECTOR_BLOCK, -(-int(self.population.sum()) // PARTS)))
-        return np.maximum(1, -(-self.population.reshape(-1) // size))
+        return np.maximum(1, -(-self.population.sum(axis=1) // size))
 
     def probe(self, x: np.ndarray, wanted: float) -> list[int]:
         """Non-empty cells by rising summed distance until they hold ``wanted`` vectors."""
+        if self._counts is None:
+            self._counts = self.population.tolist()
         d1 = ((self.first - x[: self.half]) ** 2).sum(axis=1)
         d2 = ((self.second - x[self.half :]) ** 2).sum(axis=1)
         o1, o2 = np.argsort(d1, kind="stable").tolist(), np.argsort(d2, kind="stable").tolist()
         s1, s2 = d1[o1].tolist(), d2[o2].tolist()
-        population, width = self.population.tolist(), len(o2)
+        population, width = self._counts, len(o2)
         heap, found, held = [(s1[0] + s2[0], 0, 0)], [], 0
+        push, pop = heapq.heappush, heapq.heappop
         while heap and held < wanted:
-            _, i, j = heapq.heappop(heap)
+            _, i, j = pop(heap)
             n = population[o1[i]][o2[j]]
             if n:
                 found.append(o1[i] * width + o2[j])
                 held += n
             # a pair is reached along its row, and the rows start one below the other
             if j + 1 < width:
-                heapq.heappush(heap, (s1[i] + s2[j + 1], i, j + 1))
+                push(heap, (s1[i] + s2[j + 1], i, j + 1))
             if j == 0 and i + 1 < len(o1):
-                heapq.heappush(heap, (s1[i + 1] + s2[0], i + 1, 0))
+                push(heap, (s1[i + 1] + s2[0], i + 1, 0))
         return found
 
+    def count(self, cells: np.ndarray, vectors: np.ndarray | int = 1) -> None:
+        """Add vectors to cells."""
+        np.add.at(self.population.reshape(-1), cells, vectors)
+        self._counts = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_counts": None}
+
 
 def calibrate(index: MultiIndex, x: np.ndarray, queries: int, neighbours: int, recall: float) -> float:
     """The least share of the sample that its own queries must probe for ``recall``.
@@ -110,7 +125,7 @@ def calibrate(index: MultiIndex, x: np.ndarray, queries: int, neighbours: int, r
     Neighbours in all rows lie closer than those in a sample, so the share suffices there too.
     """
     cells = index.cells(x)
-    np.add.at(index.population.reshape(-1), cells, 1)
+    index.count(cells)
     needed = []
     for q in np.linspace(0, len(x) - 1, min(queries, len(x))).astype(int):
         d = ((x - x[q]) ** 2).sum(axis=1)
@@ -125,17 +140,23 @@ def calibrate(index: MultiIndex, x: np.ndarray, queries: int, neighbours: int, r
     return float(np.quantile(needed, recall, method="higher")) / len(x)
 
 
-def fit(vectors: DataFrame, k: int = K, sample: int = SAMPLE, queries: int = CALIBRATION_QUERIES, neighbours: int = NEIGHBOURS, recall: float = RECALL) -> MultiIndex | None:
+def centroids_for(n: int) -> int:
+    """Centroids a half for an index of n vectors."""
+    return max(2, min(MOST_CENTROIDS, round((n / CELL_VECTORS) ** 0.5)))
+
+
+def fit(vectors: DataFrame, k: int | None = None, sample: int = SAMPLE, queries: int = CALIBRATION_QUERIES, neighbours: int = NEIGHBOURS, recall: float = RECALL) -> MultiIndex | None:
     """Fit on about ``sample`` rows; None if no vector is usable.
 
-    The dimension is the most frequent one (of these the smallest); the driver gets the sample
-    and one count a cell, K * K at most.
+    The dimension is the most frequent one (of these the smallest). ``k``: centroids a half, by
+    default ``centroids_for`` the number of vectors. The driver gets the sample.
     """
     sizes = vectors.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
     if not sizes:
         return None
     dim, n = sizes[0]["dim"], sizes[0]["count"]
     own = vectors.filter(F.size("v") == dim)
+    k = k or centroids_for(n)
     picked = own
     if n > sample:
         picked = own.filter(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 30)) < F.lit(int((1 << 30) * sample / n)))
@@ -172,81 +193,90 @@ def _placed(vectors: DataFrame, index: MultiIndex) -> DataFrame:
 
 
 def _blocks(placed: DataFrame, index: MultiIndex) -> DataFrame:
-    """``cell, part, ids, vectors``: the vectors of a part of a cell, VECTOR_BLOCK at a time."""
-    kind = [("cell", pa.int32()), ("part", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary())]
+    """``row, part, cells, ids, vectors``: vectors of a part of an index row, VECTOR_BLOCK at a
+    time; ``cells``: the second-half centroid of each."""
+    width = len(index.second)
+    names = ["row", "part", "cells", "ids", "vectors"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[np.ndarray] = []
-        vectors: list[np.ndarray] = []
-        at, held = None, 0
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        at, size = None, 0
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int32()), _lists([np.concatenate(ids)], pa.binary()), _lists([np.concatenate(vectors)], pa.binary())], [n for n, _ in kind])
-            ids.clear()
-            vectors.clear()
-            return out
+            cells, ids, vectors = map(np.concatenate, zip(*held, strict=True))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int32()), *(_lists([c], pa.binary()) for c in (cells, ids, vectors))], names)
 
         for b in batches:
-            cell, part, own = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()
-            x = matrix(b.column(3), index.dim)
-            edges = [0, *(np.flatnonzero((cell[1:] != cell[:-1]) | (part[1:] != part[:-1])) + 1).tolist(), len(cell)]
+            row, part, cell, own = (b.column(k).to_numpy() for k in range(4))
+            x = matrix(b.column(4), index.dim)
+            edges = [0, *(np.flatnonzero((row[1:] != row[:-1]) | (part[1:] != part[:-1])) + 1).tolist(), len(row)]
             for a, z in zip(edges, edges[1:], strict=False):
                 if a == z:
                     continue
-                key = (int(cell[a]), int(part[a]))
-                if held and key != at:
+                key = (int(row[a]), int(part[a]))
+                if size and key != at:
                     yield flush()
-                    held = 0
+                    size = 0
                 at = key
                 while a < z:
-                    n = min(z - a, VECTOR_BLOCK - held)
-                    ids.append(own[a : a + n])
-                    vectors.append(x[a : a + n])
-                    held, a = held + n, a + n
-                    if held == VECTOR_BLOCK:
+                    n = min(z - a, VECTOR_BLOCK - size)
+                    held.append(((cell[a : a + n] % width).astype(np.int32), own[a : a + n], x[a : a + n]))
+                    size, a = size + n, a + n
+                    if size == VECTOR_BLOCK:
                         yield flush()
-                        held = 0
-        if held:
+                        size = 0
+        if size:
             yield flush()
 
+    row = F.floor(F.col("cell") / width).cast("int")
     parts = index.parts()
-    many = {int(c): int(parts[c]) for c in np.flatnonzero(parts > 1)}  # at most K * K cells
+    many = {int(c): int(parts[c]) for c in np.flatnonzero(parts > 1)}  # at most one a centroid
     part = F.lit(0)
     if many:
-        count = F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for pair in many.items() for v in pair]), F.col("cell")), F.lit(1))
+        count = F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for pair in many.items() for v in pair]), row), F.lit(1))
         part = F.pmod(F.xxhash64("id"), count).cast("int")
     n = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = placed.select("cell", part.alias("part"), "id", "v").repartition(n, "cell", "part").sortWithinPartitions("cell", "part", "id")
-    return dealt.mapInArrow(run, "cell int, part int, ids binary, vectors binary")
+    dealt = placed.select(row.alias("row"), part.alias("part"), "cell", "id", "v").repartition(n, "row", "part").sortWithinPartitions("row", "part", "cell", "id")
+    return dealt.mapInArrow(run, "row int, part int, cells binary, ids binary, vectors binary")
 
 
 def _probes(queries: DataFrame, index: MultiIndex, total: int) -> DataFrame:
-    """``cell, part, ids, vectors``: for each block of queries, those that visit a cell."""
+    """``row, part, query_ids, queries, visits, visited``: for each block of queries, those that
+    visit cells of an index row, how many of them, and which."""
     parts = index.parts().tolist()
-    wanted = index.share * total
+    wanted, width = index.share * total, len(index.second)
+    names = ["row", "part", "query_ids", "queries", "visits", "visited"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, QUERY_BLOCK):
                 b = whole.slice(start, QUERY_BLOCK)
                 ids, x = b.column(0).to_numpy(), matrix(b.column(1), index.dim)
-                visitors = defaultdict(list)
-                for k, q in enumerate(_padded(x)):
-                    for cell in index.probe(q, wanted):
-                        visitors[cell].append(k)
-                rows = [(cell, part, ks) for cell, ks in visitors.items() for part in range(parts[cell])]
+                found = [np.array(index.probe(q, wanted), np.int64) for q in _padded(x)]
+                query = np.repeat(np.arange(len(found)), [len(f) for f in found])
+                cell = np.concatenate(found)
+                order = np.lexsort((cell, query, cell // width))
+                query, cell = query[order], cell[order]
+                row = cell // width
+                edges = [0, *(np.flatnonzero(row[1:] != row[:-1]) + 1).tolist(), len(row)] if len(row) else []
+                rows = []
+                for a, z in zip(edges, edges[1:], strict=False):
+                    ks, visits = np.unique(query[a:z], return_counts=True)
+                    sent = (ids[ks], x[ks], visits.astype(np.int32), (cell[a:z] % width).astype(np.int32))
+                    rows += [(int(row[a]), part, *sent) for part in range(parts[int(row[a])])]
                 if rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), _lists([ids[r[2]] for r in rows], pa.binary()), _lists([x[r[2]] for r in rows], pa.binary())],
-                        ["cell", "part", "query_ids", "queries"],
-                    )
+                    yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], pa.int32()) for k in (0, 1)), *(_lists([r[k] for r in rows], pa.binary()) for k in range(2, 6))], names)
 
-    return queries.mapInArrow(run, "cell int, part int, query_ids binary, queries binary")
+    # dealt to all tasks: walking the cells takes much work a query
+    n = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return queries.repartition(n).mapInArrow(run, "row int, part int, query_ids binary, queries binary, visits binary, visited binary")
 
 
-def _ranked(joined: DataFrame, dim: int, neighbours: int) -> DataFrame:
+def _ranked(joined: DataFrame, index: MultiIndex, neighbours: int) -> DataFrame:
     """``query_id, vec_id, score``: a task's nearest of each query that it meets, each pair of
     id and score once."""
+    dim, width = index.dim, len(index.second)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -261,15 +291,22 @@ def _ranked(joined: DataFrame, dim: int, neighbours: int) -> DataFrame:
             best.clear()
             return pa.RecordBatch.from_arrays(columns, ["query_id", "vec_id", "score"])
 
+        seen = np.zeros(width, bool)
         for b in batches:
-            for query_ids, queries, ids, vectors in zip(*(b.column(k) for k in range(4)), strict=True):
-                ids = np.frombuffer(ids.as_buffer(), np.int64)
-                x = np.frombuffer(vectors.as_buffer(), np.float64).reshape(-1, dim)
-                for q, v in zip(np.frombuffer(query_ids.as_buffer(), np.int64).tolist(), np.frombuffer(queries.as_buffer(), np.float64).reshape(-1, dim), strict=True):
-                    difference = x - v
-                    d = np.sqrt(np.einsum("ij,ij->i", difference, difference))
-                    mine = ids != q
-                    near, score = (ids, d) if mine.all() else (ids[mine], d[mine])
+            for query_ids, queries, visits, visited, cells, ids, vectors in zip(*b.columns, strict=True):
+                all_ids, cells = np.frombuffer(ids.as_buffer(), np.int64), np.frombuffer(cells.as_buffer(), np.int32)
+                all_x = np.frombuffer(vectors.as_buffer(), np.float64).reshape(-1, dim)
+                visited, stop = np.frombuffer(visited.as_buffer(), np.int32), 0
+                asked = zip(np.frombuffer(query_ids.as_buffer(), np.int64).tolist(), np.frombuffer(queries.as_buffer(), np.float64).reshape(-1, dim), np.frombuffer(visits.as_buffer(), np.int32).tolist(), strict=True)
+                for q, v, n in asked:
+                    own, stop = visited[stop : stop + n], stop + n
+                    seen[own] = True
+                    mine = np.flatnonzero(seen[cells] & (all_ids != q))
+                    seen[own] = False
+                    if not len(mine):
+                        continue
+                    difference = all_x[mine] - v
+                    score, near = np.sqrt(np.einsum("ij,ij->i", difference, difference)), all_ids[mine]
                     if q in best:
                         held_ids, held = best[q]
                         if len(held) == neighbours:
@@ -287,7 +324,8 @@ def _ranked(joined: DataFrame, dim: int, neighbours: int) -> DataFrame:
         if best:
             yield flush()
 
-    return joined.select("query_ids", "queries", "ids", "vectors").mapInArrow(run, "query_id long, vec_id long, score double")
+    columns = ["query_ids", "queries", "visits", "visited", "cells", "ids", "vectors"]
+    return joined.select(*columns).mapInArrow(run, "query_id long, vec_id long, score double")
 
 
 def _single(kept: DataFrame) -> DataFrame:
@@ -298,13 +336,15 @@ def _single(kept: DataFrame) -> DataFrame:
     return materialise(kept.dropDuplicates(["id", "v"]), "vectors")
 
 
-def search(vectors: DataFrame, neighbours: int = NEIGHBOURS, modulus: int = QUERY_MODULUS, k: int = K, recall: float = RECALL) -> DataFrame:
+def search(vectors: DataFrame, neighbours: int = NEIGHBOURS, modulus: int = QUERY_MODULUS, k: int | None = None, recall: float = RECALL) -> DataFrame:
     """``query_id, rank, vec_id, score``: the nearest found of each row whose vec_id is
     divisible by ``modulus``, over all other rows, nearest first, ties to the smaller vec_id.
 
     Null, zero and non-finite vectors, and those of another dimension than the most frequent,
     take no part; nor do null ids. Rows that repeat a vec_id are candidates but never of each
-    other; repeats of one vector and id count once. Extra columns are ignored.
+    other, and repeats of one vector and id count once; of an id with several vectors the least
+    one, as arrays compare, is the query. Extra columns are ignored; an empty table, or one
+    without a usable vector, gives no rows.
     """
     spark = vectors.sparkSession
     kept = _single(vectors.filter(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v")).filter(usable(F.col("v"))))
@@ -314,12 +354,12 @@ def search(vectors: DataFrame, neighbours: int = NEIGHBOURS, modulus: int = QUER
     own = kept.filter(F.size("v") == index.dim)
     placed = _placed(own, index)
     index.population[:] = 0
-    for r in placed.groupBy("cell").count().collect():  # K * K rows at most
-        index.population.reshape(-1)[r["cell"]] = r["count"]
+    counted = placed.groupBy("cell").count().toArrow()  # MOST_CENTROIDS squared rows at most
+    index.count(counted.column("cell").to_numpy(), counted.column("count").to_numpy())
     total = int(index.population.sum())
-    queries = own.filter(F.col("id") % modulus == 0).dropDuplicates(["id"])
-    joined = _probes(queries, index, total).hint("merge").join(_blocks(placed, index), ["cell", "part"])
-    best = _ranked(joined, index.dim, neighbours).distinct()
+    queries = own.filter(F.col("id") % modulus == 0).groupBy("id").agg(F.min("v").alias("v"))
+    joined = _probes(queries, index, total).hint("merge").join(_blocks(placed, index), ["row", "part"])
+    best = _ranked(joined, index, neighbours).distinct()
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= neighbours).select("query_id", "rank", "vec_id", "score")
 

@@ -27,7 +27,10 @@ def test_repeats_do_not_fill_the_share_to_probe(spark):
 
 def test_a_task_keeps_pairs_once(spark):
     pairs = [(np.array([7]), [0.0, 0.0], np.array([5] * 30 + list(range(20, 40))), [[1.0, 0.0]] * 30 + [[2.0 + k, 0.0] for k in range(20)])]
-    rows = [(q.astype(np.int64).tobytes(), np.array(v).tobytes(), i.astype(np.int64).tobytes(), np.array(x).tobytes()) for q, v, i, x in pairs]
-    joined = spark.createDataFrame([tuple(map(bytearray, r)) for r in rows], "query_ids binary, queries binary, ids binary, vectors binary")
-    got = sorted(ann._ranked(joined, 2, 10).toArrow().column("vec_id").to_pylist())
+    index = ann.MultiIndex(np.zeros((1, 1)), np.zeros((1, 1)), 2)
+    one = np.zeros(1, np.int32)
+    rows = [(q.astype(np.int64), np.array(v), one + 1, one, np.zeros(len(i), np.int32), i.astype(np.int64), np.array(x)) for q, v, i, x in pairs]
+    names = ("query_ids", "queries", "visits", "visited", "cells", "ids", "vectors")
+    joined = spark.createDataFrame([tuple(bytearray(c.tobytes()) for c in r) for r in rows], ", ".join(f"{n} binary" for n in names))
+    got = sorted(ann._ranked(joined, index, 10).toArrow().column("vec_id").to_pylist())
     assert got == [5, *range(20, 29)]
