@@ -33,6 +33,8 @@ WINDOW = 13
 ANCHOR = 4
 #: Bytes of text in a block, on average.
 BLOCK_BYTES = 8 << 20
+#: Partitions of blocks; beyond as many a task takes several, one after another.
+MOST_PARTITIONS = 1 << 16
 _NEVER = np.iinfo(np.int64).min
 _LAST = np.iinfo(np.int64).max
 _BASES = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -294,14 +296,17 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK
 
     A word goes if a window of ``window`` words over it also starts in a document with a
     smaller doc_id. Null text has no words. Rows with one doc_id are one document as to each
-    other; a null doc_id counts as larger than any. Extra columns are ignored.
+    other; a null doc_id counts as larger than any. Extra columns are ignored; an empty table
+    gives no rows. Rows of one doc_id, or without one, are dealt by their texts, as what is
+    removed does not depend on which block a row lies in.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks))
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))
     doc_id = F.col("doc_id").cast("long")
     dealt = docs.select(block.alias("block"), doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(_LAST)).alias("key"), F.col("text").cast("binary").alias("text"))
-    by_block = dealt.groupBy("block")
+    # a partition a block, about, so that what a task reads does not grow with the corpus
+    by_block = dealt.repartition(min(blocks, MOST_PARTITIONS), "block").groupBy("block")
     wide = "to long, sender long, a binary"
 
     def anchors(t: pa.Table) -> pa.Table:
