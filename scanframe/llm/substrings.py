@@ -306,7 +306,9 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK
     doc_id = F.col("doc_id").cast("long")
     dealt = docs.select(block.alias("block"), doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(_LAST)).alias("key"), F.col("text").cast("binary").alias("text"))
     # a partition a block, about, so that what a task reads does not grow with the corpus
-    by_block = dealt.repartition(min(blocks, MOST_PARTITIONS), "block").groupBy("block")
+    fewest = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(2, min(blocks, max(fewest, min(total // BLOCK_BYTES, MOST_PARTITIONS))))
+    by_block = dealt.repartition(parts, "block").groupBy("block")
     wide = "to long, sender long, a binary"
 
     def anchors(t: pa.Table) -> pa.Table:
@@ -318,10 +320,11 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK
     def drop(t: pa.Table, answers: pa.Table) -> pa.Table:
         return remove(t, answers, window)
 
-    recurring = by_block.applyInArrow(anchors, f"{wide}, b binary").groupBy("to").applyInArrow(answer_anchors, wide)
-    sent = by_block.cogroup(recurring.groupBy("to")).applyInArrow(windows, f"{wide}, b binary, c binary")
-    confirmed = sent.groupBy("to").applyInArrow(answer_windows, f"{wide}, b binary")
-    return by_block.cogroup(confirmed.groupBy("to")).applyInArrow(drop, "doc_id long, n_words long, n_removed long, kept string")
+    to = lambda messages: messages.repartition(parts, "to").groupBy("to")
+    recurring = to(by_block.applyInArrow(anchors, f"{wide}, b binary")).applyInArrow(answer_anchors, wide)
+    sent = by_block.cogroup(to(recurring)).applyInArrow(windows, f"{wide}, b binary, c binary")
+    confirmed = to(sent).applyInArrow(answer_windows, f"{wide}, b binary")
+    return by_block.cogroup(to(confirmed)).applyInArrow(drop, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
