@@ -38,6 +38,8 @@ BANDS = 20
 BAND_HASHES = 5
 #: A shard of more fingerprints is linked as a whole: the exact check parts it again.
 LARGE_SHARD = 1 << 13
+#: About so many texts of a component of candidates are compared in one task.
+PART = 512
 
 
 def fingerprint(text: bytes | None, size: int = SHINGLE_WORDS, seed: int = SEED) -> int:
@@ -398,21 +400,23 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return shared / (len(both) - shared)
 
 
-def similar_roots(sets: list[np.ndarray], least: float = SIMILAR) -> np.ndarray:
+def similar_roots(sets: list[np.ndarray], least: float = SIMILAR, root: np.ndarray | None = None, asks: np.ndarray | None = None) -> np.ndarray:
     """The index that stands for each set's component over links of similarity ``least``.
 
-    All pairs are linked but those whose sizes rule it out or that are connected already.
+    All pairs are linked but those whose sizes rule it out or that are connected already, in
+    ``root`` from the start; with ``asks`` only pairs that hold a set so marked.
     """
     size = np.array([len(x) for x in sets], np.int64)
-    root = np.arange(len(sets))
-    for i in range(1, len(sets)):
-        low, high = np.minimum(size[:i], size[i]), np.maximum(size[:i], size[i])
-        left = np.flatnonzero(low >= least * high - 1e-6)
+    root = np.arange(len(sets)) if root is None else root.copy()
+    for i in range(1, len(sets)) if asks is None else np.flatnonzero(asks):
+        others = slice(i) if asks is None else slice(None)
+        low, high = np.minimum(size[others], size[i]), np.maximum(size[others], size[i])
+        left = np.flatnonzero((low >= least * high - 1e-6) & (root[others] != root[i]))
         while len(left):
             j, left = left[0], left[1:]
             if similarity(sets[i], sets[j]) >= least:
                 a, b = min(root[i], root[j]), max(root[i], root[j])
-                root[: i + 1][root[: i + 1] == b] = a
+                root[root == b] = a
                 left = left[root[left] != root[i]]
     return root
 
@@ -421,27 +425,68 @@ def similar_links(docs: DataFrame, members: DataFrame) -> DataFrame:
     """``node, root`` of the nodes that are similar to another: candidates checked exactly.
 
     ``members``: ``loose, node, doc_id, digest``, the row of ``docs`` that stands for a node and
-    the candidates' component it lies in. A task holds the shingles of one such component.
+    the candidates' component it lies in. A task holds the shingles of about PART nodes: larger
+    components are dealt to parts, each of which compares its nodes with each other and with
+    the component's first node. What that leaves unlinked to the first node is compared with
+    all other nodes of the component, a part of the one with a part of the others at a time,
+    so no pair of texts is left out; nodes linked to the first need no comparison of their own.
+    """
+    sizes = materialise(members.groupBy("loose").agg(F.count("*").alias("m"), F.min("node").alias("centre")), "sizes")
+    sized = lookup(members, sizes, "loose", "m").withColumn("parts", F.ceil(F.col("m") / PART))
+    dealt = materialise(sized.withColumn("part", _part("node", "parts")), "dealt")
+    every = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
+    units = dealt.withColumn("part", F.explode(F.when(F.col("node") == F.col("centre"), every).otherwise(F.array("part"))))
+    found = materialise(_linked(docs, units.select(F.xxhash64("loose", "part").alias("unit"), "node", F.col("node").alias("root"), F.lit(False).alias("asks"), "doc_id", "digest")).distinct(), "found")
+    large = dealt.filter("parts > 1").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    counted = materialise(large.groupBy("loose").agg(F.count("*").alias("m"), F.sum((F.col("root") != F.col("centre")).cast("long")).alias("apart")).filter("apart > 0"), "counted")
+    if not counted.limit(1).count():
+        return found
+    large = materialise(lookup(large.drop("m"), counted, "loose", "m").withColumn("others", F.ceil(F.col("apart") / PART)), "large")
+    against = F.sequence(F.lit(0).cast("long"), F.col("others") - 1)
+    asking = large.filter("root != centre").withColumn("other", _part("root", "others")).withColumn("part", F.explode(every)).withColumn("asks", F.lit(True))
+    asked = large.withColumn("other", F.explode(against)).withColumn("asks", F.lit(False))
+    units = asking.unionByName(asked).groupBy("loose", "other", "part", "node", "root", "doc_id", "digest").agg(F.max("asks").alias("asks"))
+    merged = _linked(docs, units.select(F.xxhash64("loose", "other", "part").alias("unit"), "node", "root", "asks", "doc_id", "digest"))
+    # a part names the roots it joins; nodes of one part's roots are joined across parts
+    joined = components(merged.filter("node != root").select(F.greatest("node", "root").alias("u"), F.least("node", "root").alias("v")).distinct())
+    top = materialise(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "top")
+    moved = found.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return moved.unionByName(top.select(F.col("root").alias("node"), F.col("top").alias("root"))).distinct()
+
+
+def _part(key: str, parts: str) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(SEED)), F.col(parts))
+
+
+def _linked(docs: DataFrame, units: DataFrame) -> DataFrame:
+    """``node, root``: the links that each unit's texts show, as (root so far, root found).
+
+    ``units``: ``unit, node, root, asks, doc_id, digest``. Where rows of a unit ask, only pairs
+    with such a row are compared; else all are.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups_of(batches):
             sets: dict[int, np.ndarray] = {}
+            roots, asks = [], []
             for b in group:
-                for node, text in zip(b.column(1).to_pylist(), b.column(2), strict=True):
+                for node, root, ask, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), strict=True):
                     if node not in sets:  # a row that repeats another
                         sets[node] = shingles(text.as_py())
-            nodes = np.fromiter(sets, np.int64, len(sets))
-            roots = nodes[similar_roots(list(sets.values()))]
-            own = roots != nodes
+                        roots.append(root)
+                        asks.append(ask)
+            names, known = np.unique(np.array(roots, np.int64), return_inverse=True)
+            now = similar_roots(list(sets.values()), root=known, asks=np.array(asks) if any(asks) else None)
+            pairs = np.unique(np.array([names[known], names[now]]), axis=1)
+            own = pairs[0] != pairs[1]
             if own.any():
-                linked = own | np.isin(nodes, roots[own])
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[linked]), pa.array(roots[linked])], ["node", "root"])
+                linked = own | np.isin(pairs[0], pairs[1][own])
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0][linked]), pa.array(pairs[1][linked])], ["node", "root"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_digest"), F.col("text").cast("binary").alias("text"))
-    met = texts.join(members, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_digest") == F.col("digest")))
+    met = texts.join(units, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_digest") == F.col("digest")))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return met.select("loose", "node", "text").repartition(n, "loose").sortWithinPartitions("loose", "node").mapInArrow(run, "node long, root long")
+    return met.select("unit", "node", "root", "asks", "text").repartition(n, "unit").sortWithinPartitions("unit", "node").mapInArrow(run, "node long, root long")
 
 
 def drop_similar(docs: DataFrame) -> DataFrame:

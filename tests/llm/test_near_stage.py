@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from scanframe.llm import exact_dedup, simhash
 
@@ -74,3 +76,31 @@ def test_wide_and_large_shards(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(simhash, "LARGE_SHARD", 10)
     assert [r.doc_id for r in simhash.drop_similar(docs).collect()] == plain_kept(rows) == [0]
+
+
+def test_components_larger_than_a_part(spark, monkeypatch):
+    """Parts of few texts: links to the first text, within parts, and across them by chains."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(300)]
+    rows = [(i, " ".join(base[:i] + [f"n{i}"] + base[i:])) for i in range(40)]
+    chain = list(base)  # each text is near the one before, the last are far from the first
+    for i in range(60):
+        chain[rng.randrange(300)] = f"c{i}"
+        rows.append((100 + i, " ".join(chain)))
+    far = [f"f{k}" if k % 3 == 0 else w for k, w in enumerate(base)]
+    rows += [(500 + i, " ".join([*far[: i * 7], f"g{i}", *far[i * 7 :]])) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(simhash, "PART", 8)
+    assert sorted(r.doc_id for r in simhash.drop_similar(docs).collect()) == plain_kept(rows)
+    monkeypatch.setattr(simhash, "LARGE_SHARD", 2)  # every shard's nodes are candidates
+    assert sorted(r.doc_id for r in simhash.drop_similar(docs).collect()) == plain_kept(rows)
+
+
+def test_roots_with_asking_sets():
+    rng = random.Random(9)
+    for _ in range(30):
+        sets = [simhash.shingles(" ".join(str(rng.randrange(12)) for _ in range(rng.choice([5, 8, 40]))).encode()) for _ in range(15)]
+        sets += sets[:4]
+        plain = simhash.similar_roots(sets)
+        assert (simhash.similar_roots(sets, asks=np.ones(len(sets), bool)) == plain).all()
+        assert (simhash.similar_roots(sets, root=plain, asks=np.ones(len(sets), bool)) == plain).all()
