@@ -329,8 +329,6 @@ def wide_forest(nodes: np.ndarray, fps: np.ndarray, radius: int = WIDE_RADIUS) -
 
     At such a radius a BK-tree visits nearly every entry, so distances are taken from arrays.
     """
-    if len(nodes) > LARGE_SHARD:
-        return np.full(len(nodes), nodes[0])
     root = np.arange(len(nodes))
     for i in range(1, len(nodes)):
         met = np.unique(root[:i][np.bitwise_count(fps[:i] ^ fps[i]) <= radius])
@@ -344,7 +342,8 @@ def wide_forest(nodes: np.ndarray, fps: np.ndarray, radius: int = WIDE_RADIUS) -
 def wide_links(distinct: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
     """``u long, v long``: edges that connect the candidates of every shard.
 
-    ``distinct`` has ``node, fp, shards``, one row a node. Shards are dealt by shuffle.
+    ``distinct`` has ``node, fp, shards``, one row a node. Shards are dealt by shuffle. In those
+    of more than LARGE_SHARD nodes each is a candidate of the first, without a task of their own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,8 +379,13 @@ def wide_links(distinct: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
             yield edges()
 
     shards = distinct.select(F.explode("shards").alias("shard"), "node", "fp")
+    large = materialise(shards.groupBy("shard").agg(F.count("*").alias("n"), F.min("node").alias("v")).filter(F.col("n") > LARGE_SHARD), "large_shards")
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return shards.repartition(n, "shard").sortWithinPartitions("shard", "node").mapInArrow(run, "u long, v long").distinct()
+    within = lambda some: some.repartition(n, "shard").sortWithinPartitions("shard", "node").mapInArrow(run, "u long, v long")
+    if not large.limit(1).count():
+        return within(shards).distinct()
+    to_first = lookup(shards, large, "shard", "n").filter("node != v").select(F.col("node").alias("u"), "v")
+    return within(shards.join(large.select("shard"), "shard", "left_anti")).unionByName(to_first).distinct()
 
 
 def _shared(key: np.ndarray) -> list[tuple[int, int]]:
