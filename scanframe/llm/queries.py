@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scanframe.llm import ann, exact_dedup, langid, mixing, packing, pii, simhash, substrings, tokens, urls
+from scanframe.llm import ann, exact_dedup, extraction, langid, mixing, packing, pii, simhash, substrings, tokens, urls, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_multi_index": ann.op1_multi_index,
@@ -19,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": langid.op8_language_id,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_simhash_bk": simhash.op10_simhash_bk,
+    "op11_html_extraction": extraction.op11_html_extraction,
+    "op12_whitening": whitening.op12_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
