@@ -188,14 +188,14 @@ def running(values: Column, zero: Column, join: Callable[[Column, Column], Colum
     return F.when(F.size(values) > 0, found)
 
 
-def match_lines(text: Column, pattern: str, needle: str = "") -> Column:
+def match_lines(text: Column, pattern: str | Column, needle: str = "") -> Column:
     """``array<struct<line, match, snippet>>`` of all matches, with the line each starts on.
 
-    The k-th match starts after the first k + 1 gaps and the first k matches; the line ends in
+    ``pattern`` may be a column. The k-th match starts after the first k + 1 gaps and the first k matches; the line ends in
     those are counted, as a running sum. A match may span lines, so the text is never cut into
     lines first.
     """
-    p = RULE_FLAGS + pattern
+    p = F.concat(F.lit(RULE_FLAGS), pattern) if isinstance(pattern, Column) else F.lit(RULE_FLAGS + pattern)
     ends = lambda s: (F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))).cast("int")
     add = lambda a, x: a + x
 
@@ -206,6 +206,6 @@ def match_lines(text: Column, pattern: str, needle: str = "") -> Column:
         return let(running(within, F.lit(0), add), lambda before: F.transform(found, lambda m, k: hit(at(before, m, k) + 1, m)))
 
     none = F.array().cast("array<struct<line:int,match:string,snippet:string>>")
-    found = let(F.regexp_extract_all(text, F.lit(p), F.lit(0)), lambda found: let(F.split(text, p, -1), lambda gaps: let(F.split(text, "\n"), lambda raw: lines(found, gaps, raw))))
+    found = let(F.regexp_extract_all(text, p, F.lit(0)), lambda found: let(F.split(text, p, -1), lambda gaps: let(F.split(text, "\n"), lambda raw: lines(found, gaps, raw))))
     may = F.contains(F.lower(text), F.lit(needle)) if needle else F.lit(True)
-    return F.when(may & text.rlike(p), found).otherwise(none)
+    return F.when(may & F.rlike(text, p), found).otherwise(none)

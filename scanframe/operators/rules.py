@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanframe import tables
@@ -14,6 +14,7 @@ from scanframe.functions import source
 from scanframe.schema import STAGE
 
 _ARROW = [("file", pa.string()), ("line", pa.int32()), *[(n, pa.string()) for n in ("type", "severity", "snippet", "description", "category", "analyzer")], ("stage", pa.int32()), ("seq", pa.int64())]
+HITS = "array<struct<type:string,severity:string,category:string,description:string,line:int,match:string,snippet:string,seq:bigint>>"
 RANKED_DDL = "file string, line int, type string, severity string, snippet string, description string, category string, analyzer string, stage int, seq long"
 
 
@@ -113,6 +114,36 @@ def match_native(files: DataFrame, name: str, pattern: str, severity: str, categ
     )
 
 
+def hits(content: Column, catalogue) -> Column:
+    """``array<struct<type, severity, category, description, line, match, snippet, seq>>``: every
+    match of every rule of a catalogue ``(name, pattern, severity, category, description)`` in a text.
+
+    Native, and one pass: a rule is tried on texts that hold a literal which its matches require.
+    What is quoted in matches of the rules named in ``VALIDATED`` must not be a placeholder.
+    ``seq`` counts a rule's matches. The patterns must mean the same in Java.
+    """
+    names = ("type", "pattern", "severity", "category", "description")
+    entry = lambda r: F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r, strict=True)], F.array(*map(F.lit, source.needles(r[1]))).cast("array<string>").alias("needles"))
+    known = F.array(*[entry(r) for r in catalogue])
+    may = C.let(F.lower(content), lambda low: F.filter(known, lambda r: (F.size(r["needles"]) == 0) | F.exists(r["needles"], lambda n: F.contains(low, n))))
+
+    def of(r: Column) -> Column:
+        hit = lambda m, k: F.struct(*[r[n].alias(n) for n in names if n != "pattern"], *[m[n].alias(n) for n in ("line", "match", "snippet")], (k + 1).cast("long").alias("seq"))
+        credible = lambda x: ~x["type"].isin(*source.VALIDATED) | C.is_credible(x["match"])
+        return F.filter(F.transform(C.match_lines(content, r["pattern"]), hit), credible)
+
+    return F.coalesce(F.flatten(F.transform(may, of)), F.array().cast(HITS))
+
+
+def occurrences(files: DataFrame, catalogue) -> DataFrame:
+    """RANKED findings of a catalogue in native expressions: a row a match, rules in their order."""
+    found = files.select("path", F.posexplode(hits(F.col("content"), catalogue)).alias("k", "m"))
+    return found.select(
+        F.col("path").alias("file"), "m.line", "m.type", "m.severity", "m.snippet", "m.description", "m.category", F.lit("pattern").alias("analyzer"),
+        F.lit(STAGE["config"]).alias("stage"), (F.col("k") + 1).cast("long").alias("seq"),
+    )
+
+
 def suspicious_files(files: DataFrame) -> DataFrame:
     """Files that are findings by their name, empty ones too: a join with a fixed table."""
     spark = files.sparkSession
