@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
-from collections.abc import Iterator
-from itertools import groupby
+from collections.abc import Iterable, Iterator
+from itertools import groupby, islice
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +19,11 @@ from scanframe.schema import RANKED, STAGE
 #: The languages whose files get a graph.
 LANGUAGES = ("python", "javascript", "java", "php")
 
+#: Rows that a task hands on at once.
+ROWS = 65_536
+#: Edges of one key that a task closes in memory; keys with more are closed by joins.
+CLOSED_EDGES = 20_000
+
 
 def _first_in(line: Column, names: tuple[str, ...], bare: str) -> Column:
     """The alphabetically first of ``names`` that the line holds, brackets at its end left off."""
@@ -46,13 +53,9 @@ def _function_groups(language: str) -> tuple[int, ...]:
     return (1, 2, 3) if language == "javascript" else (1,)
 
 
-def nodes(files: DataFrame) -> DataFrame:
-    """At most one node a line.
-
-    What a line is: a comment; else a joined string, a source, a sink, an assignment or a
-    function definition, the first of these that it is. An assignment's variable and value are
-    kept whatever the node has become, as uses are looked up by them. Ids count a file's nodes.
-    """
+def _file_nodes(files: DataFrame) -> DataFrame:
+    """``path, language, found``: the nodes of a file as an array, so that neither numbering them
+    nor what is done file by file shuffles anything."""
     code = files.filter(F.col("language").isin(*LANGUAGES) & (F.col("content") != "")).select("path", "language", "content")
     lang = F.col("language")
 
@@ -76,33 +79,44 @@ def nodes(files: DataFrame) -> DataFrame:
             joined.alias("joined"),
         )
 
-    # read within the file's row: once exploded, a filter on what was read would be pushed
-    # down together with all its patterns and run them again
-    parsed = code.select("path", "language", F.explode(F.transform(F.split("content", "\n"), read)).alias("x")).select("path", "language", "x.*").filter("s <> ''")
-    s = F.col("s")
-    kind = (
-        F.when(F.col("is_comment"), "comment")
-        .when(F.col("joined"), "string_concat")
-        .when(F.col("source").isNotNull(), "source")
-        .when(F.col("sink").isNotNull(), "sink")
-        .when(F.col("variable").isNotNull(), "assignment")
-        .when(F.col("function").isNotNull(), "function")
-    )
-    k = F.col("node_type")
-    label = (
-        F.when(k == "comment", s)
-        .when(k == "string_concat", F.left("s", F.lit(60)))
-        .when(k == "source", F.rtrim(F.col("source"), F.lit("([")))
-        .when(k == "sink", F.rtrim(F.col("sink"), F.lit("(")))
-        .when(k == "assignment", F.concat("variable", F.lit(" = "), F.left(F.coalesce("value", F.lit("")), F.lit(50))))
-        .otherwise(F.col("function"))
-    )
-    kept = parsed.withColumn("node_type", kind).filter("node_type IS NOT NULL")
-    number = F.row_number().over(Window.partitionBy("path").orderBy("line"))
-    own = lambda c: F.when(~F.col("is_comment"), F.col(c))
-    return kept.select(
-        "path", F.concat(F.lit("n"), number.cast("string")).alias("id"), "node_type", label.alias("label"), "line", "language", own("variable").alias("variable"),
-        own("value").alias("value"), (k == "source").alias("is_source"), (k == "sink").alias("is_sink"), "is_comment",
+    def kind(x: Column) -> Column:
+        return (
+            F.when(x["is_comment"], "comment")
+            .when(x["joined"], "string_concat")
+            .when(x["source"].isNotNull(), "source")
+            .when(x["sink"].isNotNull(), "sink")
+            .when(x["variable"].isNotNull(), "assignment")
+            .when(x["function"].isNotNull(), "function")
+        )
+
+    def node(x: Column) -> Column:
+        k = x["node_type"]
+        label = (
+            F.when(k == "comment", x["s"])
+            .when(k == "string_concat", F.left(x["s"], F.lit(60)))
+            .when(k == "source", F.rtrim(x["source"], F.lit("([")))
+            .when(k == "sink", F.rtrim(x["sink"], F.lit("(")))
+            .when(k == "assignment", F.concat(x["variable"], F.lit(" = "), F.left(F.coalesce(x["value"], F.lit("")), F.lit(50))))
+            .otherwise(x["function"])
+        )
+        own = lambda c: F.when(~x["is_comment"], x[c]).alias(c)
+        return F.struct(k.alias("node_type"), label.alias("label"), x["line"].alias("line"), own("variable"), own("value"), (k == "source").alias("is_source"), (k == "sink").alias("is_sink"), x["is_comment"].alias("is_comment"))
+
+    lines = F.filter(F.transform(F.split("content", "\n"), read), lambda x: x["s"] != "")
+    kinds = F.filter(F.transform(lines, lambda x: x.withField("node_type", kind(x))), lambda x: x["node_type"].isNotNull())
+    return code.select("path", "language", F.transform(kinds, node).alias("found"))
+
+
+def nodes(files: DataFrame) -> DataFrame:
+    """At most one node a line.
+
+    What a line is: a comment; else a joined string, a source, a sink, an assignment or a
+    function definition, the first of these that it is. An assignment's variable and value are
+    kept whatever the node has become, as uses are looked up by them. Ids count a file's nodes.
+    """
+    each = _file_nodes(files).select("path", "language", F.posexplode("found").alias("k", "x"))
+    return each.select(
+        "path", F.concat(F.lit("n"), (F.col("k") + 1).cast("string")).alias("id"), "x.node_type", "x.label", "x.line", "language", "x.variable", "x.value", "x.is_source", "x.is_sink", "x.is_comment",
     )
 
 
@@ -116,31 +130,189 @@ def control_edges(found: DataFrame) -> DataFrame:
     return found.filter(~F.col("is_comment")).withColumn("source_id", before).filter("source_id IS NOT NULL").select("path", "source_id", F.col("id").alias("target_id"), F.lit("flows_to").alias("edge_type"), F.lit("").alias("label"))
 
 
+_WORDS = re.compile(r"\w+")
+
+
+def _uses(own: list[dict], words: bool = False) -> dict[str, list[int]]:
+    """The nodes of a file that use each variable, by number from 1, in order.
+
+    One automaton of the file's variables reads each label and stored value once, whatever the
+    number of definitions. By default a use is a substring; with ``words`` a word of its own.
+    """
+    variables = {r["variable"] for r in own if r["variable"]}
+    uses: dict[str, list[int]] = {v: [] for v in variables}
+    if not variables:
+        return uses
+    automaton = ahocorasick.Automaton()
+    for v in variables:
+        automaton.add_word(v, v)
+    automaton.make_automaton()
+    for n, r in enumerate(own, 1):
+        if not r["is_comment"]:
+            found: set[str] = set()
+            for text in (r["label"], r["value"] if r["node_type"] == "assignment" else None):
+                if text:
+                    found.update(variables.intersection(_WORDS.findall(text)) if words else (v for _, v in automaton.iter(text)))
+            for v in found:
+                uses[v].append(n)
+    return uses
+
+
+def _by_file(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[dict]]]:
+    """The nodes of each file, where a file's rows follow each other in order."""
+    for path, own in groupby((r for b in batches for r in b.to_pylist()), key=lambda r: r["path"]):
+        yield path, list(own)
+
+
+def _in_order(found: DataFrame) -> DataFrame:
+    number = F.substring("id", 2, 10).cast("int").alias("n")
+    return found.select("path", number, "node_type", "label", "line", "variable", "value", "is_source", "is_sink", "is_comment").repartition("path").sortWithinPartitions("path", "n")
+
+
+def _batches(rows: Iterable[tuple], kinds: list[pa.DataType], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows as they come, ROWS at a time: what a task holds does not grow with what it finds."""
+    rows = iter(rows)
+    while part := list(islice(rows, ROWS)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part, strict=True), kinds, strict=True)], names)
+
+
+_EDGES = "path string, source_id string, target_id string, edge_type string, label string"
+
+
 def data_edges(found: DataFrame, words: bool = False) -> DataFrame:
-    """Each definition to the nodes that use its variable: an equi-join on the file, then the
-    test. By default a use is a substring; with ``words`` a word of its own."""
-    defined = found.filter(F.col("variable").isNotNull()).select("path", F.col("id").alias("source_id"), "variable", F.col("node_type").alias("kind"))
-    value = F.when(F.col("node_type") == "assignment", F.coalesce("value", F.lit(""))).otherwise(F.lit(""))
-    uses = found.filter(~F.col("is_comment")).select("path", F.col("id").alias("target_id"), F.col("label").alias("shown"), value.alias("stored"))
-    test = C.holds_word if words else F.contains
-    used = test(F.col("shown"), F.col("variable")) | test(F.col("stored"), F.col("variable"))
-    itself = (F.col("source_id") == F.col("target_id")) & (F.col("kind") == "assignment")
-    return defined.join(uses, "path").filter(used & ~itself).select("path", "source_id", "target_id", F.lit("data_flow").alias("edge_type"), F.concat("variable", F.lit(" flows to")).alias("label"))
+    """Each definition to the nodes that use its variable, in time in proportion to a file's text
+    and its edges (see ``_uses``). The nodes are shuffled once, by file."""
+
+    def of(own: list[dict]) -> Iterator[tuple]:
+        uses = _uses(own, words)
+        for n, r in enumerate(own, 1):
+            if v := r["variable"]:
+                for m in uses[v]:
+                    if m != n or r["node_type"] != "assignment":
+                        yield r["path"], f"n{n}", f"n{m}", "data_flow", f"{v} flows to"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _batches((e for _, own in _by_file(batches) for e in of(own)), [pa.string()] * 5, [f.split()[0] for f in _EDGES.split(", ")])
+
+    return _in_order(found).mapInArrow(run, _EDGES)
 
 
 def edges(found: DataFrame, words: bool = False) -> DataFrame:
     return control_edges(found).unionByName(data_edges(found, words))
 
 
+def _components(following: dict) -> Iterator[list]:
+    """Strongly connected components, each after all those that it leads to."""
+    index: dict = {}
+    low: dict = {}
+    held, on = [], set()
+    for root in following:
+        if root in index:
+            continue
+        index[root] = low[root] = len(index)
+        held.append(root)
+        on.add(root)
+        work = [(root, iter(following[root]))]
+        while work:
+            n, rest = work[-1]
+            for m in rest:
+                if m not in index:
+                    index[m] = low[m] = len(index)
+                    held.append(m)
+                    on.add(m)
+                    work.append((m, iter(following.get(m, ()))))
+                    break
+                if m in on:
+                    low[n] = min(low[n], index[m])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[n])
+                if low[n] == index[n]:
+                    found = []
+                    while not found or found[-1] != n:
+                        found.append(held.pop())
+                    on.difference_update(found)
+                    yield found
+
+
+def _closure(pairs: set[tuple]) -> Iterator[tuple]:
+    """All (source, target) with a walk of one or more edges, of one key's edges.
+
+    Nodes on a common cycle reach the same ones, so what is reached is kept once a component,
+    as the bits of an integer, and joined from the components that one leads to.
+    """
+    following: dict = defaultdict(list)
+    for a, b in pairs:
+        following[a].append(b)
+    place: dict = {}
+    names: list = []
+    component: dict = {}
+    reached: list[int] = []
+    for own in _components(dict(following)):
+        c = len(reached)
+        bits = 0
+        for n in own:
+            place[n] = len(names)
+            names.append(n)
+            component[n] = c
+            bits |= 1 << place[n]
+        far, cyclic = 0, len(own) > 1
+        for n in own:
+            for m in following.get(n, ()):
+                if component[m] == c:
+                    cyclic = True
+                else:
+                    far |= (1 << place[m]) | reached[component[m]]
+        reached.append(far | bits if cyclic else far)
+        if reached[c] and any(n in following for n in own):
+            targets, left = [], reached[c]
+            while left:
+                lowest = left & -left
+                targets.append(names[lowest.bit_length() - 1])
+                left ^= lowest
+            for n in own:
+                for m in targets:
+                    yield n, m
+
+
 def reachable(pairs: DataFrame, key: str = "path") -> DataFrame:
     """``key, source_id, target_id``: all nodes that a walk of one or more edges leads to.
 
-    A frontier join a round: a round adds only pairs not seen yet, so cycles end. Each round is
-    written to the shared folder; there are as many as the longest of the shortest walks.
+    Keys of up to CLOSED_EDGES rows, as files are, meet in one task each and are closed there: one
+    shuffle, no rounds. Keys with more go by joins (``_reachable_by_rounds``). Rows with a null
+    are no edges.
     """
+    pairs = pairs.select(key, "source_id", "target_id").dropna()
+    large = pairs.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > CLOSED_EDGES).select(key)
+    if not large.limit(1).count():
+        return _closed(pairs, key)
+    return _closed(pairs.join(large, key, "left_anti"), key).unionByName(_reachable_by_rounds(pairs.join(large, key, "left_semi"), key))
+
+
+def _closed(pairs: DataFrame, key: str) -> DataFrame:
+    names = [key, "source_id", "target_id"]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        each = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for k, own in groupby(each, key=lambda r: r[0]):
+            yield from ((k, *p) for p in _closure({r[1:] for r in own}))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next(batches, None)
+        if first is not None:
+            kinds = [f.type for f in first.schema]
+            yield from _batches(rows(b for part in ([first], batches) for b in part), kinds, names)
+
+    return pairs.repartition(key).sortWithinPartitions(key).mapInArrow(run, pairs.schema)
+
+
+def _reachable_by_rounds(pairs: DataFrame, key: str) -> DataFrame:
+    """A frontier join a round: a round adds only pairs not seen yet, so cycles end. Each round is
+    written to the shared folder; there are as many as the longest of the shortest walks."""
     from scanframe.plans.stages import materialise
 
-    steps = materialise(pairs.select(key, "source_id", "target_id").distinct(), "steps")
+    steps = materialise(pairs.distinct(), "steps")
     seen = frontier = steps
     while True:
         onward = steps.select(key, F.col("source_id").alias("target_id"), F.col("target_id").alias("far"))
@@ -151,63 +323,74 @@ def reachable(pairs: DataFrame, key: str = "path") -> DataFrame:
         seen = seen.unionByName(frontier)
 
 
-def flows(found: DataFrame, linked: DataFrame) -> DataFrame:
+_FLOWS = "path string, source_id string, sink_id string, source string, sink string, source_line int, sink_line int, vars array<string>"
+_FLOW_KINDS = [pa.string()] * 5 + [pa.int32()] * 2 + [pa.list_(pa.string())]
+
+
+def flows(found: DataFrame, words: bool = False) -> DataFrame:
     """``path, source_id, sink_id, source, sink, source_line, sink_line, vars``: for each source
     and sink of a file the shortest data-flow walk between them, if there is one.
 
-    A breadth-first search in each file; edges are taken by the place of the definition and
-    then of the use, so the walk found is always the same. Files without both are left out.
+    Edges are taken by the place of the definition and then of the use, so the walk found is
+    always the same: of the shortest the one that comes first. Files without both are left out.
     """
-    both = found.groupBy("path").agg(F.max("is_source").alias("a"), F.max("is_sink").alias("b")).filter("a AND b").select("path")
-    kept = found.join(both, "path", "left_semi").select("path", F.substring("id", 2, 10).cast("int").alias("n"), "label", "line", "variable", "node_type", "is_source", "is_sink")
-    number = lambda c: F.substring(c, 2, 10).cast("int")
-    walks = linked.filter("edge_type = 'data_flow'").join(both, "path", "left_semi").select(F.col("path").alias("of"), number("source_id").alias("a"), number("target_id").alias("b"))
-    return kept.groupBy("path").cogroup(walks.groupBy("of")).applyInArrow(_walk, _FLOWS)
-
-
-_FLOWS = "path string, source_id string, sink_id string, source string, sink string, source_line int, sink_line int, vars array<string>"
-_FLOW_KINDS = [pa.string()] * 5 + [pa.int32()] * 2 + [pa.list_(pa.string())]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (f for path, own in _by_file(batches) for f in _flows_in(path, own, words))
+        return _batches(rows, _FLOW_KINDS, [f.split()[0] for f in _FLOWS.split(", ")])
 
-def _following(own: dict[int, dict]) -> dict[int, list[int]]:
-    """The data-flow edges of one file, as ``data_edges`` draws them, where they can matter."""
-    following = defaultdict(list)
-    if any(r["is_source"] for r in own.values()) and any(r["is_sink"] for r in own.values()):
-        uses = [(n, r["label"], (r["value"] or "") if r["node_type"] == "assignment" else "") for n, r in sorted(own.items()) if not r["is_comment"]]
-        for n, r in own.items():
-            if v := r["variable"]:
-                following[n] = [m for m, shown, stored in uses if (v in shown or v in stored) and not (m == n and r["node_type"] == "assignment")]
-    return following
-
+    return _in_order(found).mapInArrow(run, _FLOWS)
 
-def _walk(found: pa.Table, walks: pa.Table) -> pa.Table:
-    following = defaultdict(list)
-    for r in sorted(walks.to_pylist(), key=lambda r: (r["a"], r["b"])):
-        following[r["a"]].append(r["b"])
-    rows = _search({r["n"]: r for r in found.to_pylist()}, following)
-    columns = zip(*rows, strict=True) if rows else [[]] * 8
-    names = [f.split()[0] for f in _FLOWS.split(", ")]
-    return pa.table([pa.array(c, k) for c, k in zip(columns, _FLOW_KINDS, strict=True)], names=names)
 
+def _tree(variable: str, uses: dict[str, list[int]], own: list[dict]) -> dict[int, int]:
+    """Breadth first from a variable's definition: each node reached, with the node before it (0 for none).
 
-def _search(own: dict[int, dict], following: dict[int, list[int]]) -> list[tuple]:
-    """Breadth first from every source to every sink of a file."""
-    shown = lambda r: r["variable"] if r["node_type"] == "assignment" and r["variable"] else r["label"]
-    rows = []
-    for s in sorted(n for n, r in own.items() if r["is_source"]):
-        came, queue = {s: None}, [s]
-        for n in queue:
-            for m in following[n]:
+    All definitions of a variable lead to the same nodes, so a variable is followed once, at the
+    first of them, and no edge between definitions and uses is ever drawn.
+    """
+    came: dict[int, int] = {}
+    queue: list[int] = []
+    spent: set[str] = set()
+
+    def follow(v: str, n: int) -> None:
+        if v not in spent:
+            spent.add(v)
+            for m in uses[v]:
                 if m not in came:
                     came[m] = n
                     queue.append(m)
-        for t in sorted(n for n, r in own.items() if r["is_sink"] and n in came):
+
+    follow(variable, 0)
+    for n in queue:
+        if v := own[n - 1]["variable"]:
+            follow(v, n)
+    return came
+
+
+def _flows_in(path: str, own: list[dict], words: bool = False) -> Iterator[tuple]:
+    """The flows of one file. Sources of one variable share their search: what one of them
+    reaches, and how, is the same for all."""
+    sinks = [n for n, r in enumerate(own, 1) if r["is_sink"]]
+    sources: dict[str, list[int]] = defaultdict(list)
+    for n, r in enumerate(own, 1):
+        if r["is_source"] and r["variable"]:
+            sources[r["variable"]].append(n)
+    if not (sinks and sources):
+        return
+    uses = _uses(own, words)
+    shown = lambda r: r["variable"] if r["node_type"] == "assignment" and r["variable"] else r["label"]
+    for v, starts in sources.items():
+        came = _tree(v, uses, own)
+        for t in sinks:
+            if t not in came:
+                continue
             walk = [t]
-            while came[walk[-1]] is not None:
+            while came[walk[-1]]:
                 walk.append(came[walk[-1]])
-            names = [shown(own[n]) for n in reversed(walk)]
-            rows.append((own[s]["path"], f"n{s}", f"n{t}", own[s]["label"], own[t]["label"], own[s]["line"], own[t]["line"], names))
-    return rows
+            names, sink = [shown(own[n - 1]) for n in reversed(walk)], own[t - 1]
+            for s in starts:
+                source = own[s - 1]
+                yield path, f"n{s}", f"n{t}", source["label"], sink["label"], source["line"], sink["line"], [shown(source), *names]
 
 
 def summary(found: DataFrame, linked: DataFrame, flowing: DataFrame) -> DataFrame:
@@ -246,41 +429,24 @@ def findings(found: DataFrame, flowing: DataFrame) -> DataFrame:
 
 
 def graph_findings(files: DataFrame) -> DataFrame:
-    """``findings`` of all files in one pass over the nodes.
-
-    Numbering the nodes has put each file's into one partition, in order; so a task goes
-    through its files one after another, draws their edges and finds their flows.
-    """
+    """``findings`` of all files: a file's nodes are an array in its row, so nothing is shuffled."""
+    kinds = [pa.string(), pa.int32(), *[pa.string()] * 6, pa.int32(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for _, own in groupby((r for b in batches for r in b.to_pylist()), key=lambda r: r["path"]):
-            rows += _file_findings(list(own))
-            if len(rows) > 4096:
-                yield _batch(rows)
-                rows = []
-        if rows:
-            yield _batch(rows)
-
-    return nodes(files).sortWithinPartitions("path", "line").mapInArrow(run, RANKED)
+        each = ((path.as_py(), found.as_py()) for b in batches for path, found in zip(b.column(0), b.column(1), strict=True))
+        return _batches((f for path, own in each for f in _findings_in(path, own)), kinds, RANKED.names)
 
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.int32(), *[pa.string()] * 6, pa.int32(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=RANKED.names)
+    return _file_nodes(files).select("path", "found").mapInArrow(run, RANKED)
 
 
-def _file_findings(found: list[dict]) -> list[tuple]:
-    own = {int(r["id"][1:]): r for r in found}
-    rows = []
-    for path, s, t, source, sink, at, line, names in _search(own, _following(own)):
+def _findings_in(path: str, own: list[dict]) -> Iterator[tuple]:
+    for _, s, t, source, sink, at, line, names in _flows_in(path, own):
         told = f"Taint flow: '{source}' (line {at}) flows into dangerous '{sink}' (line {line}). Path: {' -> '.join(names)}"
-        rows.append((path, line, f"Taint: {source} -> {sink}", "CRITICAL", "", told, "INJECTION", "cpg", STAGE["graph"], (int(s[1:]) << 24) + int(t[1:])))
-    for n, r in own.items():
+        yield path, line, f"Taint: {source} -> {sink}", "CRITICAL", "", told, "INJECTION", "cpg", STAGE["graph"], (int(s[1:]) << 24) + int(t[1:])
+    for n, r in enumerate(own, 1):
         if r["node_type"] == "string_concat":
             told = f"Potential injection via string concatenation: {r['label'][:80]}"
-            rows.append((r["path"], r["line"], "String Concatenation in Query", "MEDIUM", "", told, "INJECTION", "cpg", STAGE["graph"], (1 << 60) + n))
-    return rows
+            yield path, r["line"], "String Concatenation in Query", "MEDIUM", "", told, "INJECTION", "cpg", STAGE["graph"], (1 << 60) + n
 
 
 def in_comment(found: DataFrame, lines: DataFrame) -> DataFrame:

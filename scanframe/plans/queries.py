@@ -583,23 +583,43 @@ def graph_reachability(spark, sf_dir):
 
 def _flows(spark, sf_dir):
     found = graph.nodes(views.code(spark, sf_dir))
-    return found, graph.flows(found, graph.data_edges(found))
+    return found, graph.flows(found)
 
 
 FLOWS = """RECURSIVE walk AS (SELECT path, source_id, target_id FROM data UNION SELECT w.path, w.source_id, d.target_id FROM walk w JOIN data d ON w.path = d.path AND w.target_id = d.source_id)"""
 
 
+#: Walks of so many edges are spelled out; the programs' longest shortest walk has fewer.
+STEPS = 5
+
+
+def _walks() -> str:
+    """The first of the shortest walks from each source to each node, an edge more a table."""
+    number = "substr({}, 2)::INTEGER"
+    parts = [
+        "reached0 AS (SELECT path, id AS source_id, id AS goal, [substr(id, 2)::INTEGER] AS walk FROM nodes WHERE is_source)",
+    ]
+    for k in range(1, STEPS + 1):
+        before = " UNION ALL ".join(f"SELECT path, source_id, goal FROM reached{j}" for j in range(k))
+        step = f"SELECT r.path, r.source_id, d.target_id AS goal, list_append(r.walk, {number.format('d.target_id')}) AS walk FROM reached{k - 1} r JOIN data d ON r.path = d.path AND r.goal = d.source_id"
+        parts.append(f"reached{k} AS (SELECT * FROM ({step}) s WHERE NOT EXISTS (SELECT 1 FROM ({before}) b WHERE b.path = s.path AND b.source_id = s.source_id AND b.goal = s.goal) QUALIFY row_number() OVER (PARTITION BY path, source_id, goal ORDER BY walk) = 1)")
+    parts.append("walked AS (" + " UNION ALL ".join(f"SELECT * FROM reached{k}" for k in range(1, STEPS + 1)) + ")")
+    parts.append("shown AS (SELECT path, substr(id, 2)::INTEGER AS n, CASE WHEN node_type = 'assignment' AND variable IS NOT NULL THEN variable ELSE label END AS name FROM nodes)")
+    return ", ".join(parts)
+
+
 @query(
-    "SELECT w.path, w.source_id, w.target_id AS sink_id, a.label AS source, b.label AS sink, a.line AS source_line, b.line AS sink_line FROM walk w JOIN nodes a ON a.path = w.path AND a.id = w.source_id AND a.is_source "
-    "JOIN nodes b ON b.path = w.path AND b.id = w.target_id AND b.is_sink",
-    f"RECURSIVE {CODE}",
+    "SELECT w.path, w.source_id, w.goal AS sink_id, any_value(a.label) AS source, any_value(b.label) AS sink, any_value(a.line) AS source_line, any_value(b.line) AS sink_line, list(s.name ORDER BY w.k) AS vars "
+    "FROM (SELECT path, source_id, goal, unnest(walk) AS n, generate_subscripts(walk, 1) AS k FROM walked) w JOIN nodes a ON a.path = w.path AND a.id = w.source_id "
+    "JOIN nodes b ON b.path = w.path AND b.id = w.goal AND b.is_sink JOIN shown s ON s.path = w.path AND s.n = w.n GROUP BY w.path, w.source_id, w.goal",
+    CODE,
     LINES,
     NODES,
     DATA,
-    FLOWS.removeprefix("RECURSIVE "),
+    _walks(),
 )
 def graph_flows(spark, sf_dir):
-    return _flows(spark, sf_dir)[1].drop("vars")
+    return _flows(spark, sf_dir)[1]
 
 
 @query(

@@ -120,7 +120,7 @@ def test_context_others(spark):
 
 
 def flows_of(found):
-    return graph.flows(found, graph.data_edges(found))
+    return graph.flows(found)
 
 
 def test_graph_flow(spark):
@@ -133,7 +133,7 @@ def test_graph_flow(spark):
     data = {(r.source_id, r.target_id) for r in graph.data_edges(found).collect()}
     assert data == {("n2", "n2"), ("n2", "n3"), ("n2", "n5")}  # a use is a substring
     assert {(r.source_id, r.target_id) for r in graph.data_edges(found, words=True).collect()} == {("n2", "n3")}
-    flows = graph.flows(found, graph.data_edges(found)).collect()
+    flows = graph.flows(found).collect()
     assert [(r.source, r.sink, r.vars) for r in flows] == [("request.args", "eval", ["request.args", "eval"])]
     both = [sorted(map(tuple, x.collect())) for x in (graph.findings(found, flows_of(found)), graph.graph_findings(df))]
     assert both[0] == both[1]
@@ -295,7 +295,7 @@ def test_plans(spark):
     assert "Exchange" not in plan and "ReadSchema: struct<text:string,source:string>" in plan
     found = graph.graph_findings(views.code(spark, SF))
     physical = found._jdf.queryExecution().executedPlan().toString()
-    assert physical.count("Exchange hashpartitioning(path") == 1 and physical.count("Scan parquet") == 1
+    assert physical.count("Exchange hashpartitioning(path") == 0 and physical.count("Scan parquet") == 1
     assert explain(findings.top(make(spark, []), 5)).count("TakeOrderedAndProject") >= 1
     assert STAGE["file"] == 0
 
