@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from scanframe import tables
 from scanframe.functions import columns as C
-from scanframe.functions import source
+from scanframe.functions import code, source
 from scanframe.schema import STAGE
 
 _ARROW = [("file", pa.string()), ("line", pa.int32()), *[(n, pa.string()) for n in ("type", "severity", "snippet", "description", "category", "analyzer")], ("stage", pa.int32()), ("seq", pa.int64())]
@@ -26,8 +26,9 @@ def rules_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "name string, pattern string, severity string, category string, description string, ext string, needle string")
 
 
-def detect(path: str, ext: str, language: str, content: str) -> Iterator[tuple[str, list[source.Hit] | Exception]]:
-    """(stage, findings) of the procedural detectors on one file, in stage order.
+def detect(path: str, ext: str, language: str, content: str, calls: list[source.Hit], flows: list[source.Hit]) -> Iterator[tuple[str, list[source.Hit] | Exception]]:
+    """(stage, findings) of the detectors on one file, in stage order; ``calls`` and ``flows`` are
+    those of tokens and taint, which native functions have found (``_native``).
 
     Each detector is on its own: what one raises is handed on and costs no other's findings.
     """
@@ -50,29 +51,58 @@ def detect(path: str, ext: str, language: str, content: str) -> Iterator[tuple[s
     if language == "python":
         yield "language", tried(lambda: source.scan_python(content))
     elif language != "generic":
-        yield "language", tried(lambda: source.scan_tokens(content, dialect))
+        yield "language", calls
     yield "language", tried(lambda: source.scan_rules(source.blank(content, dialect), rules))
-    yield "language", tried(lambda: source.scan_taint(content, dialect))
+    yield "language", flows
+
+
+def _native() -> tuple[Column, Column]:
+    """What tokens and taint tell of a file: beside its row, so that the file is read once."""
+    language, content, ext = F.col("language"), F.col("content"), code.dialect(F.col("language"), F.col("ext"))
+    none = F.array().cast(code.HITS)
+    calls = F.when(~language.isin("unknown", "python", "generic"), code.token_hits(content, ext)).otherwise(none)
+    flows = F.when(language != "unknown", code.taint_hits(content, ext)).otherwise(none)
+    return calls.alias("calls"), flows.alias("flows")
 
 
 def procedural(files: DataFrame) -> DataFrame:
-    """Findings of the secret, config and language detectors: one pass over the files."""
+    """Findings of the secret, config and language detectors: one pass over the files.
+
+    Tokens and taint are native; rules in Python's regex dialect and syntax trees run in Arrow
+    batches, which hand the native findings on in their place.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for path, ext, language, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for path, ext, language, content, calls, flows in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 counts: dict[str, int] = {}
-                for stage, hits in detect(path, ext, language, content):
-                    if isinstance(hits, Exception):
+                native = ([source.Hit(**h) for h in found] for found in (calls, flows))
+                for stage, found in detect(path, ext, language, content, *native):
+                    if isinstance(found, Exception):
                         continue
-                    for h in hits:
+                    for h in found:
                         counts[stage] = counts.get(stage, 0) + 1
                         rows.append((path, *h, STAGE[stage], counts[stage]))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), _ARROW, strict=True)], [n for n, _ in _ARROW])
 
-    return files.filter(F.col("content") != "").select("path", "ext", "language", "content").mapInArrow(run, RANKED_DDL)
+    return files.filter(F.col("content") != "").select("path", "ext", "language", "content", *_native()).mapInArrow(run, RANKED_DDL)
+
+
+def taint_findings(files: DataFrame) -> DataFrame:
+    """RANKED findings of the taint fold alone, without a Python worker."""
+    return _of_native(files, 1)
+
+
+def token_findings(files: DataFrame) -> DataFrame:
+    """RANKED findings of the token detectors alone, without a Python worker."""
+    return _of_native(files, 0)
+
+
+def _of_native(files: DataFrame, which: int) -> DataFrame:
+    each = files.filter(F.col("content") != "").select("path", F.posexplode(_native()[which]).alias("k", "h"))
+    return each.select(F.col("path").alias("file"), "h.*", F.lit(STAGE["language"]).alias("stage"), (F.col("k") + 1).cast("long").alias("seq"))
 
 
 def status(files: DataFrame) -> DataFrame:
@@ -86,7 +116,7 @@ def status(files: DataFrame) -> DataFrame:
                 if content is None:
                     rows.append((path, "skipped", ""))
                     continue
-                errors = [f"{s}: {type(h).__name__}" for s, h in detect(path, ext, language, content) if isinstance(h, Exception)]
+                errors = [f"{s}: {type(h).__name__}" for s, h in detect(path, ext, language, content, [], []) if isinstance(h, Exception)]
                 rows.append((path, "failed" if errors else "analyzed", "; ".join(errors)))
             columns = zip(*rows, strict=True) if rows else [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["path", "status", "errors"])
@@ -155,18 +185,8 @@ def suspicious_files(files: DataFrame) -> DataFrame:
 
 
 def tokenize(files: DataFrame) -> DataFrame:
-    """``path, ext, pos, type, value, line, col``: the code tokens of every file."""
-    names = ["path", "ext", "pos", "type", "value", "line", "col"]
-    kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32()]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for path, ext, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                found = [(path, ext, *t) for t in source.tokens(content or "")]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names)
-
-    return files.select("path", "ext", "content").mapInArrow(run, "path string, ext string, pos int, type string, value string, line int, col int")
+    """``path, ext, pos, type, value, line, col``: the code tokens of every file, natively."""
+    return files.select("path", "ext", F.explode(code.tokens(F.coalesce("content", F.lit("")))).alias("t")).select("path", "ext", "t.*")
 
 
 def dangerous_calls(tokens: DataFrame) -> DataFrame:

@@ -472,7 +472,7 @@ def syntax_findings(spark, sf_dir):
 
 @query("SELECT path AS file, line, type FROM code JOIN expected USING (ext) WHERE type LIKE 'Taint: %'", CODE, _EXPECTED)
 def taint_findings(spark, sf_dir):
-    return rules.procedural(views.code(spark, sf_dir)).filter("analyzer = 'taint'").select("file", "line", "type")
+    return rules.taint_findings(views.code(spark, sf_dir)).select("file", "line", "type")
 
 
 # ---------------------------------------------------------------- a file for each thing to find
@@ -503,7 +503,13 @@ def context_cases(spark, sf_dir):
 @query(views.cases_sql("taint"))
 def taint_cases(spark, sf_dir):
     """Every dialect of the taint tracker."""
-    return _cases(rules.procedural(views.cases(spark, sf_dir, "taint")).filter("analyzer = 'taint'"))
+    return _cases(rules.taint_findings(views.cases(spark, sf_dir, "taint")))
+
+
+@query(views.cases_sql("lexer"))
+def token_cases(spark, sf_dir):
+    """Every dangerous call and every name that writes markup, and their look-alikes."""
+    return _cases(rules.token_findings(views.cases(spark, sf_dir, "lexer")))
 
 
 # ---------------------------------------------------------------- property graph

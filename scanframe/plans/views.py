@@ -288,6 +288,13 @@ CASES = (
     ("taint", ".c", "char *v = getenv(a);\npopen(v, b);\n", 2, "Taint: v -> popen", "CRITICAL"),
     ("taint", ".cpp", "auto v = getenv(a);\nsystem(v);\n", 2, "Taint: v -> system", "CRITICAL"),
     ("taint", ".rb", "v = 1\neval(v)\n", 0, "", ""),
+    *(("lexer", ext, f"/* {name}(a) */ x\n{name} (a);\n", 2, f"Lexer: {name}()", severity) for ext, name, severity, _ in tables.DANGEROUS_CALLS),
+    *(("lexer", ".js", f"// {name} = 1\na.{name} = b;\n", 2, f"Lexer: XSS sink '{name}'", "HIGH") for name in tables.XSS_NAMES if name != "document"),
+    ("lexer", ".js", "x = 'eval(a)'; // eval(b)\n", 0, "", ""),
+    ("lexer", ".js", "a.innerHTML += b;\n", 0, "", ""),
+    ("lexer", ".php", "$exec = 1; $eval\n(x);\n", 0, "", ""),
+    ("lexer", ".java", "executor(a); exec;\n", 0, "", ""),
+    ("lexer", ".py", "eval(a)\n", 0, "", ""),
 )
 
 

@@ -1,0 +1,65 @@
+"""Native tokens and taint against plain versions in Python, on random texts and on long ones."""
+
+import random
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from scanframe import tables
+from scanframe.functions import code, source
+from scanframe.operators import rules
+from scanframe.plans import views
+
+PIECES = (
+    "x", "y", "z1", " = ", "request", "req.body", "$_GET", "$x", "eval(", "eval (", ")", "os.system(y)", "open(x)", "'a\\'b'", '"s"', "// c", "/* a", "*/", "#", "\n", "\n", "\n", " ", "\t", "12", "3.4", "1a", "é",
+    "/*/", "=", "==", "(", ";", ".", "innerHTML = ", "document.write(", "innerHTML", "const ", "let v = ", "String s = ", "v := r.Form", "system($x)", "include($y)", "'un", "\\", "\r", "$", "exec(", " ", "٣",
+)
+
+
+@pytest.fixture(scope="module")
+def found(spark):
+    rng = random.Random(11)
+    exts = [*tables.TAINT_SOURCES, ".jsx", ".tsx", ".txt"]
+    rows = [(k, rng.choice(exts), "".join(rng.choice(PIECES) for _ in range(rng.choice((0, 1, 5, 20, 60))))) for k in range(800)]
+    df = spark.createDataFrame(rows, "k int, ext string, content string")
+    content, ext = F.col("content"), F.col("ext")
+    return rows, df.select("k", code.tokens(content).alias("tokens"), code.token_hits(content, ext).alias("calls"), code.taint_hits(content, ext).alias("flows")).collect()
+
+
+@pytest.mark.parametrize("name, plain", [("tokens", lambda e, c: source.tokens(c)), ("calls", lambda e, c: source.scan_tokens(c, e)), ("flows", lambda e, c: source.scan_taint(c, e))])
+def test_native_equals_plain(found, name, plain):
+    rows, got = found
+    some = 0
+    for r in got:
+        _, ext, content = rows[r.k]
+        assert [tuple(x) for x in r[name]] == [tuple(x) for x in plain(ext, content)], (ext, content)
+        some += len(r[name])
+    assert some > 30
+
+
+@pytest.mark.parametrize("text", ['x = "' + "\\x41" * 100_000 + '"', "'" + "a" * 1_000_000, "/*" + "*" * 1_000_000, "# " + "x" * 1_000_000, "f" * 1_000_000, "+" * 1_000_000, "(" * 50_000])
+def test_long_tokens(spark, text):
+    """No match of a long string, comment or word runs out of stack."""
+    (row,) = spark.createDataFrame([(text,)], "c string").select(F.size(code.tokens(F.col("c"))).alias("n")).collect()
+    assert row.n == len(source.tokens(text))
+
+
+def test_many_lines(spark):
+    """A file of many tainted variables and hits."""
+    text = "".join(f"v{k} = request.args\neval(v{k})\n" for k in range(1500))
+    began = time.monotonic()
+    (row,) = spark.createDataFrame([(text,)], "c string").select(code.taint_hits(F.col("c"), F.lit(".py")).alias("h")).collect()
+    assert [tuple(x) for x in row.h] == [tuple(x) for x in source.scan_taint(text, ".py")] and len(row.h) == 1500
+    assert time.monotonic() - began < 60
+
+
+def test_nulls(spark):
+    (row,) = spark.createDataFrame([(None,)], "c string").select(code.tokens(F.col("c")).alias("t"), code.token_hits(F.col("c"), F.lit(".js")).alias("h"), code.taint_hits(F.col("c"), F.lit(".js")).alias("f")).collect()
+    assert (row.t, row.h, row.f) == ([], [], [])
+
+
+@pytest.mark.parametrize("make", [rules.taint_findings, rules.token_findings, rules.tokenize, lambda f: rules.dangerous_calls(rules.tokenize(f))])
+def test_no_python_worker_and_no_shuffle(spark, make):
+    plan = make(views.code(spark, "/root/testdata/sf0.1"))._jdf.queryExecution().executedPlan().toString()
+    assert "Arrow" not in plan and "Python" not in plan and "hashpartitioning" not in plan

@@ -82,8 +82,8 @@ def test_failing_detector_costs_no_other(spark, monkeypatch):
     def broken(*_):
         raise RuntimeError
 
-    monkeypatch.setattr(source, "scan_taint", broken)
-    got = list(rules.detect("a.py", ".py", "python", "eval(input())"))
+    monkeypatch.setattr(source, "scan_python", broken)
+    got = list(rules.detect("a.py", ".py", "python", "eval(input())", [], []))
     assert any(isinstance(h, RuntimeError) for _, h in got) and any(h and not isinstance(h, Exception) for _, h in got)
 
 
