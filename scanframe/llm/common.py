@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from scanframe.plans.stages import materialise, shared_dir, spread
 
-__all__ = ["HOT_SHARE", "WHITE_SPACE", "WORD", "dealt_table", "in_parts", "lookup", "materialise", "shared_dir", "table"]
+__all__ = ["HOT_SHARE", "WHITE_SPACE", "WORD", "dealt_table", "few", "fresh", "in_parts", "lookup", "materialise", "shared_dir", "table"]
 
 #: A word is a run of anything but the six ASCII white-space characters. ``bytes.split()`` on
 #: UTF-8 cuts at exactly these; ``str.split()`` would also cut at non-ASCII white space.
@@ -22,6 +22,26 @@ WHITE_SPACE = " \t\n\x0b\x0c\r"
 #: HOT_SHARE hot keys, whatever the size of the input.
 HOT_SHARE = 1000
 
+#: Rows of a few numbers each that are sent to every task at most: some 50 MB once hashed.
+FEW = 1 << 19
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``df`` has, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def few(keys: DataFrame) -> DataFrame:
+    """``keys``, which must be materialised, to be sent to every task if they are FEW at most; more of
+    them meet the other side by shuffle."""
+    return F.broadcast(keys) if keys.limit(FEW + 1).count() <= FEW else keys
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named table of a data folder."""

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanframe.llm.common import WHITE_SPACE, lookup, materialise, shared_dir, table
+from scanframe.llm.common import WHITE_SPACE, fresh, lookup, materialise, shared_dir, table
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -109,14 +109,14 @@ def drop_copies(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
 
     Of rows that repeat both text and doc_id any one stays.
     """
-    kept = materialise(exact_groups(docs, index).filter("kept").select("doc_id", F.unhex("text_sha256").alias("digest")), "kept")
+    own, digest, i = fresh(docs, "own", "digest", "i")
+    kept = materialise(exact_groups(docs, index).filter("kept").select(F.col("doc_id").alias(i), F.unhex("text_sha256").alias(digest)), "kept")
     text = F.coalesce(F.col("text"), F.lit(""))
-    marked = docs.withColumn("_digest", F.unhex(F.sha2(F.translate(text, WHITE_SPACE, ""), 256)))
-    same = marked["doc_id"].eqNullSafe(kept["doc_id"]) & (marked["_digest"] == kept["digest"])
-    stay = marked.join(kept, same, "left_semi")
-    if kept.groupBy("doc_id", "digest").count().filter("count > 1").limit(1).count():
-        stay = stay.dropDuplicates(["_digest"])
-    return stay.drop("_digest")
+    marked = docs.withColumn(own, F.unhex(F.sha2(F.translate(text, WHITE_SPACE, ""), 256)))
+    stay = marked.join(kept, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(own) == F.col(digest)), "left_semi")
+    if kept.groupBy(i, digest).count().filter("count > 1").limit(1).count():
+        stay = stay.dropDuplicates([own])
+    return stay.drop(own)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

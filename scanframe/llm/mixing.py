@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scanframe.llm.common import WORD, dealt_table, lookup, materialise
+from scanframe.llm.common import WORD, dealt_table, fresh, lookup, materialise
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -267,10 +267,11 @@ def resample(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     # rows of one id and text, which nothing tells apart, share what they take
     alike = placed.groupBy("rank", "doc_id", "digest", "size").agg(F.avg("taken").alias("mean"))
     shared = materialise(alike.select("rank", "doc_id", "digest", "size", F.round("mean").cast("long").alias("taken")), "taken")
-    taken = whole_copies(shared).groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.max("copies").alias("_copies"))
-    same = docs["doc_id"].eqNullSafe(taken["_id"]) & (F.xxhash64(docs["text"]) == taken["_digest"])
-    joined = docs.join(taken.hint("merge"), same).filter("_copies > 0")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copy", "_copies", "_id", "_digest")
+    i, digest, copies, copy = fresh(docs, "i", "digest", "copies", "copy")
+    taken = whole_copies(shared).groupBy(F.col("doc_id").alias(i), F.col("digest").alias(digest)).agg(F.max("copies").alias(copies))
+    same = F.col("doc_id").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(digest))
+    joined = docs.join(taken.hint("merge"), same).filter(F.col(copies) > 0)
+    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copy)).drop(copy)
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

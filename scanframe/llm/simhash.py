@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanframe.llm.common import dealt_table, lookup, materialise
+from scanframe.llm.common import dealt_table, few, fresh, lookup, materialise
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -38,8 +38,8 @@ BANDS = 20
 BAND_HASHES = 5
 #: A shard of more fingerprints is linked as a whole: the exact check parts it again.
 LARGE_SHARD = 1 << 13
-#: About so many texts of a component of candidates are compared in one task.
-PART = 512
+#: About so many texts of a component of candidates, and bytes of them, are compared in one task.
+PART, PART_BYTES = 512, 16 << 20
 
 
 def fingerprint(text: bytes | None, size: int = SHINGLE_WORDS, seed: int = SEED) -> int:
@@ -292,9 +292,9 @@ def band_keys(own: np.ndarray) -> list[int]:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """``doc_id, digest, node, fp, shards`` of every row.
+    """``doc_id, digest, size, node, fp, shards`` of every row.
 
-    ``digest``: hash of the text; ``node``, ``fp`` and ``shards``: name, fingerprint and band
+    ``digest`` and ``size``: hash and bytes of the text; ``node``, ``fp`` and ``shards``: name, fingerprint and band
     keys of its set of shingles. Rows of equal sets share a node.
     """
 
@@ -303,10 +303,10 @@ def sketches(docs: DataFrame) -> DataFrame:
             sets = [shingles(t.as_py()) for t in b.column(2)]
             nodes, fps = (pa.array(np.array([f(own) for own in sets], np.uint64).view(np.int64)) for f in (set_key, set_fingerprint))
             keys = [np.array(band_keys(own), np.uint64).view(np.int64) for own in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), nodes, fps, pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "digest", "node", "fp", "shards"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), nodes, fps, pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "digest", "size", "node", "fp", "shards"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), F.col("text").cast("binary").alias("text"))
-    return texts.mapInArrow(run, "doc_id long, digest long, node long, fp long, shards array<long>")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), F.col("text").cast("binary").alias("text"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
+    return texts.mapInArrow(run, "doc_id long, digest long, size long, node long, fp long, shards array<long>")
 
 
 def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
@@ -428,24 +428,25 @@ def similar_roots(sets: list[np.ndarray], least: float = SIMILAR, root: np.ndarr
 def similar_links(docs: DataFrame, members: DataFrame) -> DataFrame:
     """``node, root`` of the nodes that are similar to another: candidates checked exactly.
 
-    ``members``: ``loose, node, doc_id, digest``, the row of ``docs`` that stands for a node and
-    the candidates' component it lies in. A task holds the shingles of about PART nodes: larger
+    ``members``: ``loose, node, doc_id, digest, size``, the row of ``docs`` that stands for a node and
+    the candidates' component it lies in. A task holds the shingles of about PART nodes or PART_BYTES: larger
     components are dealt to parts, each of which compares its nodes with each other and with
     the component's first node. What that leaves unlinked to the first node is compared with
     all other nodes of the component, a part of the one with a part of the others at a time,
     so no pair of texts is left out; nodes linked to the first need no comparison of their own.
     """
-    sizes = materialise(members.groupBy("loose").agg(F.count("*").alias("m"), F.min("node").alias("centre")), "sizes")
-    sized = lookup(members, sizes, "loose", "m").withColumn("parts", F.ceil(F.col("m") / PART))
+    sizes = materialise(members.groupBy("loose").agg(F.count("*").alias("m"), F.sum("size").alias("bytes"), F.min("node").alias("centre")), "sizes")
+    sized = lookup(members, sizes, "loose", "m").withColumn("parts", _parts("m", "bytes")).drop("bytes")
     dealt = materialise(sized.withColumn("part", _part("node", "parts")), "dealt")
     every = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
     units = dealt.withColumn("part", F.explode(F.when(F.col("node") == F.col("centre"), every).otherwise(F.array("part"))))
     found = materialise(_linked(docs, units.select(F.xxhash64("loose", "part").alias("unit"), "node", F.col("node").alias("root"), F.lit(False).alias("asks"), "doc_id", "digest")).distinct(), "found")
     large = dealt.filter("parts > 1").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    counted = materialise(large.groupBy("loose").agg(F.count("*").alias("m"), F.sum((F.col("root") != F.col("centre")).cast("long")).alias("apart")).filter("apart > 0"), "counted")
+    apart = (F.col("root") != F.col("centre")).cast("long")
+    counted = materialise(large.groupBy("loose").agg(F.count("*").alias("m"), F.sum(apart).alias("apart"), F.sum(apart * F.col("size")).alias("bytes")).filter("apart > 0"), "counted")
     if not counted.limit(1).count():
         return found
-    large = materialise(lookup(large.drop("m"), counted, "loose", "m").withColumn("others", F.ceil(F.col("apart") / PART)), "large")
+    large = materialise(lookup(large.drop("m"), counted, "loose", "m").withColumn("others", _parts("apart", "bytes")), "large")
     against = F.sequence(F.lit(0).cast("long"), F.col("others") - 1)
     asking = large.filter("root != centre").withColumn("other", _part("root", "others")).withColumn("part", F.explode(every)).withColumn("asks", F.lit(True))
     asked = large.withColumn("other", F.explode(against)).withColumn("asks", F.lit(False))
@@ -458,6 +459,10 @@ def similar_links(docs: DataFrame, members: DataFrame) -> DataFrame:
     return moved.unionByName(top.select(F.col("root").alias("node"), F.col("top").alias("root"))).distinct()
 
 
+def _parts(nodes: str, size: str) -> Column:
+    return F.greatest(F.ceil(F.col(nodes) / PART), F.ceil(F.col(size) / PART_BYTES))
+
+
 def _part(key: str, parts: str) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(SEED)), F.col(parts))
 
@@ -488,6 +493,7 @@ def _linked(docs: DataFrame, units: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[0][linked]), pa.array(pairs[1][linked])], ["node", "root"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_digest"), F.col("text").cast("binary").alias("text"))
+    units = few(materialise(units, "units"))
     met = texts.join(units, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_digest") == F.col("digest")))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return met.select("unit", "node", "root", "asks", "text").repartition(n, "unit").sortWithinPartitions("unit", "node").mapInArrow(run, "node long, root long")
@@ -503,18 +509,18 @@ def drop_similar(docs: DataFrame) -> DataFrame:
     """
     rows = materialise(sketches(docs), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first")
-    distinct = materialise(rows.groupBy("node").agg(first, F.first("fp").alias("fp"), F.first("shards").alias("shards")), "distinct")
+    distinct = materialise(rows.groupBy("node").agg(first, F.first("fp").alias("fp"), F.max("size").alias("size"), F.first("shards").alias("shards")), "distinct")
     loose = components(wide_links(distinct)).select("node", F.col("root").alias("loose"))
-    members = materialise(distinct.join(loose, "node").select("loose", "node", "first.doc_id", "first.digest"), "members")
+    members = materialise(distinct.join(loose, "node").select("loose", "node", "first.doc_id", "first.digest", "size"), "members")
     roots = materialise(similar_links(docs, members), "similar")
     rooted = materialise(distinct.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     # what goes is looked up, not what stays: it is far less
     kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.digest").alias("_digest"))
     own = rows.groupBy("doc_id", "digest").agg(F.count("*").alias("n"))
     flagged = materialise(own.join(kept, own["doc_id"].eqNullSafe(kept["_id"]) & (own["digest"] == kept["_digest"]), "left").select("doc_id", "digest", "n", F.col("_digest").isNull().alias("goes")), "flagged")
-    gone = flagged.filter("goes").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-    keyed = F.xxhash64(docs["text"])
-    stay = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (keyed == gone["_digest"]), "left_anti")
+    i, digest = fresh(docs, "i", "digest")
+    gone = few(materialise(flagged.filter("goes").select(F.col("doc_id").alias(i), F.col("digest").alias(digest)), "gone"))
+    stay = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(digest)), "left_anti")
     if flagged.filter("n > 1 AND NOT goes").limit(1).count():
         stay = stay.dropDuplicates(["doc_id", "text"])
     return stay
