@@ -9,6 +9,7 @@ _EXPORTS = {
     "files_from_table": "scanframe.sources.files",
     "files_from_tree": "scanframe.sources.files",
     "write_report": "scanframe.sources.sinks",
+    "save_report": "scanframe.sources.sinks",
     "register": "scanframe.functions.sql",
 }
 __all__ = list(_EXPORTS)

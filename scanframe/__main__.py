@@ -21,7 +21,8 @@ def main(argv: list[str] | None = None) -> dict:
     parser = argparse.ArgumentParser(prog="scanframe")
     parser.add_argument("folder")
     parser.add_argument("--report")
-    parser.add_argument("--kind", choices=list(sinks.WRITERS), default="json")
+    parser.add_argument("--save", help="a folder in any store, for a report in parts")
+    parser.add_argument("--kind", choices=list(sinks.DOCUMENTS), default="json")
     parser.add_argument("--settings")
     given = parser.parse_args(argv)
     settings = {}
@@ -36,6 +37,8 @@ def main(argv: list[str] | None = None) -> dict:
     result = {"summary": findings.summary(found).first().asDict(), "coverage": scan.scan_coverage(source).first().asDict()}
     if given.report:
         sinks.write_report(found, given.report, given.kind)
+    if given.save:
+        sinks.save_report(found, given.save, given.kind)
     print(json.dumps(result))
     return result
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from scanframe import tables
 from scanframe.functions import columns as C
 from scanframe.operators import context, dependencies, findings, graph, rules, syntax
 from scanframe.plans import scan, views
+from scanframe.plans.stages import shared_dir
 from scanframe.plans.views import CODE, DOCS, EXACT, FOUND, LEVEL, LINES, LINKS, PACKAGED, PATHS, RANK, UNIQUE, quoted, read
 from scanframe.schema import RANKED
 from scanframe.sources import files, reports, sinks
@@ -830,6 +832,15 @@ def sarif_results(spark, sf_dir):
     return views.found(spark, sf_dir).select(sinks.sarif_result().alias("row"))
 
 
+@query("SELECT to_json({'file': file, 'line': line, 'type': type, 'severity': severity, 'snippet': snippet, 'description': description, 'category': category, 'analyzer': analyzer})::VARCHAR AS row FROM found", FOUND)
+def saved_report(spark, sf_dir):
+    """A JSON report saved by the tasks, and its findings read back from the parts."""
+    folder = f"{shared_dir(spark)}/report-{uuid.uuid4().hex}"
+    sinks.save_report(views.found(spark, sf_dir), folder, "json")
+    lines = spark.read.text(folder).select(F.regexp_replace("value", ",$", "").alias("row"))
+    return lines.filter(F.startswith("row", F.lit('{"file"')))
+
+
 # ---------------------------------------------------------------- whole scans, streams
 
 
@@ -868,9 +879,6 @@ def incremental_keys(spark, sf_dir):
 
     Findings arrive as a stream of four files, a file a batch.
     """
-    import uuid
-
-    from scanframe.plans.stages import shared_dir
     from scanframe.streaming import incremental
 
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
@@ -893,9 +901,6 @@ def windowed_counts(spark, sf_dir):
 @query("SELECT path AS file, 1 AS line, 'Insecure HTTP' AS type FROM links WHERE contains(content, 'http://')", LINKS)
 def streamed_scan(spark, sf_dir):
     """Files arrive as a stream; findings are delivered batch by batch, then recomputed."""
-    import uuid
-
-    from scanframe.plans.stages import shared_dir
     from scanframe.streaming import incremental
 
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"

@@ -1,18 +1,26 @@
-"""Sinks: one document for a report, rendered row by row in native expressions.
+"""Sinks: a report as one document, rendered row by row in native expressions.
 
-The driver only concatenates: rows stream through ``toLocalIterator`` a partition at a time.
-For results too large for one document write ``ranked(findings)`` with Spark's own writers.
-All sinks raise on failure.
+``save_report`` writes it as the ``report`` data source does: each task a part, in a folder in any
+store that Arrow's file systems know, and the parts in the order of their names are the
+document; no row passes through the driver. ``write_report`` writes a single file on the driver's machine,
+for small reports: rows stream through ``toLocalIterator`` a partition at a time. All sinks
+raise on failure.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+import uuid
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from datetime import datetime, timezone
+from typing import NamedTuple
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from scanframe.functions import columns as C
 from scanframe.operators import findings as O
@@ -90,21 +98,23 @@ def _now() -> datetime:
     return datetime.now(timezone.utc)
 
 
-def write_json(findings: DataFrame, path: str) -> None:
+class Document(NamedTuple):
+    """What stands before, between and after the rows of a report."""
+
+    head: str
+    row: Column
+    between: str
+    tail: str
+
+
+def _json(findings: DataFrame) -> Document:
     counts = O.summary(findings).first().asDict()
     head = {"tool": TOOL, "version": VERSION, "generated": _now().isoformat(), "summary": {k: counts[k] for k in ("total", "critical", "high", "medium", "low")}}
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(json.dumps(head, indent=2)[:-2] + ',\n  "findings": [')
-        for k, row in enumerate(_rows(O.ranked(findings), json_row())):
-            f.write((",\n    " if k else "\n    ") + row)
-        f.write("\n  ]\n}\n")
+    return Document(json.dumps(head, indent=2)[:-2] + ',\n  "findings": [\n', json_row(), ",\n", "\n  ]\n}\n")
 
 
-def write_csv(findings: DataFrame, path: str) -> None:
-    with open(path, "w", encoding="utf-8-sig", newline="") as f:
-        f.write(",".join(CSV_COLUMNS) + "\r\n")
-        for row in _rows(O.ranked(findings), csv_row()):
-            f.write(row + "\r\n")
+def _csv(findings: DataFrame) -> Document:
+    return Document("\ufeff" + ",".join(CSV_COLUMNS) + "\r\n", F.concat(csv_row(), F.lit("\r\n")), "", "")
 
 
 _PAGE = """<!DOCTYPE html>
@@ -118,30 +128,125 @@ td,th{{border:1px solid #ccc;padding:4px 8px;text-align:left}}.critical{{color:#
 """
 
 
-def write_html(findings: DataFrame, path: str) -> None:
+def _html(findings: DataFrame) -> Document:
     counts = O.summary(findings).first().asDict()
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(_PAGE.format(when=_now().strftime("%Y-%m-%d %H:%M:%S"), **counts))
-        for row in _rows(O.ranked(findings), html_row()):
-            f.write(row + "\n")
-        f.write("</table></body></html>\n")
+    return Document(_PAGE.format(when=_now().strftime("%Y-%m-%d %H:%M:%S"), **counts), F.concat(html_row(), F.lit("\n")), "", "</table></body></html>\n")
 
 
-def write_sarif(findings: DataFrame, path: str) -> None:
+def _sarif(findings: DataFrame) -> Document:
     counts = O.summary(findings).first().asDict()
     rules = sorted(_rows(O.rollup(findings), sarif_rule()))  # a row a detector and category
     driver = {"name": TOOL, "version": VERSION, "rules": [json.loads(r) for r in rules], "properties": {"totalFindings": counts["total"], **{f"{k}Count": counts[k] for k in ("critical", "high", "medium", "low", "info")}}}
     invocation = {"executionSuccessful": True, "toolExecutionNotifications": [], "properties": {"scanStartTime": _now().isoformat(), "totalFindings": counts["total"]}}
-    with open(path, "w", encoding="utf-8") as f:
-        f.write('{"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": ' + json.dumps({"driver": driver}))
-        f.write(', "artifacts": [{"location": {"uri": ".", "uriBaseId": "%SRCROOT%"}}], "invocations": [' + json.dumps(invocation) + '], "results": [')
-        for k, row in enumerate(_rows(O.ranked(findings), sarif_result())):
-            f.write((",\n" if k else "\n") + row)
-        f.write("\n]}]}\n")
+    head = '{"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": ' + json.dumps({"driver": driver})
+    head += ', "artifacts": [{"location": {"uri": ".", "uriBaseId": "%SRCROOT%"}}], "invocations": [' + json.dumps(invocation) + '], "results": [\n'
+    return Document(head, sarif_result(), ",\n", "\n]}]}\n")
 
 
-WRITERS = {"json": write_json, "csv": write_csv, "html": write_html, "sarif": write_sarif}
+DOCUMENTS = {"json": _json, "csv": _csv, "html": _html, "sarif": _sarif}
 
 
 def write_report(findings: DataFrame, path: str, kind: str) -> None:
-    WRITERS[kind](findings, path)
+    """One file on the driver's machine. ``findings`` is read more than once."""
+    document = DOCUMENTS[kind](findings)
+    with open(path, "w", encoding="utf-8", newline="") as f:
+        f.write(document.head)
+        for k, row in enumerate(_rows(O.ranked(findings), document.row)):
+            f.write((document.between if k else "") + row)
+        f.write(document.tail)
+
+
+def save_report(findings: DataFrame, path: str, kind: str) -> None:
+    """A folder of parts, written by the tasks; it replaces what is there. ``findings`` is read more than once."""
+    document = DOCUMENTS[kind](findings)
+    findings.sparkSession.dataSource.register(ReportSink)
+    rows = O.ranked(findings).select(document.row.alias("row"))
+    rows.write.format(ReportSink.name()).mode("overwrite").options(head=document.head, between=document.between, tail=document.tail).save(path)
+
+
+class ReportSink(DataSource):
+    """``df.write.format("report").options(head=, between=, tail=).save(uri)``: the strings of the
+    one column, in the order of the partitions, as parts whose names sort as the document goes.
+
+    A task's part is written under a name of its attempt, so a repeated or a lost task leaves no
+    half part behind; on commit the driver names the parts of the attempts that counted, and
+    adds the head, the tail and what stands between parts. A report with ``tail`` is whole.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "report"
+
+    def writer(self, schema, overwrite: bool) -> "ReportWriter":
+        return ReportWriter(dict(self.options), overwrite)
+
+
+@dataclass
+class Part(WriterCommitMessage):
+    number: int
+    file: str
+    rows: int
+
+
+class ReportWriter(DataSourceArrowWriter):
+    def __init__(self, options: dict[str, str], overwrite: bool):
+        self.options, self.overwrite, self.run = options, overwrite, uuid.uuid4().hex
+        store, base = self._store()
+        if not overwrite and self._names(store, base):
+            raise ValueError(f"{options['path']} holds a report already")
+
+    def _store(self):
+        from pyarrow import fs
+
+        uri = self.options["path"].rstrip("/")
+        if uri.startswith("file:/"):
+            uri = uri.removeprefix("file:").replace("///", "/", 1)
+        return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+
+    def _names(self, store, base: str) -> list[str]:
+        from pyarrow import fs
+
+        return sorted(i.base_name for i in store.get_file_info(fs.FileSelector(base, allow_not_found=True)) if i.type == fs.FileType.File)
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Part:
+        store, base = self._store()
+        task, rows = TaskContext.get(), 0
+        number, file = task.partitionId(), f"_{self.run}-{task.taskAttemptId()}"
+        out = None
+        for batch in iterator:
+            for row in batch.column(0).to_pylist():
+                if out is None:
+                    store.create_dir(base, recursive=True)
+                    out = store.open_output_stream(f"{base}/{file}")
+                out.write(((self.options.get("between", "") if rows else "") + row).encode())
+                rows += 1
+        if out is not None:
+            out.close()
+        return Part(number, file, rows)
+
+    def commit(self, messages) -> None:
+        store, base = self._store()
+        store.create_dir(base, recursive=True)
+        for name in self._names(store, base):  # an earlier report, its tail first; what lost attempts of this one left
+            if not name.startswith("_"):
+                store.delete_file(f"{base}/{name}")
+        own = sorted((m for m in messages if m and m.rows), key=lambda m: m.number)
+        self._put(store, f"{base}/part-00000000-head", self.options.get("head", ""))
+        for k, m in enumerate(own):
+            if k and self.options.get("between"):
+                self._put(store, f"{base}/part-{m.number + 1:08}-a", self.options["between"])
+            store.move(f"{base}/{m.file}", f"{base}/part-{m.number + 1:08}-b")
+        self._put(store, f"{base}/part-99999999-tail", self.options.get("tail", ""))
+        self._clear(store, base)
+
+    def abort(self, messages) -> None:
+        self._clear(*self._store())
+
+    def _put(self, store, path: str, text: str) -> None:
+        with store.open_output_stream(path) as f:
+            f.write(text.encode())
+
+    def _clear(self, store, base: str) -> None:
+        for name in self._names(store, base):
+            if name.startswith(f"_{self.run}"):
+                store.delete_file(f"{base}/{name}")

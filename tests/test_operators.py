@@ -204,7 +204,7 @@ def test_reports_take_defaults(spark):
 def test_writers(spark, tmp_path):
     rows = [("a,b.py", 0, 'T"<1>', "CRITICAL", "d & é", "c", "pattern", 0, 1), ("z.py", 3, "u", "odd", "line\nend", "c", "taint", 0, 2)]
     df = make(spark, rows)
-    for kind in sinks.WRITERS:
+    for kind in sinks.DOCUMENTS:
         sinks.write_report(df, str(tmp_path / kind), kind)
     doc = json.loads((tmp_path / "json").read_text())
     assert doc["summary"] == {"total": 2, "critical": 1, "high": 0, "medium": 0, "low": 0} and [f["line"] for f in doc["findings"]] == [0, 3]
