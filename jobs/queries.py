@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from jobs import common, exposure_report, text_watch
-from scanframe import tables
-from scanframe.functions.source import VALIDATED
+from scanframe.plans import rule_sql
 from scanframe.plans.stages import shared_dir
-from scanframe.plans.views import quoted
 
 
 def job1_text_watch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,33 +37,9 @@ _PAGES = (
 )
 
 
-def _matches(rule: tuple[str, ...]) -> str:
-    """``source, file, line, type, severity, category, snippet, seq`` of one rule on ``texts``.
-
-    SQL's patterns have no look-ahead, so what the one rule with such must not match is masked.
-    """
-    name, pattern, severity, category, _ = rule
-    content = "content"
-    if private := re.fullmatch(r"http://\(\?!(.*)\)", pattern):
-        content, pattern = f"regexp_replace(content, '(?i)http://({private[1]})', 'xxxx://\\1', 'g')", "http://"
-    p = quoted(f"(?i){pattern}")
-    v = "lower(trim(trim(q), '''\"'))"
-    placeholder = (
-        f"({v} IN ({', '.join(map(quoted, tables.PLACEHOLDERS))}) OR length({v}) < 6 OR regexp_matches({v}, '^[$%<{{\\[]|[}}>\\]]$') OR regexp_matches({v}, '^[x*.·_-]*$') "
-        f"OR contains(q, '{{{{') OR contains(q, '{{%') OR (contains({v}, '%') AND length(replace(replace({v}, '%s', ''), '%d', '')) < 3))"
-    )
-    checked = f" WHERE q = '' OR NOT {placeholder}" if name in VALIDATED else ""
-    quotes = "regexp_extract(m, '''[^''\\n]{2,}''|\"[^\"\\n]{2,}\"|`[^`\\n]{2,}`', 0)"
-    return f"""SELECT source, file, line::INTEGER AS line, {quoted(name)} AS type, {quoted(severity)} AS severity, {quoted(category)} AS category, 'sha256:' || sha256(m) AS snippet, k AS seq FROM (
-  SELECT source, file, k, m, 1 + length(t) - length(replace(t, chr(10), '')) AS line, CASE WHEN {quotes} = '' THEN '' ELSE {quotes}[2:-2] END AS q FROM (
-    SELECT source, file, k, ms[k] AS m, array_to_string(ms[1:k - 1], '') || array_to_string(ps[1:k], '') AS t FROM (
-      SELECT source, file, ms, ps, unnest(range(1, len(ms) + 1)) AS k FROM (
-        SELECT source, file, regexp_extract_all(c, {p}) AS ms, string_split_regex(c, {p}) AS ps FROM (SELECT source, file, {content} AS c FROM texts) WHERE regexp_matches(c, {p})))))""" + checked
-
-
 def _found(*texts: str) -> str:
-    each = "\n  UNION ALL ".join(_matches(r) for r in common.catalogue(("secret", "config")))
-    return f"WITH texts AS ({' UNION ALL '.join(texts)}),\nfound AS (\n  {each})"
+    each = rule_sql.found(common.catalogue(("secret", "config")), keep="source, file")
+    return f"WITH texts AS ({' UNION ALL '.join(texts)}),\nfound AS (SELECT *, 'sha256:' || sha256(match) AS snippet FROM (\n  {each}))"
 
 
 _LONG = "NULL::BIGINT AS"

@@ -6,9 +6,11 @@ import ast
 import re
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
-from functools import cache
+from functools import cache, cached_property
 from typing import NamedTuple
 
+import ahocorasick
+
 from scanframe import tables
 
 try:
@@ -161,24 +163,53 @@ def compile_rule(name: str, pattern: str, severity: str, category: str, descript
     return Rule(name, regex, severity, category, description, needles(pattern), is_credible if name in VALIDATED else None)
 
 
-def compile_rules(rows) -> tuple[Rule, ...]:
-    return tuple(r for row in rows if (r := compile_rule(*row)))
+class Rules(tuple):
+    """Rules in order, and one automaton of all literals that their matches require.
+
+    The automaton reads a text once, whatever the number of rules, and names those that may
+    match; rules without such a literal always may.
+    """
+
+    @cached_property
+    def _automaton(self) -> tuple[ahocorasick.Automaton | None, frozenset[int]]:
+        of: dict[str, set[int]] = {}
+        for k, rule in enumerate(self):
+            for needle_ in rule.needles:
+                of.setdefault(needle_, set()).add(k)
+        automaton = ahocorasick.Automaton() if of else None
+        for word, own in of.items():
+            automaton.add_word(word, own)
+        if of:
+            automaton.make_automaton()
+        return automaton, frozenset(k for k, rule in enumerate(self) if not rule.needles)
+
+    def candidates(self, low: str) -> list[Rule]:
+        """The rules that may match a text, given in lower case; in their order."""
+        automaton, free = self._automaton
+        found = set(free)
+        for _, own in automaton.iter(low) if automaton else ():
+            found |= own
+        return [self[k] for k in sorted(found)]
+
+
+def compile_rules(rows) -> Rules:
+    return Rules(r for row in rows if (r := compile_rule(*row)))
 
 
 @cache
-def config_rules() -> tuple[Rule, ...]:
+def config_rules() -> Rules:
     return compile_rules(tables.CONFIG_RULES)
 
 
 @cache
-def secret_rules() -> tuple[Rule, ...]:
+def secret_rules() -> Rules:
     from scanframe.secrets_family import SECRET_RULES
 
     return compile_rules(SECRET_RULES)
 
 
 @cache
-def language_rules(ext: str) -> tuple[Rule, ...]:
+def language_rules(ext: str) -> Rules:
     return compile_rules(r[:5] for r in tables.LANGUAGE_RULES if ext in r[5].split())
 
 
@@ -188,11 +219,11 @@ def line_starts(text: str) -> list[int]:
 
 def scan_rules(text: str, rules: tuple[Rule, ...], analyzer: str = "pattern") -> Iterator[Hit]:
     """Every non-overlapping match of every rule, rule by rule."""
-    low, starts = text.lower(), line_starts(text)
-    lines = text.split("\n")
-    for rule in rules:
-        if rule.needles and not any(n in low for n in rule.needles):
-            continue
+    own = rules if isinstance(rules, Rules) else Rules(rules)
+    if not (may := own.candidates(text.lower())):
+        return
+    starts, lines = line_starts(text), text.split("\n")
+    for rule in may:
         for m in rule.regex.finditer(text):
             if rule.credible is None or rule.credible(m[0]):
                 n = bisect_right(starts, m.start())

@@ -144,6 +144,17 @@ def match_native(files: DataFrame, name: str, pattern: str, severity: str, categ
     )
 
 
+_RULE = ("type", "pattern", "severity", "category", "description")
+
+
+def may_match(content: Column, catalogue) -> Column:
+    """The rules of a catalogue, as structs, that may match a text: it holds a literal which their
+    matches require, or they require none."""
+    entry = lambda r: F.struct(*[F.lit(v).alias(n) for n, v in zip(_RULE, r, strict=True)], F.array(*map(F.lit, source.needles(r[1]))).cast("array<string>").alias("needles"))
+    known = F.array(*[entry(r) for r in catalogue])
+    return C.let(F.lower(content), lambda low: F.filter(known, lambda r: (F.size(r["needles"]) == 0) | F.exists(r["needles"], lambda n: F.contains(low, n))))
+
+
 def hits(content: Column, catalogue) -> Column:
     """``array<struct<type, severity, category, description, line, match, snippet, seq>>``: every
     match of every rule of a catalogue ``(name, pattern, severity, category, description)`` in a text.
@@ -152,17 +163,13 @@ def hits(content: Column, catalogue) -> Column:
     What is quoted in matches of the rules named in ``VALIDATED`` must not be a placeholder.
     ``seq`` counts a rule's matches. The patterns must mean the same in Java.
     """
-    names = ("type", "pattern", "severity", "category", "description")
-    entry = lambda r: F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r, strict=True)], F.array(*map(F.lit, source.needles(r[1]))).cast("array<string>").alias("needles"))
-    known = F.array(*[entry(r) for r in catalogue])
-    may = C.let(F.lower(content), lambda low: F.filter(known, lambda r: (F.size(r["needles"]) == 0) | F.exists(r["needles"], lambda n: F.contains(low, n))))
 
     def of(r: Column) -> Column:
-        hit = lambda m, k: F.struct(*[r[n].alias(n) for n in names if n != "pattern"], *[m[n].alias(n) for n in ("line", "match", "snippet")], (k + 1).cast("long").alias("seq"))
+        hit = lambda m, k: F.struct(*[r[n].alias(n) for n in _RULE if n != "pattern"], *[m[n].alias(n) for n in ("line", "match", "snippet")], (k + 1).cast("long").alias("seq"))
         credible = lambda x: ~x["type"].isin(*source.VALIDATED) | C.is_credible(x["match"])
         return F.filter(F.transform(C.match_lines(content, r["pattern"]), hit), credible)
 
-    return F.coalesce(F.flatten(F.transform(may, of)), F.array().cast(HITS))
+    return F.coalesce(F.flatten(F.transform(may_match(content, catalogue), of)), F.array().cast(HITS))
 
 
 def occurrences(files: DataFrame, catalogue) -> DataFrame:

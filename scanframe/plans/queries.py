@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from scanframe import tables
 from scanframe.functions import columns as C
+from scanframe.functions import source
 from scanframe.operators import context, dependencies, findings, graph, rules, syntax
-from scanframe.plans import scan, views
+from scanframe.plans import rule_sql, scan, views
 from scanframe.plans.stages import shared_dir
 from scanframe.plans.views import CODE, DOCS, EXACT, FOUND, LEVEL, LINES, LINKS, PACKAGED, PATHS, RANK, UNIQUE, quoted, read
 from scanframe.schema import RANKED
+from scanframe.secrets_family import SECRET_RULES
 from scanframe.sources import files, reports, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -281,11 +283,17 @@ def needle_prefilter(spark, sf_dir):
     return views.links(spark, sf_dir).agg(F.count("*").alias("files"), F.count_if(passed).alias("passed"))
 
 
-@query(
-    f"SELECT ext, count(*) AS rules FROM (VALUES {', '.join(f'({quoted(e)})' for r in tables.LANGUAGE_RULES for e in r[5].split())}) t(ext) GROUP BY 1 UNION ALL SELECT NULL, {len(tables.CONFIG_RULES)}"
-)
+_OWN_RULES = ", ".join(f"({quoted(e)}, {quoted(r[0])})" for r in tables.LANGUAGE_RULES for e in r[5].split())
+
+
+@query(f"SELECT ext, count(*) AS files, (SELECT count(*) FROM (VALUES {_OWN_RULES}) r(own, name) WHERE own = ext) + {len(tables.CONFIG_RULES)} AS rules FROM named GROUP BY ext", PATHS)
 def rule_catalogue(spark, sf_dir):
-    return rules.rules_table(spark).groupBy("ext").agg(F.count("*").alias("rules"))
+    """The files of each extension, and the rules that they are judged by: their own and those for all."""
+    catalogue = rules.rules_table(spark)
+    own = catalogue.filter("ext IS NOT NULL").groupBy("ext").agg(F.count("*").alias("own"))
+    shared = len(tables.CONFIG_RULES)
+    counted = views.paths(spark, sf_dir).groupBy("ext").agg(F.count("*").alias("files")).join(F.broadcast(own), "ext", "left")  # a row an extension that has rules
+    return counted.select("ext", "files", (F.coalesce("own", F.lit(0)) + shared).alias("rules"))
 
 
 @query(
@@ -297,14 +305,41 @@ def catalogue_on_links(spark, sf_dir):
     return rules.procedural(views.links(spark, sf_dir)).groupBy("type").agg(F.count("*").alias("n"))
 
 
-@query(
-    "SELECT unnest(['Hex Token', 'Python eval(input)']) AS type, unnest([n, 0])::BIGINT AS n FROM (SELECT sum(len(regexp_extract_all(content, 'token\\s*=\\s*\"[0-9a-f]{40}\"', 0, 'i'))) AS n FROM docs)",
-    DOCS,
-)
+#: The rules that run on every text, and what they find in documents, urls, pages and programs.
+EVERYWHERE = (*SECRET_RULES, *tables.CONFIG_RULES)
+_HITS = f"hits AS ({rule_sql.found(EVERYWHERE)})"
+
+
+@query("SELECT type, count(*) AS n FROM hits GROUP BY 1", DOCS, "texts AS (SELECT path AS file, content FROM docs)", _HITS)
 def catalogue_on_documents(spark, sf_dir):
-    """Documents through the whole catalogue; only the counts of two rules are reported."""
-    found = rules.procedural(views.docs(spark, sf_dir))
-    return found.agg(*[F.count_if(F.col("type") == t).alias(t) for t in ("Hex Token", "Python eval(input)")]).selectExpr("stack(2, 'Hex Token', `Hex Token`, 'Python eval(input)', `Python eval(input)`) AS (type, n)")
+    """Documents through the whole catalogue in Arrow batches: how often each rule is met."""
+    return rules.procedural(views.docs(spark, sf_dir)).groupBy("type").agg(F.count("*").alias("n"))
+
+
+_TEXTS = "texts AS (SELECT path AS file, content FROM docs UNION ALL SELECT path, content FROM links UNION ALL SELECT path, content FROM pages_ UNION ALL SELECT path, content FROM code)"
+
+
+def _everything(spark, sf_dir):
+    return views.docs(spark, sf_dir).unionByName(views.links(spark, sf_dir)).unionByName(views.pages(spark, sf_dir)).unionByName(views.code(spark, sf_dir))
+
+
+@query("SELECT file, line, type, severity, category, description FROM hits", DOCS, LINKS, views.PAGES, CODE, _TEXTS, _HITS)
+def native_catalogue(spark, sf_dir):
+    """Secret and configuration rules on every text, in native expressions."""
+    return rules.occurrences(_everything(spark, sf_dir), EVERYWHERE).select("file", "line", "type", "severity", "category", "description")
+
+
+_NEEDLES = ", ".join(f"({quoted(r[0])}, [{_list(source.needles(r[1]))}])" for r in EVERYWHERE)
+
+
+@query(
+    f"SELECT type, count(*) AS n FROM texts JOIN (VALUES {_NEEDLES}) r(type, needles) ON len(list_filter(needles, lambda x: contains(lower(content), x))) > 0 GROUP BY 1",
+    DOCS, LINKS, views.PAGES, CODE, _TEXTS,
+)
+def rule_candidates(spark, sf_dir):
+    """How many texts each rule is tried on, by the literals that its matches require."""
+    may = rules.may_match(F.col("content"), EVERYWHERE)
+    return _everything(spark, sf_dir).select(F.explode(may).alias("r")).groupBy(F.col("r.type").alias("type")).agg(F.count("*").alias("n"))
 
 
 #: What the rule, token, syntax-tree and taint detectors find in the programs, by hand.
@@ -790,11 +825,14 @@ def finding_prompt(spark, sf_dir):
     return findings.prompt(findings.dedup(views.found(spark, sf_dir)))
 
 
-@query(f"SELECT list_sort(list_distinct([{_list(tables.SLASH_COMMENT_EXTS)}])) AS slash, list_sort(list_filter(list_distinct([{_list(tables.SLASH_COMMENT_EXTS)}, '.php', '.css', '.scss']), lambda x: x <> '.lua')) AS blocks")
+_MARKS = {"hash": tables.HASH_COMMENT_EXTS, "slash": tables.SLASH_COMMENT_EXTS, "block": tuple(sorted(source.BLOCK_COMMENT_EXTS))}
+
+
+@query(f"SELECT ext, count(*) AS files, {', '.join(f'ext IN ({_list(exts)}) AS {mark}' for mark, exts in _MARKS.items())} FROM named WHERE ext <> '' GROUP BY ext", PATHS)
 def comment_dialects(spark, sf_dir):
-    slash = F.array(*map(F.lit, tables.SLASH_COMMENT_EXTS))
-    more = F.array(F.lit(".php"), F.lit(".css"), F.lit(".scss"))
-    return spark.range(1).select(F.array_sort(slash).alias("slash"), F.array_sort(F.array_union(F.array_except(slash, F.array(F.lit(".lua"))), more)).alias("blocks"))
+    """The files of each extension, and the comments that end there."""
+    own = views.paths(spark, sf_dir).filter("ext <> ''").groupBy("ext").agg(F.count("*").alias("files"))
+    return own.select("ext", "files", *[F.col("ext").isin(*exts).alias(mark) for mark, exts in _MARKS.items()])
 
 
 # ---------------------------------------------------------------- sinks
@@ -851,26 +889,14 @@ def full_scan(spark, sf_dir):
     return scan.scan(everything)
 
 
-TOKEN_LINES = """token_lines AS (
-  SELECT DISTINCT path, line FROM (SELECT path, unnest(range(1, len(s) + 1)) AS line, unnest(s) AS raw FROM (SELECT path, string_split(content, chr(10)) AS s FROM docs))
-  WHERE regexp_matches(raw, 'token\\s*=\\s*"[0-9a-f]{40}"', 'i'))"""
-
-
 @query(
-    "SELECT severity, count(*) AS n FROM (SELECT 'LOW' AS severity FROM links WHERE contains(content, 'http://') UNION ALL SELECT 'HIGH' FROM token_lines) GROUP BY 1",
-    DOCS,
-    LINKS,
-    TOKEN_LINES,
-)
+    "SELECT severity, count(*) AS n FROM (SELECT DISTINCT file, line, severity, upper(category) FROM hits) GROUP BY 1",
+    DOCS, LINKS, "texts AS (SELECT path AS file, content FROM docs UNION ALL SELECT path, content FROM links)", _HITS,
+)
 def flagship(spark, sf_dir):
-    """Documents and urls through the rule catalogue, two-level dedup and severity counts.
-
-    Only two rules are reported, so that SQL can follow: Hex Token, and Insecure HTTP on urls.
-    ``full_scan`` returns the findings of all rules.
-    """
+    """Documents and urls through the secret and configuration rules, both levels of dedup, and counts by severity."""
     both = views.docs(spark, sf_dir).unionByName(views.links(spark, sf_dir))
-    found = rules.procedural(both).filter(F.col("type").isin("Hex Token", "Insecure HTTP"))
-    return findings.dedup(found.filter("type = 'Hex Token' OR file LIKE 'links/%'")).groupBy("severity").agg(F.count("*").alias("n"))
+    return findings.dedup(rules.occurrences(both, EVERYWHERE)).groupBy("severity").agg(F.count("*").alias("n"))
 
 
 @query("SELECT file, line, type FROM exact", FOUND, EXACT)

@@ -106,6 +106,24 @@ def test_needles_occur_in_generated_matches(data):
     assert not found or any(n in match.lower().replace("\u017f", "s") for n in found)
 
 
+_PIECES = (
+    "eval(input())", "os.system(x)", "pickle.load(f)", "token = \"" + "0a" * 20 + '"', "AKIA" + "A1B2C3D4E5F6G7H8", "http://a", "DEBUG = True", "verify=False", "e.printStackTrace()", "print(token)", "innerHTML = x", "logger.info('a' + b)",
+    "password = 'hunter22x'", "FileField", "params[", "md5(", "exec(", "SELECT ", "\n", " ", "x", "ſ", "İ", "K", "'", '"', "$_GET['a']", "unserialize($x)", "Runtime.getRuntime().exec(c)", "strcpy(a, b)",
+)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(_PIECES), max_size=12), st.sampled_from(sorted({e for r in tables.LANGUAGE_RULES for e in r[5].split()})))
+def test_the_prefilter_loses_no_match(pieces, ext):
+    """One automaton of all literals against every rule on every text."""
+    text = "".join(pieces)
+    for own in (source.secret_rules(), source.config_rules(), source.language_rules(ext)):
+        may = own.candidates(text.lower())
+        assert [r.name for r in own if r.regex.search(text) and r not in may] == []
+        assert [r for r in own if r in may] == may
+        assert list(source.scan_rules(text, own)) == list(source.scan_rules(text, tuple(r._replace(needles=()) for r in own)))
+
+
 def test_rule_lines_and_snippets():
     rule = source.compile_rule("r", r"b\s*c", "LOW", "X", "d")
     hits = list(source.scan_rules("a\n  b\nc  \n\nB c" + "z" * 200, (rule,)))
