@@ -914,6 +914,18 @@ def incremental_keys(spark, sf_dir):
     return spark.read.schema(RANKED).parquet(f"{base}/found/batch=*").select("file", "line", "type")
 
 
+@query("SELECT file, line, type, severity, snippet, description, category, analyzer, stage, seq FROM uniq", FOUND, EXACT, UNIQUE)
+def incremental_dedup(spark, sf_dir):
+    """Both levels of dedup kept up to date while findings arrive, a file a batch: the same in the end as over all at once."""
+    from scanframe.streaming import incremental
+
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    views.found(spark, sf_dir).repartition(4).write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(RANKED).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    incremental.start_found(incremental.dedup_of_each(stream), f"{base}/found", f"{base}/checkpoint", mode="update").awaitTermination()
+    return incremental.latest(spark, f"{base}/found")
+
+
 @query(
     "SELECT time_bucket(INTERVAL '5 minutes', ts) AS start, event_type AS severity, count(*) AS n FROM events GROUP BY ALL",
 )

@@ -1,14 +1,17 @@
 """Incremental scans: findings while files arrive, then the final result.
 
-Micro-batches deliver findings exactly deduplicated; the final result recomputes both levels
-of dedup over everything, since which finding of a group is the longest is only known then.
+``first_of_each`` delivers findings exactly deduplicated, and ``final`` recomputes both levels of
+dedup over everything. ``dedup_of_each`` keeps both levels up to date as findings arrive: the
+longest description of a group replaces an earlier one, and ``latest`` reads what holds now.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -35,6 +38,42 @@ def first_of_each(found: DataFrame) -> DataFrame:
     return found.dropDuplicates(["file", "line", "type"])
 
 
+def dedup_of_each(found: DataFrame) -> DataFrame:
+    """Streaming findings: for each line of a file that a batch brings findings for, all that both
+    levels of dedup leave of the line's findings so far (see ``latest``).
+
+    The state of a line is its first finding of each type, so it is bounded by the rules that can
+    meet on a line, and no key is hot. Whatever the batches, the last state is ``findings.dedup`` of all findings.
+    """
+    return found.groupBy("file", "line").applyInPandasWithState(_deduplicated, RANKED, "held string", "update", "NoTimeout")
+
+
+def _deduplicated(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    held = {r["type"]: r for r in json.loads(state.get[0])} if state.exists else {}
+    place = lambda r: (r["stage"], r["seq"])
+    for part in parts:
+        for r in part.to_dict("records"):
+            r = {k: None if pd.isna(v) else int(v) if k in ("line", "stage", "seq") else v for k, v in r.items()}
+            if r["type"] not in held or place(r) < place(held[r["type"]]):
+                held[r["type"]] = r
+    state.update((json.dumps(list(held.values())),))
+    groups: dict[tuple, list[dict]] = {}
+    for r in held.values():
+        groups.setdefault((r["severity"], (r["category"] or "").upper()), []).append(r)
+    kept = []
+    for own in groups.values():
+        best = min(own, key=lambda r: (-len(r["description"] or ""), place(r)))
+        kept.append(best | dict(zip(("stage", "seq"), min(map(place, own)), strict=True)))
+    yield pd.DataFrame(kept, columns=RANKED.names)
+
+
+def latest(spark: SparkSession, found_dir: str) -> DataFrame:
+    """Of what ``dedup_of_each`` has delivered, each line's last version."""
+    found = spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in RANKED.fields)}, batch long").parquet(found_dir)
+    newest = F.max("batch").over(Window.partitionBy("file", "line"))
+    return found.withColumn("newest", newest).filter("batch = newest").select(RANKED.names)
+
+
 def windowed_counts(events: DataFrame, delay: str = "10 minutes", width: str = "5 minutes", slide: str | None = None) -> DataFrame:
     """Findings by severity in event-time windows of ``ts``; late ones count within ``delay``."""
     window = F.window("ts", width, slide) if slide else F.window("ts", width)
@@ -51,15 +90,15 @@ def start(files: DataFrame, found_dir: str, checkpoint: str, deliver: Callable[[
     return start_found(stream_findings(files), found_dir, checkpoint, deliver, trigger)
 
 
-def start_found(found: DataFrame, found_dir: str, checkpoint: str, deliver: Callable[[DataFrame, int], None] | None = None, trigger: str | None = None) -> StreamingQuery:
-    """As ``start``, for a stream of findings (see ``first_of_each``)."""
+def start_found(found: DataFrame, found_dir: str, checkpoint: str, deliver: Callable[[DataFrame, int], None] | None = None, trigger: str | None = None, mode: str = "append") -> StreamingQuery:
+    """As ``start``, for a stream of findings (see ``first_of_each``); ``mode`` is "update" for ``dedup_of_each``."""
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{found_dir}/batch={number}")
         if deliver:
             deliver(batch.sparkSession.read.schema(RANKED).parquet(f"{found_dir}/batch={number}"), number)
 
-    writer = found.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = found.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=trigger) if trigger else writer.trigger(availableNow=True)).start()
 
 
