@@ -4,6 +4,8 @@ _EXPORTS = {
     "detect": "scanframe.plans.scan",
     "scan": "scanframe.plans.scan",
     "scan_coverage": "scanframe.plans.scan",
+    "scan_covered": "scanframe.plans.scan",
+    "register_detector": "scanframe.plans.scan",
     "ranked": "scanframe.operators.findings",
     "summary": "scanframe.operators.findings",
     "files_from_table": "scanframe.sources.files",

@@ -33,8 +33,9 @@ def main(argv: list[str] | None = None) -> dict:
     options = {"max_bytes": settings["max_bytes"]} if "max_bytes" in settings else {}
     source = files.files_from_tree(spark, given.folder, **options).cache()
     more = reports.reports(spark, settings.get("reports", {}), given.folder)
-    found = scan.scan(source, tuple(settings.get("detectors", scan.DEFAULT)), more).cache()
-    result = {"summary": findings.summary(found).first().asDict(), "coverage": scan.scan_coverage(source).first().asDict()}
+    found, covered = scan.scan_covered(source, tuple(settings.get("detectors", scan.DEFAULT)), more)
+    found = found.cache()
+    result = {"summary": findings.summary(found).first().asDict(), "coverage": covered.first().asDict()}
     if given.report:
         sinks.write_report(found, given.report, given.kind)
     if given.save:

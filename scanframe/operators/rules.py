@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,7 @@ from scanframe.functions import code, source
 from scanframe.schema import STAGE
 
 _ARROW = [("file", pa.string()), ("line", pa.int32()), *[(n, pa.string()) for n in ("type", "severity", "snippet", "description", "category", "analyzer")], ("stage", pa.int32()), ("seq", pa.int64())]
+_SCANNED = [*_ARROW, ("status", pa.string()), ("errors", pa.string())]
 HITS = "array<struct<type:string,severity:string,category:string,description:string,line:int,match:string,snippet:string,seq:bigint>>"
 RANKED_DDL = "file string, line int, type string, severity string, snippet string, description string, category string, analyzer string, stage int, seq long"
 
@@ -65,29 +67,67 @@ def _native() -> tuple[Column, Column]:
     return calls.alias("calls"), flows.alias("flows")
 
 
-def procedural(files: DataFrame) -> DataFrame:
-    """Findings of the secret, config and language detectors: one pass over the files.
+#: A detector of a user's own: (content, extension) to findings; it runs in Arrow batches.
+Detector = Callable[[str, str], Iterable[source.Hit]]
+
+
+def scanned(files: DataFrame, extra: dict[str, Detector] | None = None) -> DataFrame:
+    """RANKED findings of the secret, config and language detectors and of ``extra``, and beside them a
+    row a file with ``status`` and ``errors`` (null for findings): one pass over the files.
 
     Tokens and taint are native; rules in Python's regex dialect and syntax trees run in Arrow
-    batches, which hand the native findings on in their place.
+    batches, which hand the native findings on in their place. A file is ``failed`` if a detector
+    raised, which costs no other's findings, ``skipped`` if its content is null, else
+    ``analyzed``; there is nothing to find in empty ones.
     """
+    more = dict(extra or {})
+
+    def of(path: str, ext: str, language: str, content: str | None, calls: list, flows: list) -> Iterator[tuple]:
+        if content is None:
+            yield (path, *[None] * 9, "skipped", "")
+            return
+        counts: dict[str, int] = {}
+        errors = []
+        native = ([source.Hit(**h) for h in found] for found in (calls, flows))
+        for stage, found in (*detect(path, ext, language, content, *native), *_tried(more, content, ext)) if content else ():
+            if isinstance(found, Exception):
+                errors.append(f"{stage}: {type(found).__name__}")
+                continue
+            for h in found:
+                own = stage if stage in STAGE else "language"
+                counts[own] = counts.get(own, 0) + 1
+                yield (path, *h, STAGE[own], counts[own], None, None)
+        yield (path, *[None] * 9, "failed" if errors else "analyzed", "; ".join(errors))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for path, ext, language, content, calls, flows in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                counts: dict[str, int] = {}
-                native = ([source.Hit(**h) for h in found] for found in (calls, flows))
-                for stage, found in detect(path, ext, language, content, *native):
-                    if isinstance(found, Exception):
-                        continue
-                    for h in found:
-                        counts[stage] = counts.get(stage, 0) + 1
-                        rows.append((path, *h, STAGE[stage], counts[stage]))
+            rows = [r for file in zip(*(c.to_pylist() for c in b.columns), strict=True) for r in of(*file)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), _ARROW, strict=True)], [n for n, _ in _ARROW])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), _SCANNED, strict=True)], [n for n, _ in _SCANNED])
+
+    return files.select("path", "ext", "language", "content", *_native()).mapInArrow(run, f"{RANKED_DDL}, status string, errors string")
+
+
+def _tried(detectors: dict[str, Detector], content: str, ext: str) -> Iterator[tuple[str, list[source.Hit] | Exception]]:
+    for name, find in detectors.items():
+        try:
+            yield name, list(find(content, ext))
+        except Exception as e:  # noqa: BLE001
+            yield name, e
 
-    return files.filter(F.col("content") != "").select("path", "ext", "language", "content", *_native()).mapInArrow(run, RANKED_DDL)
+
+def procedural(files: DataFrame, extra: dict[str, Detector] | None = None) -> DataFrame:
+    """The findings of ``scanned``."""
+    return findings_of(scanned(files.filter(F.col("content") != ""), extra))
+
+
+def findings_of(rows: DataFrame) -> DataFrame:
+    return rows.filter("status IS NULL").drop("status", "errors")
+
+
+def status_of(rows: DataFrame) -> DataFrame:
+    """``path, status, errors`` of each file that ``scanned`` has seen."""
+    return rows.filter("status IS NOT NULL").select(F.col("file").alias("path"), "status", "errors")
 
 
 def taint_findings(files: DataFrame) -> DataFrame:
@@ -106,22 +146,8 @@ def _of_native(files: DataFrame, which: int) -> DataFrame:
 
 
 def status(files: DataFrame) -> DataFrame:
-    """``path, status, errors``: analyzed, or failed if a detector raised; empty files count
-    as analyzed, as there is nothing to find in them; null content counts as skipped."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for path, ext, language, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if content is None:
-                    rows.append((path, "skipped", ""))
-                    continue
-                errors = [f"{s}: {type(h).__name__}" for s, h in detect(path, ext, language, content, [], []) if isinstance(h, Exception)]
-                rows.append((path, "failed" if errors else "analyzed", "; ".join(errors)))
-            columns = zip(*rows, strict=True) if rows else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["path", "status", "errors"])
-
-    return files.select("path", "ext", "language", "content").mapInArrow(run, "path string, status string, errors string")
+    """``status_of`` a scan of its own."""
+    return status_of(scanned(files))
 
 
 def match_native(files: DataFrame, name: str, pattern: str, severity: str, category: str, description: str, stage: str = "config") -> DataFrame:
@@ -155,32 +181,71 @@ def may_match(content: Column, catalogue) -> Column:
     return C.let(F.lower(content), lambda low: F.filter(known, lambda r: (F.size(r["needles"]) == 0) | F.exists(r["needles"], lambda n: F.contains(low, n))))
 
 
-def hits(content: Column, catalogue) -> Column:
+#: What makes a match of a rule count: a condition on the match.
+Validators = dict[str, Callable[[Column], Column]]
+
+
+def hits(content: Column, catalogue, validators: Validators | None = None) -> Column:
     """``array<struct<type, severity, category, description, line, match, snippet, seq>>``: every
     match of every rule of a catalogue ``(name, pattern, severity, category, description)`` in a text.
 
     Native, and one pass: a rule is tried on texts that hold a literal which its matches require.
-    What is quoted in matches of the rules named in ``VALIDATED`` must not be a placeholder.
-    ``seq`` counts a rule's matches. The patterns must mean the same in Java.
+    What is quoted in matches of the rules named in ``VALIDATED`` must not be a placeholder, and
+    ``validators`` judge the matches of the rules that they name. ``seq`` counts a rule's
+    matches. The patterns must mean the same in Java.
     """
 
     def of(r: Column) -> Column:
         hit = lambda m, k: F.struct(*[r[n].alias(n) for n in _RULE if n != "pattern"], *[m[n].alias(n) for n in ("line", "match", "snippet")], (k + 1).cast("long").alias("seq"))
-        credible = lambda x: ~x["type"].isin(*source.VALIDATED) | C.is_credible(x["match"])
-        return F.filter(F.transform(C.match_lines(content, r["pattern"]), hit), credible)
+
+        def counts(x: Column) -> Column:
+            good = ~x["type"].isin(*source.VALIDATED) | C.is_credible(x["match"])
+            for name, judge in (validators or {}).items():
+                good &= (x["type"] != name) | F.coalesce(judge(x["match"]), F.lit(False))
+            return good
+
+        return F.filter(F.transform(C.match_lines(content, r["pattern"]), hit), counts)
 
     return F.coalesce(F.flatten(F.transform(may_match(content, catalogue), of)), F.array().cast(HITS))
 
 
-def occurrences(files: DataFrame, catalogue) -> DataFrame:
+def occurrences(files: DataFrame, catalogue, validators: Validators | None = None) -> DataFrame:
     """RANKED findings of a catalogue in native expressions: a row a match, rules in their order."""
-    found = files.select("path", F.posexplode(hits(F.col("content"), catalogue)).alias("k", "m"))
+    return _occurred(files, catalogue, validators).drop("match")
+
+
+def _occurred(files: DataFrame, catalogue, validators: Validators | None) -> DataFrame:
+    found = files.select("path", F.posexplode(hits(F.col("content"), catalogue, validators)).alias("k", "m"))
     return found.select(
         F.col("path").alias("file"), "m.line", "m.type", "m.severity", "m.snippet", "m.description", "m.category", F.lit("pattern").alias("analyzer"),
-        F.lit(STAGE["config"]).alias("stage"), (F.col("k") + 1).cast("long").alias("seq"),
+        F.lit(STAGE["config"]).alias("stage"), (F.col("k") + 1).cast("long").alias("seq"), "m.match",
     )
 
 
+#: Rules that a table may hold: they are part of the plan.
+MOST_RULES = 5000
+
+
+def table_findings(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """RANKED findings of the rules in a table: ``name, pattern, severity, category, description``, and
+    ``validator``, a SQL condition on ``match, file, line, snippet`` that a match must meet, or null.
+
+    A pattern that does not compile is an error, as is a table of more than MOST_RULES.
+    """
+    own = rules.select("name", "pattern", "severity", "category", "description", "validator").orderBy("name").limit(MOST_RULES + 1).collect()
+    if len(own) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    if not own:
+        return files.sparkSession.createDataFrame([], RANKED_DDL)
+    for r in own:
+        re.compile(r.pattern)
+    found = _occurred(files, [tuple(r)[:5] for r in own], None)
+    for r in own:
+        if r.validator:
+            found = found.filter((F.col("type") != r.name) | F.coalesce(F.expr(r.validator), F.lit(False)))
+    return found.drop("match")
+
+
 def suspicious_files(files: DataFrame) -> DataFrame:
     """Files that are findings by their name, empty ones too: a join with a fixed table."""
     spark = files.sparkSession

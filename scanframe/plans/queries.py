@@ -13,7 +13,7 @@ from scanframe.functions import columns as C
 from scanframe.functions import source
 from scanframe.operators import context, dependencies, findings, graph, rules, syntax
 from scanframe.plans import rule_sql, scan, views
-from scanframe.plans.stages import shared_dir
+from scanframe.plans.stages import materialise, shared_dir
 from scanframe.plans.views import CODE, DOCS, EXACT, FOUND, LEVEL, LINES, LINKS, PACKAGED, PATHS, RANK, UNIQUE, quoted, read
 from scanframe.schema import RANKED
 from scanframe.secrets_family import SECRET_RULES
@@ -813,6 +813,48 @@ def scan_coverage(spark, sf_dir):
     return scan.scan_coverage(code.withColumn("content", F.when(~F.startswith("path", F.lit("tests/")), F.col("content"))))
 
 
+@query(
+    "SELECT count(*) AS discovered, count(*) FILTER (WHERE path NOT LIKE 'tests/%') AS queued, count(*) FILTER (WHERE path NOT LIKE 'tests/%' AND ext <> '.php') AS analyzed, count(*) FILTER (WHERE path LIKE 'tests/%') AS skipped, "
+    "count(*) FILTER (WHERE path NOT LIKE 'tests/%' AND ext = '.php') AS failed, (SELECT count(*) FROM code JOIN expected USING (ext) WHERE path NOT LIKE 'tests/%') + count(*) FILTER (WHERE path NOT LIKE 'tests/%' AND ext <> '.php') AS findings FROM code",
+    CODE,
+    _EXPECTED,
+)
+def covered_scan(spark, sf_dir):
+    """Coverage and findings of one pass, with a detector of the user's own that fails on some files."""
+
+    def first_line(content, ext):
+        if ext == ".php":
+            raise ValueError(content)
+        yield source.Hit(1, "First Line", "INFO", content.split("\n")[0], "", "QUALITY", "own")
+
+    code = views.code(spark, sf_dir)
+    rows = rules.scanned(code.withColumn("content", F.when(~F.startswith("path", F.lit("tests/")), F.col("content"))), {"own": first_line})
+    rows = materialise(rows, "scanned")
+    return findings.coverage(rules.status_of(rows)).withColumn("findings", F.lit(rules.findings_of(rows).count()))
+
+
+_OWN = (
+    ("License Line", r"licensed under [^\n.]+", "INFO", "LICENSE", "A license is named.", "match NOT LIKE '%CC BY%' AND length(match) < 60"),
+    ("Number And Word", r"[0-9]{3}\s+[A-Za-z]+", "INFO", "QUALITY", "A number stands before a word.", "length(match) > 9"),
+    ("Odd Token", r"token\s*=", "LOW", "SECRET", "A token is assigned.", None),
+)
+
+
+@query(
+    "SELECT file, line, type, severity, category FROM hits WHERE " + " AND ".join(f"(type <> {quoted(r[0])} OR ({r[5]}))" for r in _OWN if r[5]),
+    DOCS, "texts AS (SELECT path AS file, content FROM docs)", f"hits AS ({rule_sql.found([r[:5] for r in _OWN])})",
+)
+def custom_rules(spark, sf_dir):
+    """Rules from a table, each with a condition of its own, as a detector that is registered for this scan."""
+    own = spark.createDataFrame(_OWN, "name string, pattern string, severity string, category string, description string, validator string")
+    scan.register_detector("own", detector := lambda files: rules.table_findings(files, own))
+    try:
+        return scan.detect(views.docs(spark, sf_dir), ("own",)).select("file", "line", "type", "severity", "category")
+    finally:
+        assert scan.DETECTORS["own"] is detector
+        scan.forget_detector("own")
+
+
 @query(
     f"""SELECT 'Explain these findings, most urgent first, and how to fix them.' || chr(10) || 'Findings (' || (SELECT count(*) FROM uniq) || ' total):' || chr(10)
     || (SELECT string_agg('- [' || severity || '] ' || type || ' in ' || file || ':' || line || ' - ' || left(description, 100), chr(10) ORDER BY {RANK}, file, stage, seq) FROM (SELECT * FROM uniq ORDER BY {RANK}, file, stage, seq LIMIT 20))

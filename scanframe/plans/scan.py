@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanframe.operators import context, dependencies, findings, graph, rules, syntax
+from scanframe.plans.stages import materialise
 
-#: Detectors by name, each from files to findings; the first five always run.
-DETECTORS = {
+#: Detectors by name, each from files to findings; those of DEFAULT run unless others are named.
+DETECTORS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "file": rules.suspicious_files,
     "rules": rules.procedural,
     "context": context.context_findings,
@@ -31,6 +34,29 @@ def scan(files: DataFrame, detectors: tuple[str, ...] = DEFAULT, reports: DataFr
     return findings.dedup(found if reports is None else found.unionByName(reports))
 
 
+def register_detector(name: str, detector: Callable[[DataFrame], DataFrame]) -> None:
+    """Make ``detector``, from FILE rows to RANKED findings, known to ``detect`` and ``scan`` by name."""
+    if name in DETECTORS and DETECTORS[name] is not detector:
+        raise ValueError(f"there is a detector {name} already")
+    DETECTORS[name] = detector
+
+
+def forget_detector(name: str) -> None:
+    DETECTORS.pop(name, None)
+
+
+def scan_covered(files: DataFrame, detectors: tuple[str, ...] = DEFAULT, reports: DataFrame | None = None, extra: dict[str, rules.Detector] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The findings of ``scan`` and the coverage, from one pass of the procedural detectors.
+
+    Their rows, findings and a status a file, are written to the shared folder, and both results read them.
+    ``extra`` are detectors of the user's own, by name, which run in the same pass.
+    """
+    rows = materialise(rules.scanned(files, extra), "scanned")
+    others = [DETECTORS[d](files) for d in detectors if d != "rules"]
+    found = findings.union(rules.findings_of(rows), *others)
+    return findings.dedup(found if reports is None else found.unionByName(reports)), findings.coverage(rules.status_of(rows))
+
+
 def scan_coverage(files: DataFrame) -> DataFrame:
     return findings.coverage(rules.status(files))
 
