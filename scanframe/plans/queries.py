@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from scanframe import tables
 from scanframe.functions import columns as C
 from scanframe.functions import source
-from scanframe.operators import context, dependencies, findings, graph, rules, syntax
+from scanframe.operators import context, dependencies, findings, graph, prompts, rules, syntax
 from scanframe.plans import rule_sql, scan, views
 from scanframe.plans.stages import materialise, shared_dir
 from scanframe.plans.views import CODE, DOCS, EXACT, FOUND, LEVEL, LINES, LINKS, PACKAGED, PATHS, RANK, UNIQUE, quoted, read
@@ -867,6 +867,26 @@ def finding_prompt(spark, sf_dir):
     return findings.prompt(findings.dedup(views.found(spark, sf_dir)))
 
 
+@query(
+    f"SELECT path, 'Review this ' || language || ' file for security vulnerabilities.' || chr(10) || 'File: ' || path || chr(10) || '```' || language || chr(10) || left(content, 200) || chr(10) || '```' || {quoted(prompts._TASK)} AS prompt FROM code",
+    CODE,
+)
+def file_prompts(spark, sf_dir):
+    """A request to review each program, of which the first characters are shown."""
+    return prompts.file_prompts(views.code(spark, sf_dir), 200)
+
+
+@query(
+    "SELECT conv_id, to_json({'contents': contents, 'systemInstruction': {'parts': [{'text': coalesce(instruction, " + quoted(prompts.INSTRUCTION) + ")}]}})::VARCHAR AS request FROM "
+    "(SELECT conv_id, list({'role': CASE WHEN role = 'assistant' THEN 'model' ELSE 'user' END, 'parts': [{'text': coalesce(text, '')}]} ORDER BY turn) AS contents "
+    "FROM (SELECT * FROM conversations WHERE role <> 'system' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4) GROUP BY conv_id) "
+    "LEFT JOIN (SELECT conv_id, arg_min(coalesce(text, ''), turn) AS instruction FROM conversations WHERE role = 'system' GROUP BY conv_id) USING (conv_id)"
+)
+def chat_requests(spark, sf_dir):
+    """The next request of each conversation: its instruction and its newest turns."""
+    return prompts.chat_requests(read(spark, sf_dir, "conversations"), 4)
+
+
 _MARKS = {"hash": tables.HASH_COMMENT_EXTS, "slash": tables.SLASH_COMMENT_EXTS, "block": tuple(sorted(source.BLOCK_COMMENT_EXTS))}
 
 

@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from scanframe.operators import findings, rules
 from scanframe.schema import FILE, RANKED
@@ -108,6 +108,53 @@ def final(spark: SparkSession, found_dir: str, *more: DataFrame) -> DataFrame:
     return findings.ranked(findings.dedup(findings.union(found, *more)))
 
 
+#: The name under which a stream counts the files that it has read.
+COUNTED = "files_read"
+
+
+def counted(files: DataFrame) -> DataFrame:
+    """Streaming files, counted as they are read (see ``Progress``)."""
+    return files.observe(COUNTED, F.count(F.lit(1)).alias("files"), F.count_if(F.col("content").isNull()).alias("skipped"))
+
+
+class Progress(StreamingQueryListener):
+    """How far a scan of ``counted`` files is: add it with ``spark.streams.addListener``.
+
+    Counts are those of finished batches, so what it says has been delivered: after
+    ``query.stop()`` it tells how much of the files ``final`` is the result of.
+    """
+
+    def __init__(self, total: int, told: Callable[[dict], None] | None = None):
+        self.total, self.told = total, told
+        self.files = self.skipped = self.batches = 0
+        self.ended = False
+
+    def state(self) -> dict:
+        """``files`` read of ``total``, ``percent``, ``skipped``, ``batches``, and whether the query has ``ended``."""
+        percent = 100 if not self.total else min(100, 100 * self.files // self.total)
+        return {"files": self.files, "total": self.total, "percent": percent, "skipped": self.skipped, "batches": self.batches, "ended": self.ended}
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        row = event.progress.observedMetrics.get(COUNTED)
+        if row is not None and row.files:
+            self.files += row.files
+            self.skipped += row.skipped
+            self.batches += 1
+            if self.told:
+                self.told(self.state())
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self.ended = True
+        if self.told:
+            self.told(self.state())
+
+
 def progress(query: StreamingQuery) -> dict:
     """``batch`` and ``files`` read in the latest batch, and whether more is there."""
     p = query.lastProgress
