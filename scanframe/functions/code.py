@@ -57,23 +57,27 @@ def tokens(content: Column) -> Column:
     those of the text, whatever was dropped before.
 
     Tokens and the gaps between them make up the text, so where a token starts is a running sum
-    of (lines, characters since the last line end) over both.
+    of lengths over both, its line one of line ends, and its column what lies between it and
+    the line's start. All sums are of plain numbers: a struct's fields would each sum again.
     """
-    pattern = _alternation()
-    extent = lambda s: F.struct((F.length(s) - F.length(F.replace(s, F.lit("\n")))).cast("int").alias("lines"), F.length(F.substring_index(s, "\n", -1)).alias("chars"))
-    add = lambda a, x: F.struct((a["lines"] + x["lines"]).alias("lines"), F.when(x["lines"] > 0, x["chars"]).otherwise(a["chars"] + x["chars"]).alias("chars"))
-    zero = F.struct(F.lit(0).alias("lines"), F.lit(0).alias("chars"))
+    pattern, zero = _alternation(), F.lit(0)
+    add = lambda a, x: a + x
+    ends = lambda s: (F.length(s) - F.length(F.replace(s, F.lit("\n")))).cast("int")
+    both = lambda f, found, gaps: F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda v, g: f(g) + f(v))
 
-    def placed(found: Column, gaps: Column, calls: Column, before: Column) -> Column:
+    def placed(found: Column, gaps: Column, calls: Column, rows: Column, chars: Column, starts: Column) -> Column:
         def token(v: Column, k: Column) -> Column:
-            at = add(F.get(before, k), extent(F.get(gaps, k)))
-            return F.struct(_class(v, F.get(calls, k)).alias("type"), v.alias("value"), (at["lines"] + 1).alias("line"), at["chars"].alias("col"))
+            line = F.get(rows, k) + ends(F.get(gaps, k))
+            at = F.get(chars, k) + F.length(F.get(gaps, k))
+            return F.struct(_class(v, F.get(calls, k)).alias("type"), v.alias("value"), (line + 1).alias("line"), (at - F.get(starts, line)).alias("col"))
 
         return F.filter(F.transform(found, token), lambda t: t["type"].isNotNull())
 
     def numbered(found: Column, gaps: Column) -> Column:
-        steps = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda v, g: extent(F.concat(g, v)))
-        kept = let(F.regexp_extract_all(content, F.lit(pattern), F.lit(1)), lambda calls: let(C.running(steps, zero, add), lambda before: placed(found, gaps, calls, before)))
+        calls = F.regexp_extract_all(content, F.lit(pattern), F.lit(1))
+        widths = F.transform(F.split(content, "\n"), lambda line: F.length(line) + 1)
+        sums = (calls, C.running(both(ends, found, gaps), zero, add), C.running(both(F.length, found, gaps), zero, add), C.running(widths, zero, add))
+        kept = let(sums[0], lambda c: let(sums[1], lambda r: let(sums[2], lambda n: let(sums[3], lambda s: placed(found, gaps, c, r, n, s)))))
         return F.transform(kept, lambda t, k: F.struct(k.alias("pos"), t["type"].alias("type"), t["value"].alias("value"), t["line"].alias("line"), t["col"].alias("col")))
 
     all_of = let(F.regexp_extract_all(content, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, let(F.split(content, pattern, -1), lambda gaps: numbered(found, gaps))))

@@ -234,7 +234,7 @@ def code_line_numbers(spark, sf_dir):
 
 
 def _rule_sql(view: str, name: str, pattern: str, severity: str, category: str, description: str) -> str:
-    return f"""m AS (SELECT path, content, regexp_extract_all(content, {quoted(pattern)}) AS ms, string_split_regex(content, {quoted(pattern)}) AS ps FROM {view} WHERE regexp_matches(content, {quoted(pattern)})),
+    return f"""m AS (SELECT path, content, regexp_extract_all(content, {quoted("(?i)" + pattern)}) AS ms, string_split_regex(content, {quoted("(?i)" + pattern)}) AS ps FROM {view} WHERE regexp_matches(content, {quoted("(?i)" + pattern)})),
 k AS (SELECT path, content, unnest(range(1, len(ms) + 1)) AS k, ms, ps FROM m),
 n AS (SELECT path, content, k, 1 + length(t) - length(replace(t, chr(10), '')) AS line FROM (SELECT path, content, k, array_to_string(ms[1:k - 1], '') || array_to_string(ps[1:k], '') AS t FROM k))
 SELECT path AS file, line::INTEGER AS line, {quoted(name)} AS type, {quoted(severity)} AS severity, left(trim(string_split(content, chr(10))[line]), 120) AS snippet, {quoted(description)} AS description,
