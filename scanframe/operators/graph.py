@@ -53,9 +53,13 @@ def _function_groups(language: str) -> tuple[int, ...]:
     return (1, 2, 3) if language == "javascript" else (1,)
 
 
-def _file_nodes(files: DataFrame) -> DataFrame:
-    """``path, language, found``: the nodes of a file as an array, so that neither numbering them
-    nor what is done file by file shuffles anything."""
+def nodes(files: DataFrame) -> DataFrame:
+    """At most one node a line.
+
+    What a line is: a comment; else a joined string, a source, a sink, an assignment or a
+    function definition, the first of these that it is. An assignment's variable and value are
+    kept whatever the node has become, as uses are looked up by them. Ids count a file's nodes.
+    """
     code = files.filter(F.col("language").isin(*LANGUAGES) & (F.col("content") != "")).select("path", "language", "content")
     lang = F.col("language")
 
@@ -79,44 +83,33 @@ def _file_nodes(files: DataFrame) -> DataFrame:
             joined.alias("joined"),
         )
 
-    def kind(x: Column) -> Column:
-        return (
-            F.when(x["is_comment"], "comment")
-            .when(x["joined"], "string_concat")
-            .when(x["source"].isNotNull(), "source")
-            .when(x["sink"].isNotNull(), "sink")
-            .when(x["variable"].isNotNull(), "assignment")
-            .when(x["function"].isNotNull(), "function")
-        )
-
-    def node(x: Column) -> Column:
-        k = x["node_type"]
-        label = (
-            F.when(k == "comment", x["s"])
-            .when(k == "string_concat", F.left(x["s"], F.lit(60)))
-            .when(k == "source", F.rtrim(x["source"], F.lit("([")))
-            .when(k == "sink", F.rtrim(x["sink"], F.lit("(")))
-            .when(k == "assignment", F.concat(x["variable"], F.lit(" = "), F.left(F.coalesce(x["value"], F.lit("")), F.lit(50))))
-            .otherwise(x["function"])
-        )
-        own = lambda c: F.when(~x["is_comment"], x[c]).alias(c)
-        return F.struct(k.alias("node_type"), label.alias("label"), x["line"].alias("line"), own("variable"), own("value"), (k == "source").alias("is_source"), (k == "sink").alias("is_sink"), x["is_comment"].alias("is_comment"))
-
-    lines = F.filter(F.transform(F.split("content", "\n"), read), lambda x: x["s"] != "")
-    kinds = F.filter(F.transform(lines, lambda x: x.withField("node_type", kind(x))), lambda x: x["node_type"].isNotNull())
-    return code.select("path", "language", F.transform(kinds, node).alias("found"))
-
-
-def nodes(files: DataFrame) -> DataFrame:
-    """At most one node a line.
-
-    What a line is: a comment; else a joined string, a source, a sink, an assignment or a
-    function definition, the first of these that it is. An assignment's variable and value are
-    kept whatever the node has become, as uses are looked up by them. Ids count a file's nodes.
-    """
-    each = _file_nodes(files).select("path", "language", F.posexplode("found").alias("k", "x"))
-    return each.select(
-        "path", F.concat(F.lit("n"), (F.col("k") + 1).cast("string")).alias("id"), "x.node_type", "x.label", "x.line", "language", "x.variable", "x.value", "x.is_source", "x.is_sink", "x.is_comment",
+    # read within the file's row: once exploded, a filter on what was read would be pushed
+    # down together with all its patterns and run them again
+    parsed = code.select("path", "language", F.explode(F.transform(F.split("content", "\n"), read)).alias("x")).select("path", "language", "x.*").filter("s <> ''")
+    s = F.col("s")
+    kind = (
+        F.when(F.col("is_comment"), "comment")
+        .when(F.col("joined"), "string_concat")
+        .when(F.col("source").isNotNull(), "source")
+        .when(F.col("sink").isNotNull(), "sink")
+        .when(F.col("variable").isNotNull(), "assignment")
+        .when(F.col("function").isNotNull(), "function")
+    )
+    k = F.col("node_type")
+    label = (
+        F.when(k == "comment", s)
+        .when(k == "string_concat", F.left("s", F.lit(60)))
+        .when(k == "source", F.rtrim(F.col("source"), F.lit("([")))
+        .when(k == "sink", F.rtrim(F.col("sink"), F.lit("(")))
+        .when(k == "assignment", F.concat("variable", F.lit(" = "), F.left(F.coalesce("value", F.lit("")), F.lit(50))))
+        .otherwise(F.col("function"))
+    )
+    kept = parsed.withColumn("node_type", kind).filter("node_type IS NOT NULL")
+    number = F.row_number().over(Window.partitionBy("path").orderBy("line"))
+    own = lambda c: F.when(~F.col("is_comment"), F.col(c))
+    return kept.select(
+        "path", F.concat(F.lit("n"), number.cast("string")).alias("id"), "node_type", label.alias("label"), "line", "language", own("variable").alias("variable"),
+        own("value").alias("value"), (k == "source").alias("is_source"), (k == "sink").alias("is_sink"), "is_comment",
     )
 
 
@@ -429,14 +422,14 @@ def findings(found: DataFrame, flowing: DataFrame) -> DataFrame:
 
 
 def graph_findings(files: DataFrame) -> DataFrame:
-    """``findings`` of all files: a file's nodes are an array in its row, so nothing is shuffled."""
+    """``findings`` of all files in one pass over the nodes: numbering them has put each file's
+    into one partition, so nothing more is shuffled."""
     kinds = [pa.string(), pa.int32(), *[pa.string()] * 6, pa.int32(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        each = ((path.as_py(), found.as_py()) for b in batches for path, found in zip(b.column(0), b.column(1), strict=True))
-        return _batches((f for path, own in each for f in _findings_in(path, own)), kinds, RANKED.names)
+        return _batches((f for path, own in _by_file(batches) for f in _findings_in(path, own)), kinds, RANKED.names)
 
-    return _file_nodes(files).select("path", "found").mapInArrow(run, RANKED)
+    return nodes(files).sortWithinPartitions("path", "line").mapInArrow(run, RANKED)
 
 
 def _findings_in(path: str, own: list[dict]) -> Iterator[tuple]:
