@@ -7,11 +7,10 @@ longest description of a group replaces an earlier one, and ``latest`` reads wha
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
@@ -39,39 +38,37 @@ def first_of_each(found: DataFrame) -> DataFrame:
 
 
 def dedup_of_each(found: DataFrame) -> DataFrame:
-    """Streaming findings: for each line of a file that a batch brings findings for, all that both
-    levels of dedup leave of the line's findings so far (see ``latest``).
+    """Streaming findings: of each (file, line, type) the first so far, when a batch brings it or one before it.
 
-    The state of a line is its first finding of each type, so it is bounded by the rules that can
-    meet on a line, and no key is hot. Whatever the batches, the last state is ``findings.dedup`` of all findings.
+    A native aggregate, of the same rows as ``findings.dedup_exact``: the state of a key is one finding. What is
+    delivered only ever improves, so both levels of dedup follow from it (see ``latest``), whatever the batches.
     """
-    return found.groupBy("file", "line").applyInPandasWithState(_deduplicated, RANKED, "held string", "update", "NoTimeout")
-
-
-def _deduplicated(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    held = {r["type"]: r for r in json.loads(state.get[0])} if state.exists else {}
-    place = lambda r: (r["stage"], r["seq"])
-    for part in parts:
-        for r in part.to_dict("records"):
-            r = {k: None if pd.isna(v) else int(v) if k in ("line", "stage", "seq") else v for k, v in r.items()}
-            if r["type"] not in held or place(r) < place(held[r["type"]]):
-                held[r["type"]] = r
-    state.update((json.dumps(list(held.values())),))
-    groups: dict[tuple, list[dict]] = {}
-    for r in held.values():
-        groups.setdefault((r["severity"], (r["category"] or "").upper()), []).append(r)
-    kept = []
-    for own in groups.values():
-        best = min(own, key=lambda r: (-len(r["description"] or ""), place(r)))
-        kept.append(best | dict(zip(("stage", "seq"), min(map(place, own)), strict=True)))
-    yield pd.DataFrame(kept, columns=RANKED.names)
+    return findings.dedup_exact(found)
 
 
 def latest(spark: SparkSession, found_dir: str) -> DataFrame:
-    """Of what ``dedup_of_each`` has delivered, each line's last version."""
-    found = spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in RANKED.fields)}, batch long").parquet(found_dir)
-    newest = F.max("batch").over(Window.partitionBy("file", "line"))
-    return found.withColumn("newest", newest).filter("batch = newest").select(RANKED.names)
+    """What holds now, by both levels, of all that ``dedup_of_each`` has delivered: a longer description
+    has taken the place of an earlier one, and a first finding that of a later one."""
+    return findings.dedup(spark.read.schema(RANKED).parquet(found_dir))
+
+
+def latest_of_batch(spark: SparkSession, found_dir: str, number: int) -> DataFrame:
+    """``latest`` of the lines for which a batch has brought something, as of that batch."""
+    now = spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in RANKED.fields)}, batch long").parquet(found_dir)
+    touched = now.filter(F.col("batch") == number).select("file", "line").distinct()
+    return findings.dedup(now.filter(F.col("batch") <= number).join(touched, ["file", "line"], "left_semi"))
+
+
+@contextmanager
+def state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Streams that start within hold their state in RocksDB, so that it may outgrow the executors' memory."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def windowed_counts(events: DataFrame, delay: str = "10 minutes", width: str = "5 minutes", slide: str | None = None) -> DataFrame:
@@ -91,12 +88,14 @@ def start(files: DataFrame, found_dir: str, checkpoint: str, deliver: Callable[[
 
 
 def start_found(found: DataFrame, found_dir: str, checkpoint: str, deliver: Callable[[DataFrame, int], None] | None = None, trigger: str | None = None, mode: str = "append") -> StreamingQuery:
-    """As ``start``, for a stream of findings (see ``first_of_each``); ``mode`` is "update" for ``dedup_of_each``."""
+    """As ``start``, for a stream of findings (see ``first_of_each``); ``mode`` is "update" for ``dedup_of_each``,
+    of which ``deliver`` is handed ``latest_of_batch``."""
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{found_dir}/batch={number}")
         if deliver:
-            deliver(batch.sparkSession.read.schema(RANKED).parquet(f"{found_dir}/batch={number}"), number)
+            spark = batch.sparkSession
+            deliver(latest_of_batch(spark, found_dir, number) if mode == "update" else spark.read.schema(RANKED).parquet(f"{found_dir}/batch={number}"), number)
 
     writer = found.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=trigger) if trigger else writer.trigger(availableNow=True)).start()

@@ -31,3 +31,18 @@ def test_any_batches_end_as_all_at_once(spark, tmp_path):
     stream = spark.readStream.schema(RANKED).parquet(folder)
     incremental.start_found(incremental.dedup_of_each(stream), found, str(tmp_path / "checkpoint"), mode="update").awaitTermination()
     assert _rows(incremental.latest(spark, found)) == got
+
+
+def test_batches_are_delivered_by_both_levels_and_without_python(spark, tmp_path):
+    first = [("f", 1, "a", "HIGH", "s", "short", "c", "pattern", 1, 5), ("f", 2, "a", "HIGH", "s", "other", "c", "pattern", 1, 6)]
+    second = [("f", 1, "b", "HIGH", "s", "a longer one", "C", "pattern", 1, 7), ("f", 1, "a", "LOW", "s", "earlier", "c", "pattern", 0, 1)]
+    folder, told = str(tmp_path / "in"), {}
+    for rows in (first, second):
+        spark.createDataFrame(rows, RANKED).coalesce(1).write.mode("append").parquet(folder)
+        found = incremental.dedup_of_each(spark.readStream.schema(RANKED).parquet(folder))
+        assert "Pandas" not in found._jdf.queryExecution().analyzed().toString()
+        with incremental.state_on_disk(spark):
+            incremental.start_found(found, str(tmp_path / "found"), str(tmp_path / "checkpoint"), lambda b, n: told.update({n: _rows(b)}), mode="update").awaitTermination()
+    assert told[0] == _rows(findings.dedup(spark.createDataFrame(first, RANKED)))
+    # line 1 alone is touched: its first finding of type a is now another, in a group of its own
+    assert told[1] == [r for r in _rows(findings.dedup(spark.createDataFrame(first + second, RANKED))) if r[1] == 1]
