@@ -32,8 +32,8 @@ CHUNK = 1 << 15
 SIMILAR_WORDS = 5
 SIMILAR = 0.8
 WIDE_RADIUS = 26
-#: Candidates share one of BANDS bands of BAND_HASHES least hashes: 1 - (1 - 0.8^5)^20, or
-#: 0.9996, of the pairs of similarity SIMILAR do, and more of those above.
+#: Besides the shards of equal blocks there are those of BANDS bands of BAND_HASHES least hashes:
+#: 1 - (1 - 0.8^5)^20, or 0.9996, of the pairs of similarity SIMILAR share one, and more of those above.
 BANDS = 20
 BAND_HASHES = 5
 #: A shard of more fingerprints is linked as a whole: the exact check parts it again.
@@ -78,18 +78,17 @@ class BKTree:
     def __init__(self) -> None:
         self.root: tuple[int, dict] | None = None
 
-    def near(self, fp: int, radius: int) -> list[int]:
+    def near(self, fp: int, radius: int) -> Iterator[int]:
         """The fingerprints within ``radius``; only edges that can lead to one are followed."""
-        found, stack = [], [self.root] if self.root else []
+        stack = [self.root] if self.root else []
         while stack:
             at, children = stack.pop()
             d = (fp ^ at).bit_count()
             if d <= radius:
-                found.append(at)
+                yield at
             for k in range(d - radius, d + radius + 1):
                 if k in children:
                     stack.append(children[k])
-        return found
 
     def add(self, fp: int) -> None:
         if self.root is None:
@@ -291,18 +290,26 @@ def band_keys(own: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(least.reshape(BANDS, BAND_HASHES))]
 
 
+def block_keys(fp: int) -> list[int]:
+    """The shards of a fingerprint by its blocks, as those of ``links``: fingerprints within RADIUS share one."""
+    width = 64 // BLOCKS
+    parts = [(fp >> width * i & (1 << width) - 1).to_bytes(8, "big") for i in range(BLOCKS)]
+    return [xxhash.xxh64_intdigest(b"".join([b"block", *(parts[i] for i in kept)]), k) for k, kept in enumerate(combinations(range(BLOCKS), BLOCKS - RADIUS))]
+
+
 def sketches(docs: DataFrame) -> DataFrame:
     """``doc_id, digest, size, node, fp, shards`` of every row.
 
-    ``digest`` and ``size``: hash and bytes of the text; ``node``, ``fp`` and ``shards``: name, fingerprint and band
-    keys of its set of shingles. Rows of equal sets share a node.
+    ``digest`` and ``size``: hash and bytes of the text; ``node``, ``fp`` and ``shards``: name, fingerprint, and block
+    and band keys of its set of shingles. Rows of equal sets share a node.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(t.as_py()) for t in b.column(2)]
-            nodes, fps = (pa.array(np.array([f(own) for own in sets], np.uint64).view(np.int64)) for f in (set_key, set_fingerprint))
-            keys = [np.array(band_keys(own), np.uint64).view(np.int64) for own in sets]
+            nodes_fps = [[f(own) for own in sets] for f in (set_key, set_fingerprint)]
+            nodes, fps = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in nodes_fps)
+            keys = [np.array(block_keys(fp) + band_keys(own), np.uint64).view(np.int64) for fp, own in zip(nodes_fps[1], sets, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), nodes, fps, pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "digest", "size", "node", "fp", "shards"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), F.col("text").cast("binary").alias("text"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
@@ -327,16 +334,29 @@ def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch
 def wide_forest(nodes: np.ndarray, fps: np.ndarray, radius: int = WIDE_RADIUS) -> np.ndarray:
     """The node that stands for each one's tree, where links are ``radius`` bits long at most.
 
-    At such a radius a BK-tree visits nearly every entry, so distances are taken from arrays.
+    Each fingerprint searches the BK-tree of those before it. The search ends once all so far hang
+    together, as near copies do from the first hit on: what else it finds would link nothing.
     """
-    root = np.arange(len(nodes))
-    for i in range(1, len(nodes)):
-        met = np.unique(root[:i][np.bitwise_count(fps[:i] ^ fps[i]) <= radius])
-        if len(met):
-            root[i] = met[0]
-            if len(met) > 1:
-                root[:i][np.isin(root[:i], met[1:])] = met[0]
-    return nodes[root]
+    tree, first, root, apart = BKTree(), {}, list(range(len(nodes))), 0
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for i, fp in enumerate(fps.tolist()):
+        apart += 1
+        for other in tree.near(fp, radius):
+            a, b = top(i), top(first[other])
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                apart -= 1
+            if apart == 1:
+                break
+        if fp not in first:
+            first[fp] = i
+            tree.add(fp)
+    return nodes[[top(i) for i in range(len(nodes))]]
 
 
 def wide_links(distinct: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
@@ -505,7 +525,9 @@ def drop_similar(docs: DataFrame) -> DataFrame:
     The row with the smallest doc_id stays (null ids last); of rows that repeat its id and text
     one does. Texts are similar by the Jaccard similarity of their sets of five-word shingles
     (see ``shingles``), computed exactly for all pairs among candidates; texts without words
-    equal each other. Candidates share a band and differ by WIDE_RADIUS bits at most.
+    equal each other. Candidates meet in the BK-tree of a shard, where they differ by WIDE_RADIUS bits at
+    most; shards are those of equal fingerprint blocks, as of op10, and bands of least hashes, as
+    similar texts may differ in every two blocks.
     """
     rows = materialise(sketches(docs), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first")
