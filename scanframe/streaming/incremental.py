@@ -27,9 +27,11 @@ def stream_findings(files: DataFrame) -> DataFrame:
     """Streaming findings of the stateless detectors, each (file, line, type) once.
 
     The state holds the keys delivered so far. For endless streams give the files an event
-    time ``seen`` with a watermark: keys are then forgotten once it has passed them.
+    time ``seen`` with a watermark: keys are then forgotten once it has passed them. A batch may
+    come in few files, so its rows are dealt to all cores before they are scanned.
     """
-    return first_of_each(rules.procedural(files))
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    return first_of_each(rules.procedural(files.repartition(cores)))
 
 
 def first_of_each(found: DataFrame) -> DataFrame:
