@@ -86,9 +86,7 @@ class BKTree:
             d = (fp ^ at).bit_count()
             if d <= radius:
                 yield at
-            for k in range(d - radius, d + radius + 1):
-                if k in children:
-                    stack.append(children[k])
+            stack.extend(child for k, child in children.items() if abs(k - d) <= radius)
 
     def add(self, fp: int) -> None:
         if self.root is None:
