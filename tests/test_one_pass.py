@@ -4,7 +4,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from scanframe.functions import code
-from scanframe.operators import graph, rules, syntax
+from scanframe.operators import context, graph, rules, syntax
 from scanframe.plans import queries, views
 from scanframe.streaming import incremental
 
@@ -82,3 +82,24 @@ def test_syntax_findings_are_those_of_the_scan(spark):
 def test_streams_are_dealt_to_all_cores(spark, tmp_path):
     plan = incremental.stream_findings(incremental.file_stream(spark, str(tmp_path)))._jdf.queryExecution().analyzed().toString()
     assert f"Repartition {spark.sparkContext.defaultParallelism}, true" in plan
+
+
+def test_graph_findings_shuffle_nothing(spark):
+    files = views.code(spark, SF).select("path", "language", "content")
+    own = [("a.py", "python", "v = request.args\neval(v)\n"), ("a.py", "python", "x = 1\neval(v)\n"), ("b.py", "python", "\n")]
+    assert "Exchange hashpartitioning" not in _plan(graph.graph_findings(files))
+    few = spark.createDataFrame(own, files.schema).coalesce(1)
+    assert [(r.file, r.line) for r in graph.graph_findings(few).filter("severity = 'CRITICAL'").collect()] == [("a.py", 2)]
+
+
+def test_context_detectors_leave_files_alone_that_fail_the_cheap_test(spark):
+    files = views.code(spark, SF)
+    hits = context.detectors(F.col("content"), F.col("content"), F.col("ext"), F.col("path"))
+    assert "slice(" not in files.select(*hits)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_only_telling_tokens_are_cut_out(spark):
+    text = "// eval(a)\n" + "x = 'eval(b)' + c[1];\n" * 20_000 + "/* \n */ eval (x);\na.innerHTML /* b */ = c; a.innerHTML == c;\n"
+    df = spark.createDataFrame([(text,)], "c string").select(code.token_hits(F.col("c"), F.lit(".js")).alias("h"))
+    assert df._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") == 1
+    assert [(h.line, h.type) for h in df.first().h] == [(20_003, "Lexer: eval()"), (20_004, "Lexer: XSS sink 'innerHTML'")]
